@@ -26,6 +26,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: ASCII bytes that are neither letters nor digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -64,14 +66,17 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
-def words(body: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes between ASCII white space: start, length, document and 64-bit hash of each.
+def words(
+    body: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = SPACE, prefix: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Runs of bytes between separators: start, length, document and 64-bit hash of each, and of its first bytes.
 
-    With ``lower`` the letters A-Z count as a-z. A word never crosses documents.
+    With ``lower`` the letters A-Z count as a-z. ``apart`` marks the separating bytes (ASCII white space). With
+    ``prefix`` the hash of a word's first so many bytes comes too. A word never crosses documents.
     """
     if lower:
         body = LOWER[body]
-    solid = ~SPACE[body]
+    solid = ~apart[body]
     first = np.zeros(len(body) + 1, bool)
     first[offsets[:-1]] = True
     begins = solid.copy()
@@ -79,19 +84,23 @@ def words(body: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     starts = np.flatnonzero(begins)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64) if prefix else None
     place = np.arange(len(body), dtype=np.int64)
     place -= starts[np.maximum(np.cumsum(begins) - 1, 0)]
     np.maximum(place, 0, out=place)
     value = _BYTE[body]
     value *= _POW[place & 4095]
-    if len(place) and place.max() > 4095:
+    if place.max() > 4095:
         value *= _STEP[(place >> 12) & 65535]
     value[~solid] = 0
     hashes = mix64(np.add.reduceat(value, starts))
     lengths = np.add.reduceat(solid, starts, dtype=np.int64)
     docs = np.searchsorted(offsets, starts, "right") - 1
-    return starts, lengths, docs, hashes
+    heads = None
+    if prefix:
+        value[place >= prefix] = 0
+        heads = mix64(np.add.reduceat(value, starts) + _U(1))
+    return starts, lengths, docs, hashes, heads
 
 
 def shingles(docs: np.ndarray, hashes: np.ndarray, n_docs: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

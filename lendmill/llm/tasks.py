@@ -30,18 +30,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, label: str, per_label: int) -> DataFrame:
-    """A bounded sample (text, label): of each label the ``per_label`` first ids by a hash of the id.
+def training_rows(docs: DataFrame, ids: DataFrame, label: str, per_label: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """A bounded sample (text, label, ...): of each label the ``per_label`` first ids by a hash of the id.
 
-    Ranks need ids alone, first within 64 slices of a label, so neither texts nor a label with most of the rows
-    are gathered in one task; the texts of the chosen ids (at most ``per_label`` x labels) come by a broadcast join.
-    A doc_id that repeats counts once, with its smallest text.
+    ``ids`` has doc_id and the label. Ranks need ids alone, first within 64 slices of a label, so neither texts nor a
+    label with most of the rows are gathered in one task; the texts of the chosen ids (at most ``per_label`` x labels)
+    come by a broadcast join. A doc_id that repeats counts once, with its smallest text.
     """
     order = F.xxhash64("doc_id", F.lit(7))
-    ids = docs.select("doc_id", F.col(label).alias("_label")).filter("doc_id is not null and _label is not null").distinct()
+    named = ids.select("doc_id", F.col(label).alias("_label")).filter("doc_id is not null and _label is not null").distinct()
     inner = Window.partitionBy("_label", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(64))).orderBy(order, "doc_id")
     outer = Window.partitionBy("_label").orderBy(order, "doc_id")
-    some = ids.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= max(8, -(-per_label // 32)))
+    some = named.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= max(8, -(-per_label // 32)))
     some = some.withColumn("_r", F.row_number().over(outer)).filter(F.col("_r") <= per_label).select("doc_id", "_label")
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    return texts.groupBy("doc_id", "_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", F.col("_label").alias(label))
+    texts = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), *also).alias("_t")).join(F.broadcast(some), "doc_id")
+    return texts.groupBy("doc_id", "_label").agg(F.min("_t").alias("_t")).select("_t.*", F.col("_label").alias(label))
