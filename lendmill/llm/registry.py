@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lendmill.llm.tasks import table
 from lendmill.llm.token_counts import count_tokens
+from lendmill.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-LLM_QUERIES = {"op1_token_counts": op1_token_counts}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+LLM_QUERIES = {"op1_token_counts": op1_token_counts, "op7_toxicity": op7_toxicity}
 LLM_SQL: dict[str, str] = {}
