@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lendmill.llm.jaccard_join import jaccard_components
 from lendmill.llm.tasks import table
 from lendmill.llm.token_counts import count_tokens
 from lendmill.llm.toxicity import fit_toxicity, score_toxicity
@@ -19,5 +20,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {"op1_token_counts": op1_token_counts, "op7_toxicity": op7_toxicity}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {"op1_token_counts": op1_token_counts, "op7_toxicity": op7_toxicity, "op10_jaccard_join": op10_jaccard_join}
 LLM_SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +46,53 @@ def training_rows(docs: DataFrame, ids: DataFrame, label: str, per_label: int, a
     some = some.withColumn("_r", F.row_number().over(outer)).filter(F.col("_r") <= per_label).select("doc_id", "_label")
     texts = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), *also).alias("_t")).join(F.broadcast(some), "doc_id")
     return texts.groupBy("doc_id", "_label").agg(F.min("_t").alias("_t")).select("_t.*", F.col("_label").alias(label))
+
+
+class Bitmap:
+    """A bitmap of fixed size over mixed 64-bit keys: no false negatives, so what it rejects needs no join."""
+
+    WORDS = 1 << 20
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.uint64)
+        word = self.words[((keys >> np.uint64(7)) & np.uint64(self.WORDS - 1)).astype(np.int64)]
+        return (word >> ((keys >> np.uint64(1)) & np.uint64(63))) & np.uint64(1) > 0
+
+
+def bitmap_of(keys: DataFrame) -> Bitmap:
+    """The bitmap of a column of mixed keys, made by ``bit_or``: at most ``Bitmap.WORDS`` rows reach the driver."""
+    key = F.col(keys.columns[0])
+    word = F.shiftrightunsigned(key, 7).bitwiseAND(F.lit(Bitmap.WORDS - 1)).alias("at")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{keys.columns[0]}`, 1) & 63 as int))")
+    found = keys.groupBy(word).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = np.zeros(Bitmap.WORDS, np.uint64)
+    words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return Bitmap(words)
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of undirected edges (u, v), except each component's smallest node.
+
+    Alternating stars: every node's larger neighbours, then its smaller ones, move to the least node that it knows.
+    Each round is a few joins; the lineage is cut after each. No component is gathered in a task.
+    """
+    edges = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = _state(edges)
+    while state[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
