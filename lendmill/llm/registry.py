@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lendmill.llm.fingerprints import fingerprint_documents
 from lendmill.llm.jaccard_join import jaccard_components
+from lendmill.llm.language_id import fit_language_id, identify
 from lendmill.llm.tasks import table
 from lendmill.llm.token_counts import count_tokens
 from lendmill.llm.toxicity import fit_toxicity, score_toxicity
@@ -24,5 +26,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_token_counts": op1_token_counts, "op7_toxicity": op7_toxicity, "op10_jaccard_join": op10_jaccard_join}
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_language_id(docs))
+
+
+LLM_QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_toxicity": op7_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_jaccard_join": op10_jaccard_join,
+}
 LLM_SQL: dict[str, str] = {}
