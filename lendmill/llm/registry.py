@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lendmill.llm.fingerprints import fingerprint_documents
 from lendmill.llm.jaccard_join import jaccard_components
 from lendmill.llm.language_id import fit_language_id, identify
+from lendmill.llm.media import media_digests
 from lendmill.llm.tasks import table
 from lendmill.llm.token_counts import count_tokens
 from lendmill.llm.toxicity import fit_toxicity, score_toxicity
@@ -30,6 +31,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_language_id(docs))
@@ -39,6 +44,7 @@ LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op7_toxicity": op7_toxicity,
+    "op8_media": op8_media,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
