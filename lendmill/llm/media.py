@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lendmill.llm.ragged import blocks, text_bytes
 
@@ -306,10 +307,8 @@ def thumbnails(media: DataFrame) -> DataFrame:
             hashes = pa.array([None if not g else "".join(thumbnail_hash(t) for _, t in g) for g in got], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(samples, pa.binary()), hashes], [*batch.schema.names, *names])
 
-    schema = media.schema
-    for name, kind in (("width", "int"), ("height", "int"), ("frames", "int"), ("samples", "binary"), ("thumbnail_hash", "string")):
-        schema = schema.add(name, kind)
-    return media.mapInArrow(run, schema)
+    added = T.StructType.fromDDL("width int, height int, frames int, samples binary, thumbnail_hash string")
+    return media.mapInArrow(run, T.StructType([*media.schema.fields, *added.fields]))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
