@@ -33,9 +33,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendmill.llm.ragged import blocks, mix64, shingles, text_bytes, words
-from lendmill.llm.tasks import Bitmap, bitmap_of, checkpointed, components, shuffle_partitions
+from lendmill.llm.tasks import Bitmap, bitmap_of, checkpointed, components, dealing_keys, shuffle_partitions
 
 #: A link is 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -73,8 +74,8 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, out, mix64(sums + counts.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) & ~_U(1)
 
 
-def _bucket(values: np.ndarray, n: int) -> np.ndarray:
-    return ((mix64(values ^ _U(0x5851F42D4C957F2D)) >> _U(33)) % _U(n)).astype(np.int64)
+def _bucket(values: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return buckets[((mix64(values ^ _U(0x5851F42D4C957F2D)) >> _U(33)) % _U(len(buckets))).astype(np.int64)]
 
 
 def _packed(bucket: np.ndarray, kind: int, columns: list[np.ndarray], table: np.ndarray | None = None) -> pa.RecordBatch:
@@ -91,11 +92,11 @@ def _packed(bucket: np.ndarray, kind: int, columns: list[np.ndarray], table: np.
         for at in range(3):
             parts[at].append(own[at].tobytes() if at < len(own) else b"")
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(len(starts), kind, np.int32)), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", "kind", "a", "b", "c"]
+        [pa.array(bucket[starts]), pa.array(np.full(len(starts), kind, np.int32)), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", "kind", "a", "b", "c"]
     )
 
 
-def send_windows(docs: DataFrame, buckets: int) -> DataFrame:
+def send_windows(docs: DataFrame, buckets: np.ndarray) -> DataFrame:
     """Entries (shingle, document) of every window, dealt by shingle, and sizes of documents, dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def _unique_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np
     return order, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(order) else np.zeros(0, bool)
 
 
-def count_holders(windows: DataFrame, partitions: int, buckets: int) -> DataFrame:
+def count_holders(windows: DataFrame, buckets: np.ndarray) -> DataFrame:
     """Entries whose shingle more than one document holds, with its count (HOT where it is that or more), dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +214,10 @@ def count_holders(windows: DataFrame, partitions: int, buckets: int) -> DataFram
             if shared.any():
                 yield _packed(_bucket(ref[shared], buckets), ENTRIES, [ref[shared], shingle[shared], np.minimum(count[shared], HOT).astype(np.uint32)])
 
-    return windows.repartition(partitions, "bucket").mapInArrow(run, PACKED)
+    return windows.repartition(len(buckets), "bucket").mapInArrow(run, PACKED)
 
 
-def choose_pivots(counted: DataFrame, partitions: int, buckets: int) -> DataFrame:
+def choose_pivots(counted: DataFrame, buckets: np.ndarray) -> DataFrame:
     """(shingle, document, n) for the regions of each document's window, dealt by shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +247,10 @@ def choose_pivots(counted: DataFrame, partitions: int, buckets: int) -> DataFram
             own, shingle = own[inside], shingle[inside]
             yield _packed(_bucket(shingle, buckets), ENTRIES, [shingle, refs[own] & ~_U(1), n[own].astype(np.int32)])
 
-    return counted.repartition(partitions, "bucket").mapInArrow(run, PACKED)
+    return counted.repartition(len(buckets), "bucket").mapInArrow(run, PACKED)
 
 
-def label_regions(chosen: DataFrame, partitions: int) -> DataFrame:
+def label_regions(chosen: DataFrame, buckets: np.ndarray) -> DataFrame:
     """Distinct (x, p, n): document x of n shingles is in the region with label p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def label_regions(chosen: DataFrame, partitions: int) -> DataFrame:
         def pairs(key, label, n):
             order, fresh = _unique_pairs(label, key)
             at = order[fresh]
-            return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(label[at].view(np.int64)), pa.array(n[at])], ["x", "p", "n"])
+            return _packed(_bucket(key[at], buckets), ENTRIES, [key[at], label[at], n[at]])
 
         def hot(found):
             if found is not None:
@@ -284,7 +285,16 @@ def label_regions(chosen: DataFrame, partitions: int) -> DataFrame:
             if several.any():
                 yield pairs(key[several], label[several], n[several])
 
-    return chosen.repartition(partitions, "bucket").mapInArrow(run, "x long, p long, n int").distinct()
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        if rows:
+            key, label, n = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int32)))
+            order, fresh = _unique_pairs(label, key)
+            at = order[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(label[at].view(np.int64)), pa.array(n[at])], ["x", "p", "n"])
+
+    labelled = chosen.repartition(len(buckets), "bucket").mapInArrow(run, PACKED)
+    return labelled.repartition(len(buckets), "bucket").mapInArrow(unique, "x long, p long, n int")
 
 
 def region_join(sets: list[np.ndarray]) -> np.ndarray:
@@ -390,10 +400,9 @@ def _marked(docs: DataFrame, wanted: Bitmap) -> DataFrame:
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, key) and, for each key, its component (key, component, component_id, rows)."""
-    partitions = shuffle_partitions(docs.sparkSession)
-    buckets = 4 * partitions
-    counted = count_holders(send_windows(docs, buckets), partitions, buckets)
-    pairs = checkpointed(label_regions(choose_pivots(counted, partitions, buckets), partitions))
+    buckets = dealing_keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
+    counted = count_holders(send_windows(docs, buckets), buckets)
+    pairs = checkpointed(label_regions(choose_pivots(counted, buckets), buckets))
     marked = checkpointed(_marked(docs, bitmap_of(pairs.select("x"))))
     sets = marked.filter("shingles is not null").select(F.col("key").alias("x"), "shingles").dropDuplicates(["x"])
     links = in_blocks(pairs).join(sets, "x").groupBy("p", "i", "j").applyInArrow(_region_links, "u long, v long").distinct()
@@ -428,7 +437,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             near = wanted.has(keys.view(np.int64)) & (np.diff(ends) > 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64)), pa.array(near)], [*names, "__key", "__near"])
 
-    schema = docs.schema.add("__key", "long").add("__near", "boolean")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__near", T.BooleanType())])
     tagged = docs.mapInArrow(run, schema)
     alone = tagged.filter("not __near").select(*names)
     groups = tagged.filter("__near").join(several, "__key", "left").withColumn("component", F.coalesce("component", "__key"))

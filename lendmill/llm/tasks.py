@@ -26,6 +26,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealing_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n shuffle partitions an integer that ``repartition(n, column)`` deals to it, so that dealt keys spread evenly."""
+    tried = 16 * n + 256
+    found: dict[int, int] = {}
+    while len(found) < n:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("place")
+        found = dict(tuple(r) for r in spark.range(tried).groupBy(place).agg(F.min("id")).collect())
+        tried *= 2
+    return np.array([found[i] for i in range(n)], np.int32)
+
+
 def held_out(doc_id) -> F.Column:
     """Rows kept from training: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
