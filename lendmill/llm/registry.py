@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lendmill.llm import url_filter
 from lendmill.llm.fingerprints import fingerprint_documents
 from lendmill.llm.jaccard_join import jaccard_components
 from lendmill.llm.language_id import fit_language_id, identify
@@ -27,6 +28,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.ENTRIES, url_filter.ENTRY_SCHEMA))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -42,10 +47,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_url_filter": op3_url_filter,
     "op5_fingerprints": op5_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL}
