@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lendmill.llm import url_filter
 from lendmill.llm.fingerprints import fingerprint_documents
+from lendmill.llm.html_text import extract_pages
 from lendmill.llm.jaccard_join import jaccard_components
 from lendmill.llm.language_id import fit_language_id, identify
 from lendmill.llm.media import media_digests
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +54,7 @@ LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_url_filter": op3_url_filter,
     "op5_fingerprints": op5_fingerprints,
+    "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_language_id": op9_language_id,
