@@ -440,7 +440,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__near", T.BooleanType())])
     tagged = docs.mapInArrow(run, schema)
     alone = tagged.filter("not __near").select(*names)
-    groups = tagged.filter("__near").join(several, "__key", "left").withColumn("component", F.coalesce("component", "__key"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
-    chosen = groups.groupBy("component").agg(F.min_by(F.struct(*names), order).alias("row")).select("row.*")
+    groups = tagged.filter("__near").select("__key", F.struct(*names).alias("row")).join(several, "__key", "left").withColumn("component", F.coalesce("component", "__key"))
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("row.text"))
+    chosen = groups.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row.*")
     return alone.unionByName(chosen)

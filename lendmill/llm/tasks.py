@@ -17,12 +17,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share: the session's, and one of its own only where that is unset."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/lendmill-checkpoints-{uuid.uuid4().hex[:12]}"
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; set one only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"/tmp/lendmill-checkpoints-{uuid.uuid4().hex[:12]}")
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
