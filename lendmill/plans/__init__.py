@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("policy",)
 
 
 def load() -> None:
