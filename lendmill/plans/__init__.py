@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("policy",)
+MODULES: tuple[str, ...] = ("policy", "bureau")
 
 
 def load() -> None:
