@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("policy", "bureau", "texts")
+MODULES: tuple[str, ...] = ("policy", "bureau", "texts", "documents")
 
 
 def load() -> None:
