@@ -1,0 +1 @@
+"""Event streams: windows and keyed state, with the same functions for batches."""
