@@ -8,7 +8,8 @@ Applicants with unreadable input are marked INVALID and get no outcomes.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ WRITE_OFF_FLAGS = {
 }
 RENTAL_FLAGS = {"NO_ITR_NOT_IN_BANK": "allow_rental_no_itr_not_in_bank", "NO_ITR_IN_BANK": "allow_rental_no_itr_in_bank", "ITR_NOT_IN_BANK": "allow_rental_itr_not_in_bank"}
 
+Rule = tuple[str, Column, Column, Callable[[], tuple[Column, Column, Column]]]
+
 
 def policy_rows() -> list[dict]:
     """A row for each lender and entity scope; a company's row lacks the thresholds that do not apply to it."""
@@ -158,8 +161,9 @@ def _rupees(value: Column, places: int) -> Column:
     return F.concat(F.lit("Rs "), F.format_number(value, places))
 
 
-def rules() -> list[tuple[str, Column, Column, Column, Column, Column]]:
-    """(rule_id, gate, passed, name, value, limit) in order of evaluation."""
+@lru_cache(maxsize=1)
+def rules() -> list[Rule]:
+    """(rule_id, gate, passed, details) in order of evaluation; details makes name, value and limit where a report asks for them."""
     c, lit = F.col, F.lit
     at_least = lambda text: F.concat(lit(">= "), text)
     salaried = (c("occupation") == "Salaried") & c("min_salary").isNotNull()
@@ -175,62 +179,63 @@ def rules() -> list[tuple[str, Column, Column, Column, Column, Column]]:
     years = lambda x: F.concat(x, lit(" yrs"))
     two = lambda x: F.format_number(x, 2)
     return [
-        ("DEM-101", c("min_age").isNotNull(), c("age") >= c("min_age"), lit("Minimum Age"), _plain(c("age")), at_least(_plain(c("min_age")))),
-        ("DEM-104", nri, c("allow_nri"), lit("NRI/PIO Accepted"), lit("NRI/PIO"), _word(c("allow_nri"))),
-        ("DEM-105", nri & c("allow_nri"), c("nri_stay_years") >= c("min_nri_stay_years"), lit("NRI Minimum Stay"), years(two(c("nri_stay_years"))), at_least(years(_plain(c("min_nri_stay_years"))))),
-        ("BUR-404", lit(True), ~c("currently_overdue"), lit("Currently Outstanding"), _word(c("currently_overdue")), lit("False")),
-        ("BUR-405", lit(True), c("cibil") >= c("min_cibil"), lit("CIBIL Score"), _plain(c("cibil")), at_least(_plain(c("min_cibil")))),
-        ("BUR-406", lit(True), ~c("has_loan_enquiry") | c("allow_loan_enquiry"), lit("Loan Enquiries"), F.when(c("has_loan_enquiry"), "Yes").otherwise("No"), F.when(c("allow_loan_enquiry"), "Any").otherwise("No")),
-        ("BUR-403", c("bank_code") == "INDIAN_BANK", c("dpd") <= 0, lit("DPD History"), _plain(c("dpd")), lit("<= 0")),
-        ("BUR-402", c("bank_code") != "INDIAN_BANK", c("dpd") <= c("max_dpd"), lit("DPD History"), _plain(c("dpd")), F.concat(lit("<= "), _plain(c("max_dpd")))),
-        ("BUR-401D", (amount > 0) & ~classified, lit(False), lit("Unclassified Write-off"), _rupees(amount, 2), lit("classified type required")),
-        ("BUR-401", (amount > 0) & classified, flag, F.concat("write_off_class", lit(" Write-off")), c("write_off_class"), _word(flag)),
-        ("BUR-401B", (amount > 0) & (c("write_off_class") == "CC") & flag, amount < c("max_cc_write_off_amount"), lit("Credit Card Write-off Amount"), _rupees(amount, 2), F.concat(lit("< "), _rupees(c("max_cc_write_off_amount"), 2))),
-        ("ENT-501", c("is_huf") & c("allow_huf").isNotNull(), c("allow_huf"), lit("HUF Accepted"), lit("HUF"), _word(c("allow_huf"))),
-        ("ENT-502", c("is_agriculture") & c("allow_agriculture").isNotNull(), c("allow_agriculture"), lit("Agriculture Sector"), lit("Agriculture"), _word(c("allow_agriculture"))),
-        ("INC-601", rental.isNotNull(), rental, lit("Rental Income Configuration"), c("rental_class"), _word(rental)),
-        ("EMP-SAL-202", salaried, c("salary") >= c("min_salary"), lit("Minimum Salary"), _rupees(c("salary"), 2), at_least(_rupees(c("min_salary"), 0))),
-        ("EMP-SAL-203", salaried, ~c("salary_mode").isin("CASH", "Salary payment mode-Cash"), lit("Salary Payment Mode"), c("salary_mode"), lit("Bank Credit")),
-        ("EMP-SAL-204", salaried, c("work_exp_years") >= c("min_total_experience_years"), lit("Total Work Experience"), two(c("work_exp_years")), at_least(years(_plain(c("min_total_experience_years"))))),
-        ("EMP-SAL-205", salaried, c("current_company_years") >= c("min_current_company_tenure_years"), lit("Current Company Tenure"), years(two(c("current_company_years"))), at_least(years(_plain(c("min_current_company_tenure_years"))))),
-        ("EMP-SAL-207", salaried & c("no_income_proof"), c("allow_no_income_proof"), lit("No Income Proof Segment"), lit("No Income Proof"), _word(c("allow_no_income_proof"))),
-        ("EMP-SAL-206", salaried & ~c("no_income_proof") & (c("income_proof") != "ITR"), c("form_16_years") >= c("form16_years_required"), lit("Form-16 History"), years(_plain(c("form_16_years"))), at_least(years(_plain(c("form16_years_required"))))),
-        ("DEM-102", salaried & c("max_age_emi_salaried").isNotNull(), c("age_emi") <= c("max_age_emi_salaried"), lit("Age at Last EMI (Salaried)"), _plain(c("age_emi")), F.concat(lit("<= "), _plain(c("max_age_emi_salaried")))),
-        ("EMP-SE-301", other, c("business_itr_years") >= c("min_business_itr_years"), lit("Business ITR Years"), years(_plain(c("business_itr_years"))), at_least(years(_plain(c("min_business_itr_years"))))),
-        ("EMP-SE-304", other & ~c("itr_filed"), c("allow_itr_not_filed"), lit("ITR Filed"), lit("Not Filed"), _word(c("allow_itr_not_filed"))),
-        ("EMP-SE-303", filed & c("se_combined_itr_rule"), both >= COMBINED_ITR_FLOOR, lit("Combined ITR"), _rupees(both, 0), at_least(_rupees(lit(COMBINED_ITR_FLOOR), 0))),
-        ("EMP-SE-302", filed & ~c("se_combined_itr_rule"), c("itr_now") >= c("se_min_current_itr"), lit("Current-Year ITR"), _rupees(c("itr_now"), 0), at_least(_rupees(c("se_min_current_itr"), 0))),
-        ("EMP-SE-303", filed & ~c("se_combined_itr_rule"), c("itr_before") >= c("se_min_prev_itr"), lit("Previous-Year ITR"), _rupees(c("itr_before"), 0), at_least(_rupees(c("se_min_prev_itr"), 0))),
-        ("BUS-302", other, c("business_proof"), lit("Business Proof"), _word(c("business_proof")), lit("Mandatory")),
-        ("DEM-103", other & c("max_age_emi_self_employed").isNotNull(), c("age_emi") <= c("max_age_emi_self_employed"), lit("Age at Last EMI (Self-Employed)"), _plain(c("age_emi")), F.concat(lit("<= "), _plain(c("max_age_emi_self_employed")))),
-        ("RES-206", cum & c("guarantor"), c("allow_with_guarantor"), lit("Rented Premises With Guarantor"), lit("With a Guarantor"), _word(c("allow_with_guarantor"))),
-        ("RES-205", cum & ~c("guarantor"), c("allow_without_guarantor"), lit("Rented Premises Without Guarantor"), lit("Without a Guarantor"), _word(c("allow_without_guarantor"))),
-        ("REL-502", (c("property_status") == "SEPARATE_BOTH_RENTED") & c("allow_separate_both_rented").isNotNull(), c("allow_separate_both_rented"), lit("Separate Premises Both Rented"), lit("Residence + separate office both rented"), _word(c("allow_separate_both_rented"))),
-        ("COA-801", c("sibling") & c("allow_sibling_coapplicant").isNotNull(), c("allow_sibling_coapplicant"), lit("Sibling Co-Applicant"), lit("Brother/Sister"), _word(c("allow_sibling_coapplicant"))),
-        ("REL-501", ~c("allows_existing_account_holder") & c("account_bank_known"), ~c("existing_account_bank").eqNullSafe(c("bank_code")), lit("Existing Account Holder"), F.coalesce("existing_account_bank", lit("None")), F.concat(lit("not "), "bank_code")),
-        ("EXB-702", c("car_loan_bank").isNotNull() & c("bank_code").isin(*OWN_CAR_LOAN_REFUSED), c("car_loan_bank") != c("bank_code"), lit("Existing Car Loan"), c("car_loan_bank"), F.concat(lit("not "), "bank_code")),
+        ("DEM-101", c("min_age").isNotNull(), c("age") >= c("min_age"), lambda: (lit("Minimum Age"), _plain(c("age")), at_least(_plain(c("min_age"))))),
+        ("DEM-104", nri, c("allow_nri"), lambda: (lit("NRI/PIO Accepted"), lit("NRI/PIO"), _word(c("allow_nri")))),
+        ("DEM-105", nri & c("allow_nri"), c("nri_stay_years") >= c("min_nri_stay_years"), lambda: (lit("NRI Minimum Stay"), years(two(c("nri_stay_years"))), at_least(years(_plain(c("min_nri_stay_years")))))),
+        ("BUR-404", lit(True), ~c("currently_overdue"), lambda: (lit("Currently Outstanding"), _word(c("currently_overdue")), lit("False"))),
+        ("BUR-405", lit(True), c("cibil") >= c("min_cibil"), lambda: (lit("CIBIL Score"), _plain(c("cibil")), at_least(_plain(c("min_cibil"))))),
+        ("BUR-406", lit(True), ~c("has_loan_enquiry") | c("allow_loan_enquiry"), lambda: (lit("Loan Enquiries"), F.when(c("has_loan_enquiry"), "Yes").otherwise("No"), F.when(c("allow_loan_enquiry"), "Any").otherwise("No"))),
+        ("BUR-403", c("bank_code") == "INDIAN_BANK", c("dpd") <= 0, lambda: (lit("DPD History"), _plain(c("dpd")), lit("<= 0"))),
+        ("BUR-402", c("bank_code") != "INDIAN_BANK", c("dpd") <= c("max_dpd"), lambda: (lit("DPD History"), _plain(c("dpd")), F.concat(lit("<= "), _plain(c("max_dpd"))))),
+        ("BUR-401D", (amount > 0) & ~classified, lit(False), lambda: (lit("Unclassified Write-off"), _rupees(amount, 2), lit("classified type required"))),
+        ("BUR-401", (amount > 0) & classified, flag, lambda: (F.concat("write_off_class", lit(" Write-off")), c("write_off_class"), _word(flag))),
+        ("BUR-401B", (amount > 0) & (c("write_off_class") == "CC") & flag, amount < c("max_cc_write_off_amount"), lambda: (lit("Credit Card Write-off Amount"), _rupees(amount, 2), F.concat(lit("< "), _rupees(c("max_cc_write_off_amount"), 2)))),
+        ("ENT-501", c("is_huf") & c("allow_huf").isNotNull(), c("allow_huf"), lambda: (lit("HUF Accepted"), lit("HUF"), _word(c("allow_huf")))),
+        ("ENT-502", c("is_agriculture") & c("allow_agriculture").isNotNull(), c("allow_agriculture"), lambda: (lit("Agriculture Sector"), lit("Agriculture"), _word(c("allow_agriculture")))),
+        ("INC-601", rental.isNotNull(), rental, lambda: (lit("Rental Income Configuration"), c("rental_class"), _word(rental))),
+        ("EMP-SAL-202", salaried, c("salary") >= c("min_salary"), lambda: (lit("Minimum Salary"), _rupees(c("salary"), 2), at_least(_rupees(c("min_salary"), 0)))),
+        ("EMP-SAL-203", salaried, ~c("salary_mode").isin("CASH", "Salary payment mode-Cash"), lambda: (lit("Salary Payment Mode"), c("salary_mode"), lit("Bank Credit"))),
+        ("EMP-SAL-204", salaried, c("work_exp_years") >= c("min_total_experience_years"), lambda: (lit("Total Work Experience"), two(c("work_exp_years")), at_least(years(_plain(c("min_total_experience_years")))))),
+        ("EMP-SAL-205", salaried, c("current_company_years") >= c("min_current_company_tenure_years"), lambda: (lit("Current Company Tenure"), years(two(c("current_company_years"))), at_least(years(_plain(c("min_current_company_tenure_years")))))),
+        ("EMP-SAL-207", salaried & c("no_income_proof"), c("allow_no_income_proof"), lambda: (lit("No Income Proof Segment"), lit("No Income Proof"), _word(c("allow_no_income_proof")))),
+        ("EMP-SAL-206", salaried & ~c("no_income_proof") & (c("income_proof") != "ITR"), c("form_16_years") >= c("form16_years_required"), lambda: (lit("Form-16 History"), years(_plain(c("form_16_years"))), at_least(years(_plain(c("form16_years_required")))))),
+        ("DEM-102", salaried & c("max_age_emi_salaried").isNotNull(), c("age_emi") <= c("max_age_emi_salaried"), lambda: (lit("Age at Last EMI (Salaried)"), _plain(c("age_emi")), F.concat(lit("<= "), _plain(c("max_age_emi_salaried"))))),
+        ("EMP-SE-301", other, c("business_itr_years") >= c("min_business_itr_years"), lambda: (lit("Business ITR Years"), years(_plain(c("business_itr_years"))), at_least(years(_plain(c("min_business_itr_years")))))),
+        ("EMP-SE-304", other & ~c("itr_filed"), c("allow_itr_not_filed"), lambda: (lit("ITR Filed"), lit("Not Filed"), _word(c("allow_itr_not_filed")))),
+        ("EMP-SE-303", filed & c("se_combined_itr_rule"), both >= COMBINED_ITR_FLOOR, lambda: (lit("Combined ITR"), _rupees(both, 0), at_least(_rupees(lit(COMBINED_ITR_FLOOR), 0)))),
+        ("EMP-SE-302", filed & ~c("se_combined_itr_rule"), c("itr_now") >= c("se_min_current_itr"), lambda: (lit("Current-Year ITR"), _rupees(c("itr_now"), 0), at_least(_rupees(c("se_min_current_itr"), 0)))),
+        ("EMP-SE-303", filed & ~c("se_combined_itr_rule"), c("itr_before") >= c("se_min_prev_itr"), lambda: (lit("Previous-Year ITR"), _rupees(c("itr_before"), 0), at_least(_rupees(c("se_min_prev_itr"), 0)))),
+        ("BUS-302", other, c("business_proof"), lambda: (lit("Business Proof"), _word(c("business_proof")), lit("Mandatory"))),
+        ("DEM-103", other & c("max_age_emi_self_employed").isNotNull(), c("age_emi") <= c("max_age_emi_self_employed"), lambda: (lit("Age at Last EMI (Self-Employed)"), _plain(c("age_emi")), F.concat(lit("<= "), _plain(c("max_age_emi_self_employed"))))),
+        ("RES-206", cum & c("guarantor"), c("allow_with_guarantor"), lambda: (lit("Rented Premises With Guarantor"), lit("With a Guarantor"), _word(c("allow_with_guarantor")))),
+        ("RES-205", cum & ~c("guarantor"), c("allow_without_guarantor"), lambda: (lit("Rented Premises Without Guarantor"), lit("Without a Guarantor"), _word(c("allow_without_guarantor")))),
+        ("REL-502", (c("property_status") == "SEPARATE_BOTH_RENTED") & c("allow_separate_both_rented").isNotNull(), c("allow_separate_both_rented"), lambda: (lit("Separate Premises Both Rented"), lit("Residence + separate office both rented"), _word(c("allow_separate_both_rented")))),
+        ("COA-801", c("sibling") & c("allow_sibling_coapplicant").isNotNull(), c("allow_sibling_coapplicant"), lambda: (lit("Sibling Co-Applicant"), lit("Brother/Sister"), _word(c("allow_sibling_coapplicant")))),
+        ("REL-501", ~c("allows_existing_account_holder") & c("account_bank_known"), ~c("existing_account_bank").eqNullSafe(c("bank_code")), lambda: (lit("Existing Account Holder"), F.coalesce("existing_account_bank", lit("None")), F.concat(lit("not "), "bank_code"))),
+        ("EXB-702", c("car_loan_bank").isNotNull() & c("bank_code").isin(*OWN_CAR_LOAN_REFUSED), c("car_loan_bank") != c("bank_code"), lambda: (lit("Existing Car Loan"), c("car_loan_bank"), F.concat(lit("not "), "bank_code"))),
     ]
 
 
-def overlay_rules() -> list[tuple[str, Column, Column, Column, Column, Column]]:
+@lru_cache(maxsize=1)
+def overlay_rules() -> list[Rule]:
     """A tenant's own floor holds at every lender."""
     c = F.col
-    return [(rule, c("tenant_id").eqNullSafe(tenant), c("cibil") >= floor, F.lit("Tenant CIBIL Floor"), _plain(c("cibil")), F.lit(f">= {floor}")) for tenant, (rule, floor) in OVERLAYS.items()]
+    return [(rule, c("tenant_id").eqNullSafe(tenant), c("cibil") >= floor, lambda floor=floor: (F.lit("Tenant CIBIL Floor"), _plain(c("cibil")), F.lit(f">= {floor}"))) for tenant, (rule, floor) in OVERLAYS.items()]
 
 
 def verdicts(joined: DataFrame) -> DataFrame:
     """(app_id, bank_code, selected_bank, failures, evaluated) of every applicant and lender, without building messages."""
     every = [*rules(), *overlay_rules()]
-    count = lambda flags: reduce(lambda a, b: a + b, (F.when(f, 1).otherwise(0) for f in flags))
-    return joined.select("app_id", "bank_code", "selected_bank", count([g & ~p for _, g, p, *_ in every]).alias("failures"), count([g for _, g, *_ in every]).alias("evaluated"))
+    count = lambda flags: F.size(F.array_compact(F.array(*(F.when(f, 1) for f in flags))))
+    return joined.select("app_id", "bank_code", "selected_bank", count([g & ~p for _, g, p, _ in every]).alias("failures"), count([g for _, g, *_ in every]).alias("evaluated"))
 
 
 def outcomes(joined: DataFrame, overlay: bool = True, report: bool = False) -> DataFrame:
     """(app_id, bank_code, rule_no, rule_id, passed[, parameter_name, user_value, limit_value]): a row for each rule that applied."""
     every = [*rules(), *(overlay_rules() if overlay else [])]
     parts = []
-    for number, (rule, gate, passed, name, value, limit) in enumerate(every):
-        more = [name.alias("parameter_name"), value.alias("user_value"), limit.alias("limit_value")] if report else []
+    for number, (rule, gate, passed, details) in enumerate(every):
+        more = [x.alias(n) for x, n in zip(details(), ("parameter_name", "user_value", "limit_value"), strict=True)] if report else []
         parts.append(F.when(gate, F.struct(F.lit(number).alias("rule_no"), F.lit(rule).alias("rule_id"), passed.alias("passed"), *more)))
     return joined.select("app_id", "bank_code", F.explode(F.array_compact(F.array(*parts))).alias("o")).select("app_id", "bank_code", "o.*")
 

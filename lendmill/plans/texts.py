@@ -9,7 +9,7 @@ from lendmill.functions import coerce, money, pii
 from lendmill.operators import bureau
 from lendmill.operators.duplicates import first_wins
 from lendmill.registry import query
-from lendmill.sources.tables import select_sql, table
+from lendmill.sources.tables import select_sql, table, texts
 
 _P = "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING)"
 _VARIANTS = ("{p}", "{p}.5", "{p}.755", "({p})", "-{p}", "{p} DR", "Rs. {p}", "Rs {p}", "1,{p}.00 CR", "1.{p}.3", "Tax on {p}", "", "99999999999999999{p}", "+{p}/", "Cess @ 4.00% {p}", "year 2024 no {p}, ok", "₹ 12,{p}", "(.)")
@@ -124,7 +124,7 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PII} AS text")
+    return texts(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PII} AS text")
 
 
 @query(
@@ -224,4 +224,4 @@ f AS (SELECT *, first_value(doc_id) OVER w AS original_id, first_value(sha) OVER
 SELECT doc_id, original_id, CASE WHEN doc_id = original_id THEN 'New' WHEN sha = first_sha THEN 'Exact' ELSE 'Content' END AS kind FROM f""",
 )
 def dedupe_fingerprint_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_wins(table(spark, sf_dir, "documents"))
+    return first_wins(texts(spark, sf_dir, "documents"))
