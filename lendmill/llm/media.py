@@ -29,6 +29,8 @@ from lendmill.llm.ragged import blocks, text_bytes
 
 #: Payload bytes (blocks) in a row, and rows in a frame: 65535 lines of pixels at most.
 ROW, ROWS = 192, 8191
+#: Text bytes that are written at once; writing and reading run beside each other in an executor.
+BLOCK = 1 << 19
 # Fixed values of the JPEG format: code lengths of the usual luminance DC table, one symbol for each size in bits.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = tuple(range(12))
@@ -272,7 +274,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as UTF-8, filled up with spaces to full rows, as a JPEG file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK):
             body, offsets = text_bytes(batch.column("text"))
             sizes = np.diff(offsets)
             counts = np.maximum(1, -(-sizes // ROW))
@@ -299,7 +301,7 @@ def thumbnails(media: DataFrame) -> DataFrame:
             return [None] if len(files) == 1 else [x for f in files for x in read([f])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "media"):
+        for batch in blocks(batches, "media", 2 * BLOCK):
             got = read(batch.column("media").to_pylist())
             samples = [None if g is None else b"".join(t.tobytes() for _, t in g) for g in got]
             names = ["width", "height", "frames", "samples", "thumbnail_hash"]
