@@ -138,3 +138,30 @@ def test_first_wins_as_a_sequence(spark, seed):
         key = " ".join(text.split()).upper() if sum(c.isalnum() for c in text) >= 200 else "s" + text
         want[i] = (seen.setdefault(key, (i, text))[0], "New" if seen[key][0] == i else "Exact" if seen[key][1] == text else "Content")
     assert {r.doc_id: (r.original_id, r.kind) for r in first_wins(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_column_bands_as_a_loop(spark):
+    from lendmill.operators.extract import column_bands
+
+    own = random.Random(5)
+    edges = {(d, float(own.randint(0, 90))) for d in range(8) for _ in range(25)}
+    got = {(r.doc_id, r.x0): (r.band, r.edge) for r in column_bands(spark.createDataFrame(sorted(edges), "doc_id long, x0 double")).collect()}
+    for doc in range(8):
+        number, start = 0, None
+        for x in sorted(x for d, x in edges if d == doc):
+            if start is None or x - start > 6:
+                number, start = number + 1, x
+            assert got[doc, x] == (number, start)
+
+
+def test_audit_tables_replace_their_own_run(spark, sf, tmp_path):
+    from lendmill.plans.policy import facts, offers
+    from lendmill.sources import sinks
+
+    applications, rules = sinks.application_rows(facts(spark, sf), offers(spark, sf)), sinks.rule_rows(offers(spark, sf))
+    audit = sinks.audit_rows(applications, applications.select("app_id", F.lit("ABCDE1234F").alias("pan_no")))
+    for run in ("1", "2", "2"):
+        sinks.write_audit(applications, rules, audit, str(tmp_path), run)
+    assert spark.read.parquet(f"{tmp_path}/application").count() == 2 * applications.count()
+    assert spark.read.parquet(f"{tmp_path}/rule_execution").count() == 2 * rules.count()
+    assert "ABCDE1234F" not in str(spark.read.parquet(f"{tmp_path}/audit_log").select("details").distinct().collect())
