@@ -164,7 +164,7 @@ def predict(model: ByteCnn | None, texts: pa.Array) -> tuple[np.ndarray, np.ndar
 def fit_language_id(docs: DataFrame, per_label: int = PER_LABEL) -> ByteCnn | None:
     """Train from rows with a language that are not held out."""
     ids = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    sample = training_rows(docs.select("doc_id", "text"), ids, "lang", per_label).toPandas()
+    sample = training_rows(docs.select("doc_id", "text"), ids, "lang", per_label)
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 

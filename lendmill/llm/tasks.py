@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,21 +53,29 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, ids: DataFrame, label: str, per_label: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """A bounded sample (text, label, ...): of each label the ``per_label`` first ids by a hash of the id.
+#: Labels that are learned at most (the most frequent ones), and how many more rows are drawn than asked for.
+MOST_LABELS, SPARE = 1000, 1.3
 
-    ``ids`` has doc_id and the label. Ranks need ids alone, first within 64 slices of a label, so neither texts nor a
-    label with most of the rows are gathered in one task; the texts of the chosen ids (at most ``per_label`` x labels)
-    come by a broadcast join. A doc_id that repeats counts once, with its smallest text.
+
+def training_rows(docs: DataFrame, ids: DataFrame, label: str, per_label: int, also: tuple[str, ...] = ()) -> pd.DataFrame:
+    """A bounded sample (text, label, ...): of each label at most the ``per_label`` first ids by a hash of the id.
+
+    ``ids`` has doc_id and the label. Counts by label give the share of the hash's range to draw from, so rows are drawn
+    one by one and neither ids nor texts of a label meet in a task; the ids drawn (about ``SPARE`` times the bound) are
+    broadcast. A doc_id that repeats counts once, with its smallest text.
     """
-    order = F.xxhash64("doc_id", F.lit(7))
-    named = ids.select("doc_id", F.col(label).alias("_label")).filter("doc_id is not null and _label is not null").distinct()
-    inner = Window.partitionBy("_label", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(64))).orderBy(order, "doc_id")
-    outer = Window.partitionBy("_label").orderBy(order, "doc_id")
-    some = named.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= max(8, -(-per_label // 32)))
-    some = some.withColumn("_r", F.row_number().over(outer)).filter(F.col("_r") <= per_label).select("doc_id", "_label")
-    texts = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), *also).alias("_t")).join(F.broadcast(some), "doc_id")
-    return texts.groupBy("doc_id", "_label").agg(F.min("_t").alias("_t")).select("_t.*", F.col("_label").alias(label))
+    named = ids.select("doc_id", F.col(label).alias("_label")).filter("doc_id is not null and _label is not null")
+    counts = named.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(MOST_LABELS).collect()
+    names = [text for text in ("text", *also)]
+    if not counts:
+        return pd.DataFrame({n: [] for n in (*names, label)})
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
+    upto = F.create_map(*(F.lit(x) for r in counts for x in (r[0], int(min(1.0, SPARE * per_label / r[1]) * (1 << 40)))))
+    drawn = named.withColumn("_place", place).filter(F.col("_place") < F.try_element_at(upto, F.col("_label"))).distinct()
+    texts = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), *also).alias("_t")).join(F.broadcast(drawn), "doc_id")
+    found = texts.groupBy("doc_id", "_label", "_place").agg(F.min("_t").alias("_t")).select("_label", "_place", "doc_id", "_t.*").toPandas()
+    found = found.sort_values(["_label", "_place", "doc_id"]).groupby("_label", sort=False).head(per_label)
+    return found.rename(columns={"_label": label})[[*names, label]].reset_index(drop=True)
 
 
 class Bitmap:
