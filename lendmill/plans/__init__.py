@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("policy", "bureau", "texts", "documents", "forms", "streams", "extract", "sinks")
+MODULES: tuple[str, ...] = ("policy", "bureau", "texts", "documents", "forms", "streams", "extract", "sinks", "runs")
 
 
 def load() -> None:

@@ -165,3 +165,36 @@ def test_audit_tables_replace_their_own_run(spark, sf, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/application").count() == 2 * applications.count()
     assert spark.read.parquet(f"{tmp_path}/rule_execution").count() == 2 * rules.count()
     assert "ABCDE1234F" not in str(spark.read.parquet(f"{tmp_path}/audit_log").select("details").distinct().collect())
+
+
+def test_runs_and_starts_as_loops(spark):
+    from lendmill.operators import runs
+
+    own = random.Random(9)
+    rows = [(d, own.randint(1, 2), s, float(own.randint(0, 40)), 0.0, float(own.randint(0, 12)), float(own.choice((8, 10, 20))), f"t{s}") for d in range(6) for s in range(60)]
+    rows = [(d, p, s, x, x + own.randint(3, 15), b, z, t) for d, p, s, x, _, b, z, t in rows]
+    got = {(r.doc_id, r.text) for r in runs.assemble_runs(spark.createDataFrame(rows, "doc_id long, page int, seq long, x0 double, x1 double, baseline double, size double, text string")).collect()}
+    want, group = set(), []
+    for r in [*sorted(rows, key=lambda r: r[:3]), None]:
+        if group and r is not None:
+            a = group[0]
+            right = max(g[4] for g in group)
+            joins = a[:2] == r[:2] and abs(a[5] - r[5]) <= min(a[6], r[6]) * 0.5 and max(a[6], r[6]) / min(a[6], r[6]) <= 1.6 and r[3] - right <= r[6] and r[3] >= a[3] - r[6]
+            if joins:
+                group.append(r)
+                continue
+        if group:
+            want.add((group[0][0], " ".join(g[7] for g in group)))
+        group = [r]
+    assert got == want
+    marks = [(d, own.randint(1, 3), float(own.randint(0, 700)), s) for d in range(6) for s in range(30)]
+    kept = {tuple(r) for r in runs.account_starts(spark.createDataFrame(marks, "doc_id long, page int, y0 double, seq long")).collect()}
+    expected = set()
+    for doc in range(6):
+        last = None
+        for m in sorted(m for m in marks if m[0] == doc):
+            if last and (m[1] == last[1] and m[2] - last[2] < 100 or m[1] == last[1] + 1 and abs(m[3] - last[3]) < 20):
+                continue
+            last = m
+            expected.add(m)
+    assert kept == expected
