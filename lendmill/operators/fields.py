@@ -76,3 +76,20 @@ def payslip_fields(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(
         labelled_value("EMPLOYEE NAME").alias("employee"), labelled_value("PAID DAYS").alias("paid_days"), labelled_amount(("NET PAY", "TAKE HOME")).alias("net_pay"), labelled_value("IN WORDS").alias("in_words")
     )
+
+
+# Words of a pay slip's first lines by vendor, first match first.
+VENDORS = {
+    "ZOHO": "zoho-payroll", "RAZORPAY": "razorpayx", "KEKA": "keka", "DARWINBOX": "darwinbox", "GREYTHR": "greythr", "QUESS": "quess", "SALARY SLIP": "generic-salary-slip", "PAY SLIP": "generic-payslip", "PAYSLIP": "generic-payslip",
+}
+
+
+def vendors(lines: DataFrame, most: int = 15) -> DataFrame:
+    """(doc_id, vendor) told from each document's first lines."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    head = lines.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    text = F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line_text(F.col("segs")).alias("t")))), lambda x: x["t"]), " "))
+    found = F.coalesce(*(F.when(F.contains(F.col("text"), F.lit(word)), name) for word, name in VENDORS.items()), F.lit("unknown"))
+    return head.groupBy("doc_id").agg(text.alias("text")).select("doc_id", found.alias("vendor"))

@@ -58,3 +58,17 @@ def violations(forms: DataFrame) -> DataFrame:
         "pincode malformed": ~F.coalesce(c("pincode").rlike(pii.PINCODE), F.lit(False)),
     }
     return forms.select("form_id", F.array_compact(F.array(*(F.when(bad, name) for name, bad in broken.items()))).alias("violations"))
+
+
+def engine_payload(forms: DataFrame) -> DataFrame:
+    """A form flattened to the fields that policies read."""
+    kind, amount = write_off(F.col("write_off_amount"))
+    person = F.when(F.col("identity").isin("Company", "HUF"), PROXY_AGE).otherwise(F.col("age"))
+    bank = lookup(F.col("account_bank"), PARTNERS)
+    form = property_status(forms)
+    return form.select(
+        "form_id", F.when(F.col("identity") == "Company", "Company").when(F.col("identity") == "HUF", "HUF").otherwise("Individual").alias("entity_type"), (F.col("identity") == "NRI").alias("is_nri"),
+        F.when(F.col("identity") == "NRI", F.col("stay_months") / 12.0).alias("nri_years"), person.alias("age"), (person + LOAN_YEARS).alias("age_at_last_emi"), "occupation", lookup(F.col("tenure"), TENURE).alias("current_company_tenure_months"),
+        F.col("score").alias("cibil_score"), days_of_answers(F.col("missed"), F.col("over_90")).alias("dpd"), kind.alias("write_off_type"), amount.alias("write_off_amount"), F.coalesce(bank, F.lit("BOI")).alias("selected_bank"),
+        bank.alias("existing_account_bank"), "property_status",
+    )

@@ -61,3 +61,17 @@ def income_fields_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def payslip_fields_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.payslip_fields(_lines(spark, sf_dir))
+
+
+_SLIP = "CASE (l_partkey + l_suppkey) % 40 WHEN 0 THEN 'made by Quess' WHEN 1 THEN 'Zoho Payroll' WHEN 2 THEN 'Salary Slip' WHEN 3 THEN 'Payslip' WHEN 4 THEN 'pay slip' ELSE 'line' END"
+
+
+@query(
+    "payslip_vendor",
+    f"""WITH n AS (SELECT l_orderkey AS doc_id, upper({_SLIP}) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY {s.SEQ}) AS r FROM lineitem)
+SELECT doc_id, CASE WHEN bool_or(t = 'ZOHO PAYROLL') THEN 'zoho-payroll' WHEN bool_or(t = 'MADE BY QUESS') THEN 'quess' WHEN bool_or(t = 'SALARY SLIP') THEN 'generic-salary-slip' WHEN bool_or(t IN ('PAY SLIP', 'PAYSLIP')) THEN 'generic-payslip' ELSE 'unknown' END AS vendor
+FROM n WHERE r <= 15 GROUP BY doc_id""",
+)
+def payslip_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", f"{s.SEQ} AS line_no", f"{_SLIP} AS t")
+    return fields.vendors(rows.select("doc_id", "line_no", F.array("t").alias("segs")))

@@ -159,3 +159,17 @@ def sink_batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = applicants(spark, sf_dir)
     return apps.agg(F.lit(len(apps.columns)).alias("columns"), F.count("*").alias("rows"))
+
+
+@query(
+    "form_engine_payload",
+    f"""WITH {FORMS_SQL}, k AS (SELECT *, CASE WHEN pl THEN 'PL' WHEN home THEN 'HL' WHEN consumer THEN 'CONSUMER' WHEN agri THEN 'AGRI' WHEN msme THEN 'MSME' WHEN auto THEN 'AUTO' WHEN cc THEN 'CC' END AS kind, CASE WHEN identity IN ('Company', 'HUF') THEN 35 ELSE age END AS years FROM forms)
+SELECT form_id, CASE WHEN identity IN ('Company', 'HUF') THEN identity ELSE 'Individual' END AS entity_type, identity = 'NRI' AS is_nri, CASE WHEN identity = 'NRI' THEN stay_months / 12.0::DOUBLE END AS nri_years, years AS age, years + 7 AS age_at_last_emi, occupation,
+CASE tenure WHEN 'Upto 6 months' THEN 0 WHEN '6 months to 1 year' THEN 6 WHEN '1 year to 2 years' THEN 12 WHEN '2 years and above' THEN 24 END AS current_company_tenure_months, score AS cibil_score, CASE WHEN NOT missed THEN 0 WHEN over_90 THEN 90 ELSE 30 END AS dpd, kind AS write_off_type,
+CASE WHEN coalesce(write_off_amount, 0) > 0 THEN write_off_amount WHEN kind IS NOT NULL THEN 1 ELSE 0 END::DOUBLE AS write_off_amount,
+coalesce(CASE account_bank WHEN 'Bank of Baroda' THEN 'BOB' WHEN 'Indian Bank' THEN 'INDIAN_BANK' WHEN 'Indian Overseas Bank' THEN 'IOB' WHEN 'Bank of Maharashtra' THEN 'BOM' WHEN 'HDFC Bank' THEN 'HDFC' WHEN 'Axis Bank' THEN 'AXIS' WHEN 'Kotak Mahindra Bank' THEN 'KOTAK' END, 'BOI') AS selected_bank,
+CASE account_bank WHEN 'Bank of Baroda' THEN 'BOB' WHEN 'Indian Bank' THEN 'INDIAN_BANK' WHEN 'Indian Overseas Bank' THEN 'IOB' WHEN 'Bank of India' THEN 'BOI' WHEN 'Bank of Maharashtra' THEN 'BOM' WHEN 'HDFC Bank' THEN 'HDFC' WHEN 'Axis Bank' THEN 'AXIS' WHEN 'Kotak Mahindra Bank' THEN 'KOTAK' END AS existing_account_bank,
+CASE WHEN residence = 'Owned' AND office = 'Same' THEN 'RESI_CUM_OFFICE_OWNED' WHEN residence = 'Rented' AND office = 'Same' THEN 'RESI_CUM_OFFICE_RENTED' WHEN residence = 'Owned' THEN 'OWNED' WHEN premises = 'Rented' AND office = 'Separate' THEN 'SEPARATE_BOTH_RENTED' ELSE 'RENTED' END AS property_status FROM k""",
+)
+def form_engine_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f.engine_payload(_forms(spark, sf_dir))
