@@ -103,3 +103,20 @@ def month_grid(elements: DataFrame, most: float = 20.0, least: int = 3) -> DataF
     near = labels.join(cells, ["doc_id", "value_row"]).withColumn("gap", F.abs(F.col("vx") - F.col("lx"))).filter(F.col("gap") <= most)
     best = near.groupBy("doc_id", "label_seq", "year", "month").agg(F.min(F.struct("gap", "seq", "text")).alias("m"))
     return best.select("doc_id", "label_seq", "year", "month", dpd_token(F.col("m.text")).alias("token"))
+
+
+def year_grid(elements: DataFrame, header: DataFrame) -> DataFrame:
+    """(doc_id, year, month, token): cells right of a year's cell and level with it, under the month whose center is nearest.
+
+    ``header`` has (doc_id, month_no, x0, x1) of the month names. A year's cell holds nothing else and stands left of all
+    months; of several cells under a month the rightmost counts.
+    """
+    center = (F.col("x0") + F.col("x1")) / 2
+    months = header.select("doc_id", "month_no", center.alias("mx"), F.col("x0").alias("m0"))
+    begins = months.groupBy("doc_id").agg(F.min("m0").alias("begins"))
+    years = elements.filter(F.trim("text").rlike(r"^20[0-9]{2}$")).join(begins, "doc_id").filter("x0 < begins")
+    years = years.select("doc_id", F.trim("text").cast("int").alias("year"), F.col("y0").alias("yy0"), F.col("y1").alias("yy1"), F.col("x1").alias("yx1"))
+    level = elements.join(years, "doc_id").filter("y0 < yy1 and y1 > yy0 and x0 > yx1").select("doc_id", "year", "seq", "x0", center.alias("vx"), "text")
+    near = level.join(months, "doc_id").groupBy("doc_id", "year", "seq", "x0", "text").agg(F.min(F.struct(F.abs(F.col("vx") - F.col("mx")).alias("gap"), F.col("month_no"))).alias("m"))
+    last = near.groupBy("doc_id", "year", F.col("m.month_no").alias("month_no")).agg(F.max_by("text", F.struct("x0", "seq")).alias("text"))
+    return last.select("doc_id", "year", F.element_at(F.array(*map(F.lit, MONTHS)), F.col("month_no")).alias("month"), dpd_token(F.col("text")).alias("token"))

@@ -41,3 +41,29 @@ def layout_run_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("layout_account_starts")
 def layout_account_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.account_starts(s.elements(spark, sf_dir).filter("is_label"))
+
+
+YEAR_CELL = {
+    "doc_id": "l_orderkey",
+    "seq": s.SEQ,
+    "x0": "CASE WHEN l_partkey % 5 = 0 THEN 10.0 ELSE CAST((l_partkey * 13) % 600 AS DOUBLE) END",
+    "x1": "CASE WHEN l_partkey % 5 = 0 THEN 40.0 ELSE CAST((l_partkey * 13) % 600 + 18 AS DOUBLE) END",
+    "y0": "CAST(l_suppkey % 4 * 20 AS DOUBLE)",
+    "y1": "CAST(l_suppkey % 4 * 20 + 12 AS DOUBLE)",
+    "text": "CASE WHEN l_partkey % 5 = 0 THEN CAST(2010 + l_suppkey % 4 AS STRING) WHEN l_partkey % 4 = 1 THEN 'std' WHEN l_partkey % 4 = 2 THEN '2024-01' ELSE '030' END",
+}
+_HEAD = "SELECT o_orderkey AS doc_id, m AS month_no, CAST(40 + m * 45 AS DOUBLE) AS x0, CAST(60 + m * 45 AS DOUBLE) AS x1 FROM orders, (SELECT unnest(range(1, 13))::INT AS m)"
+
+
+@query(
+    "grid_year_rows",
+    f"""WITH e AS ({select_sql(YEAR_CELL, 'lineitem')}), h AS ({_HEAD}), b AS (SELECT doc_id, min(x0) AS begins FROM h GROUP BY doc_id), y AS (SELECT e.*, CAST(text AS INT) AS year FROM e JOIN b USING (doc_id) WHERE regexp_full_match(trim(text), '20[0-9]{{2}}') AND x0 < begins),
+v AS (SELECT e.doc_id, y.year, e.seq, e.x0, (e.x0 + e.x1) / 2 AS c, e.text FROM e JOIN y ON y.doc_id = e.doc_id AND e.y0 < y.y1 AND e.y1 > y.y0 AND e.x0 > y.x1),
+n AS (SELECT v.doc_id, year, seq, v.x0, text, (min((abs(c - (h.x0 + h.x1) / 2), month_no)))[2] AS month_no FROM v JOIN h ON h.doc_id = v.doc_id GROUP BY v.doc_id, year, seq, v.x0, text),
+t AS (SELECT doc_id, year, month_no, (max((x0, seq, text)))[3] AS text FROM n GROUP BY doc_id, year, month_no)
+SELECT doc_id, year, ['JAN', 'FEB', 'MAR', 'APR', 'MAY', 'JUN', 'JUL', 'AUG', 'SEP', 'OCT', 'NOV', 'DEC'][month_no] AS month, CASE WHEN upper(text) IN ('STD', 'SUB', 'DBT', 'LSS', 'SMA', 'XXX', 'NA', '*') THEN upper(text) WHEN regexp_matches(text, '^[0-9]+$') THEN text END AS token FROM t""",
+)
+def grid_year_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month_no"))
+    header = months.select("doc_id", "month_no", (40.0 + F.col("month_no") * 45).alias("x0"), (60.0 + F.col("month_no") * 45).alias("x1"))
+    return runs.year_grid(table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in YEAR_CELL.items())), header)
