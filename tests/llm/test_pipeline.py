@@ -27,7 +27,9 @@ def test_stages(spark, sf, tmp_path):
     assert ids[2][1] == {c if n else i for i, n, c in brute(rows)}
     assert ids[3][1] == {r.doc_id for r in mixing.mixed_report(steps[3][0]).collect()}
     assert ids[4][1] == ids[3][1]
-    assert cp.run(spark, folder).count() == steps[-1][1].count()
+    # Where documents are cut depends on which tails a task holds; that every token is packed once does not.
+    whole = lambda pieces: sorted(map(tuple, pieces.groupBy("doc_id", "doc_tokens").sum("length").collect()))
+    assert whole(cp.run(spark, folder)) == whole(steps[-1][1])
 
 
 def test_registered_queries_have_the_contract_s_columns():
