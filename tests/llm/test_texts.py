@@ -15,6 +15,8 @@ from lendmill.llm.packing import pack
 from lendmill.llm.registry import byte_vocabulary
 from lendmill.llm.token_counts import PairMerger, count_tokens
 
+from .conftest import prose
+
 
 def test_token_counts_are_the_library_s(odd, rows, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +76,27 @@ def test_packing_fills_windows_with_neighbours():
     assert [[p[0] for p in w] for w in full] == [[0, 2], [1, 3]] and rest == []
 
 
+def test_packing_brings_related_texts_of_other_tasks_together(spark):
+    """Groups of six texts that share rare words, no two of a group in the same task or near each other."""
+    words = [prose(1000 + g, 25) for g in range(60)]
+    texts = [(g * 6 + k, " ".join([words[g], prose(7, 60), words[g]])) for k in range(6) for g in range(60)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(texts, 6), "doc_id long, text string")
+    met: dict = {}
+    for r in pack(docs, **byte_vocabulary()).collect():
+        met.setdefault(r.sequence_id, set()).add(r.doc_id)
+    together = {(a, b) for ids in met.values() for a in ids for b in ids if a < b and a // 6 == b // 6}
+    assert len(together) / (60 * 15) > 0.5
+
+
+def test_packing_asks_again_when_neighbours_are_used_up():
+    from lendmill.llm.packing import fill
+
+    cats, dogs = np.arange(100, 105), np.arange(500, 505)
+    tails = [np.roll(cats if i % 2 else dogs, i) for i in range(160)]
+    full, _ = fill(tails, 400)
+    assert [{p[0] % 2 for p in w} for w in full] == [{0}, {1}]
+
+
 def test_fingerprints_follow_the_order_of_ids(odd, rows, nothing):
     got = fp.fingerprint_documents(odd).collect()
     assert len(got) == len(rows)
