@@ -3,7 +3,9 @@
 Tokens (words) are summed over all documents by cell (source, language, topic). The cells' weights are raked in turn to
 the target share of each source, language and topic; a target is given, or the corpus' own share to the power ``power``
 (below 1: small groups gain). A cell's factor, weight over tokens, becomes the probability of its documents,
-``min(1, c * factor)``, with the one ``c`` that keeps the share ``keep`` of all tokens in expectation. A document stays
+``min(1, c * factor)``, with the one ``c`` that keeps the share ``keep`` of all tokens in expectation. Cells held at 1
+get less than their target, so the sample has the targets only where none is: ``keep=None`` takes the greatest such
+share, ``c = 1 / largest factor``. The default share misses the targets (figures in the README). A document stays
 if a uniform number from the digest of its id is below its probability, so runs repeat and rows are decided alone.
 
 Cells are few and are raked on the driver up to ``MOST_CELLS``; more are raked by joins, with the lineage cut after
@@ -73,8 +75,10 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int
     return weight
 
 
-def calibrated(tokens: np.ndarray, factor: np.ndarray, keep: float) -> np.ndarray:
-    """min(1, c * factor) that keeps the share of all tokens."""
+def calibrated(tokens: np.ndarray, factor: np.ndarray, keep: float | None) -> np.ndarray:
+    """min(1, c * factor) that keeps the share of all tokens; None: the greatest share at which no cell is cut off."""
+    if keep is None:
+        return factor / factor.max() if len(factor) and factor.max() > 0 else np.ones(len(factor))
     order = np.argsort(-factor, kind="stable")
     f, t = factor[order], tokens[order].astype(np.float64)
     aim, whole = keep * t.sum(), np.r_[0, np.cumsum(t)]
@@ -86,7 +90,7 @@ def calibrated(tokens: np.ndarray, factor: np.ndarray, keep: float) -> np.ndarra
     return np.ones(len(factor))
 
 
-def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, keep: float) -> DataFrame:
+def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, keep: float | None) -> DataFrame:
     """The same for cells beyond the driver's bound."""
     total = cells.agg(F.sum("tokens")).first()[0]
     cells = cells.withColumn("w", F.col("tokens").cast("double"))
@@ -97,6 +101,9 @@ def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int
             cells = cells.join(have.select(f"_{m}", ratio.alias("ratio")), f"_{m}").withColumn("w", F.col("w") * F.col("ratio")).drop("ratio")
         cells = checkpointed(cells)
     cells = cells.withColumn("factor", F.col("w") / F.col("tokens"))
+    if keep is None:
+        most = cells.agg(F.max("factor")).first()[0]
+        return cells.select(*_CELL, (F.col("factor") / most if most else F.lit(1.0)).alias("probability"))
     low, high = 0.0, 1.0
     kept = lambda c: cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * c))).first()[0]
     while kept(high) < keep * total * (1 - 1e-12) and high < 1e18:
@@ -107,7 +114,7 @@ def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int
     return cells.select(*_CELL, F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
 
 
-def with_probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+def with_probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, keep: float | None = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """Rows (_row, doc_id, text, source, lang, _source, _lang, _topic, _tokens, probability): _row has all columns of ``docs``.
 
     ``targets`` gives token shares by margin and name (missing names get none); margins without one are tempered.

@@ -118,3 +118,18 @@ def test_windows_cover_every_byte():
 
     rows, owner, length = language_id.windows(*text_bytes(texts))
     assert np.bincount(owner, weights=length).tolist() == [0, 127, 128, 129] and (rows != language_id.PAD).sum() == 384
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_the_sample_meets_its_targets(spark, most, monkeypatch):
+    """A third of the tokens in one source, many small groups: what the sampled cells hold in expectation."""
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    texts = [(i, " ".join(["word"] * (20 + i % 7)), ("en", "de", "fr")[i % 7 % 3], "hot" if i % 3 == 0 else f"s{i % 11}") for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    found = mixing.with_probabilities(docs, keep=None, rounds=20).select("_source", "_lang", "_tokens", "probability").toPandas()
+    assert found["probability"].max() <= 1 + 1e-9 and found["probability"].max() > 0.999
+    found["kept"] = found["_tokens"] * found["probability"]
+    for m in ("_source", "_lang"):
+        sums = found.groupby(m)[["_tokens", "kept"]].sum()
+        want = (sums["_tokens"] / sums["_tokens"].sum()) ** mixing.POWER
+        assert np.allclose(sums["kept"] / sums["kept"].sum(), want / want.sum(), atol=1e-3)
+
+
