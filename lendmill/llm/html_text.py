@@ -3,8 +3,9 @@
 A page is cut into text nodes by its tags. Each node has the path of its elements from the root; a path's length of
 text and number of punctuation marks are summed over its nodes and divided by their number. The two ratios are fused
 (their product), smoothed over the nodes' order in the page by a Gaussian window, and paths whose mean reaches the
-threshold are content. Content's elements, up to the nearest sectioning one, are the article: all that lies in it
-stays, short headings and list items included, but for parts that markup names as something else (menus, headers,
+threshold are content. The article is the lowest article, main, section or div that holds all content, taken from the
+nearest article or main of each; where only the body or less holds it, each one's own element. All that lies in it
+stays, short headings, list items, cells and inner divs included, but for parts that markup names as something else (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, by element or by class, id and role).
 
 Page order and inner text are kept: character references are decoded, white space inside a block becomes one space,
@@ -34,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math".split())
 SPACES = frozenset("br td th img input wbr option".split())
 SECTIONS = frozenset("article main section div td body html".split())
+#: What can be an article's root; a table's cell is one only where it holds blocks (a page laid out by a table).
+ROOTS = frozenset("article main section div td".split())
 NEVER = frozenset("head nav footer aside form script style title textarea noscript iframe noembed noframes template svg math button select option dialog menu object embed audio video canvas map".split())
 KEPT = frozenset("html body article main".split())
 #: An end tag may be missing: a start tag closes an open element of its kind, up to a limit element.
@@ -48,7 +51,7 @@ NAMES = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HEADING = re.compile(r"h[1-6]$")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -70,11 +73,14 @@ def _excluded(tag: str, attributes: str) -> bool:
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, int, int, str]]:
-    """(path, section, block, text) of each text node outside excluded parts, in page order.
+def text_nodes(page: str) -> tuple[list[tuple[str, int, int, str]], dict[int, tuple[str, int]]]:
+    """(path, section, block, text) of each text node outside excluded parts, in page order, and (tag, section above) by section.
 
-    ``section`` is the number of the nearest open sectioning element, ``block`` that of the node's block.
+    ``section`` is the number of the nearest open sectioning element, ``block`` that of the node's block. A cell without
+    blocks is no section of its own.
     """
+    above: dict[int, tuple[str, int]] = {}
+    laid_out: set[int] = set()
     nodes: list[tuple[str, int, int, str]] = []
     #: tag, number, excluded (itself or above), path, section
     stack: list[tuple[str, int, bool, str, int]] = [("", 0, False, "", 0)]
@@ -142,8 +148,15 @@ def text_nodes(page: str) -> list[tuple[str, int, int, str]]:
         number += 1
         inside = any(s[0] in ("article", "main") for s in stack)
         out = top[2] or _excluded(tag, found[3]) or tag == "header" and not inside
+        if tag in BLOCKS and top[4] and above[top[4]][0] == "td":
+            laid_out.add(top[4])
+        if tag in SECTIONS:
+            above[number] = tag, top[4]
         stack.append((tag, number, out, f"{top[3]}/{tag}", number if tag in SECTIONS else top[4]))
-    return nodes
+    own = {0: 0}
+    for s, (tag, up) in above.items():
+        own[s] = own[up] if tag == "td" and s not in laid_out else s
+    return [(path, own[s], block, text) for path, s, block, text in nodes], {s: (tag, own[up]) for s, (tag, up) in above.items() if own[s] == s}
 
 
 def smooth(values: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -170,12 +183,34 @@ def content_sections(nodes: list[tuple[str, int, int, str]], share: float = 0.5)
     return {s[1] for s, k in zip(some, which, strict=True) if content[k]}
 
 
+def article_sections(content: set[int], above: dict[int, tuple[str, int]]) -> set[int]:
+    """The sections of the article: all under its root, or under the roots where no one root holds the content."""
+
+    def line(s: int) -> list[int]:
+        found = [s]
+        while found[-1]:
+            found.append(above[found[-1]][1])
+        return found
+
+    tag = lambda s: above[s][0] if s else ""
+    lines = [line(s) for s in content]
+    roots = {next((a for a in up if tag(a) in ("article", "main")), up[0]) for up in lines}
+    common = max(set.intersection(*map(set, map(line, roots))), default=0) if roots else 0
+    if tag(common) in ROOTS:
+        roots = {common}
+    kept = content | roots
+    for s, (_, up) in above.items():  # a section comes after the one above it
+        if up in kept and tag(up) in ROOTS:
+            kept.add(s)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
-    nodes = text_nodes(page)
-    sections = content_sections(nodes)
+    nodes, above = text_nodes(page)
+    sections = article_sections(content_sections(nodes), above)
     out: dict[int, list[str]] = {}
     for _, section, block, text in nodes:
         if section in sections:

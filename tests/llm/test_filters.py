@@ -66,6 +66,27 @@ def test_toxicity_held_out(spark, odd, nothing, sf):
     got = toxicity.score_toxicity(docs.join(labels, "doc_id"), model).join(labels, "doc_id").filter("held_out").toPandas()
     hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
     assert hit / max(1, (got.predicted == 1).sum()) > 0.8 and hit / (got.toxic == 1).sum() > 0.75
+LONG = "A paragraph, as long as paragraphs are; it has words, marks, and more words. " * 8
+
+
+def test_all_that_lies_in_the_article_stays():
+    table = "<table><tr><th>Year<th>Sum<tr><td>2020<td>12<tr><td><p>2021</p><td>13</table>"
+    links = "<a href=x>Links</a><br>" * 12
+    for tag in ("article", "main", "div"):
+        got = html_text.main_text(f"<body><div><b>{links}</b></div><{tag}><p>{LONG}</p>{table}<div><ul><li>one<li>two</ul></div><p>{LONG}</p></{tag}></body>")
+        assert got.split("\n")[1:-1] == ["Year Sum", "2020 12", "2021", "13", "one", "two"] and "Links" not in got
+    assert html_text.main_text(f"<body><p>{LONG}</p><table><tr><td>2020<td>12</table></body>").endswith("\n2020 12")
+    cells = html_text.main_text(f"<body><table><tr><td><ul>{"<li>Home" * 12}</ul><td><p>{LONG}</p><p>End.</p></table></body>")
+    assert "Home" not in cells and cells.endswith("End.")
+    two = html_text.main_text(f"<body><div><b>{links}</b></div><div><div><p>{LONG}</p></div><div>Short</div><div><p>{LONG}</p></div></div></body>")
+    assert two.split("\n")[1] == "Short" and "Links" not in two
+
+
+def test_quotes_begin_values_only():
+    page = f"<article><p>{LONG}</p><a href=it's>link</a><p title = 'a > b'>It's here.</p><p class=\"x\">Last, isn't it?</p></article>"
+    assert html_text.main_text(page).split("\n")[1:] == ["link", "It's here.", "Last, isn't it?"]
+
+
     scored = toxicity.score_toxicity(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
     kept = toxicity.clean_rows(odd, model)
