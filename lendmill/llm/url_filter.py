@@ -68,7 +68,6 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") -> D
     """
     listed = listed.filter("host is not null and path is not null and host <> ''").groupBy("host", "path", "is_rule").agg(F.min("verdict").alias("verdict"))
     size = listed.count()
-    lengths = [r[0] for r in listed.select(F.length("path")).distinct().orderBy(F.length("path")).limit(1000).collect()] if size else []
     blocks = min(MOST_BLOCKS, max(1, 1 << (size // KEYS_A_BLOCK).bit_length()))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not size:
@@ -76,8 +75,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") -> D
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda p: p.isNotNull())
-    tried = urls.filter("host <> ''").select("host", "path", F.explode(suffixes).alias("h"), heads.alias("heads")).select("host", "path", "h", F.explode("heads").alias("p"))
+    # One row: the lengths of listed paths, all of them; at most as many as the longest path has characters.
+    lengths = listed.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    heads = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tried = urls.filter("host <> ''").crossJoin(F.broadcast(lengths)).select("host", "path", F.explode(suffixes).alias("h"), heads.alias("heads")).select("host", "path", "h", F.explode("heads").alias("p"))
     key = _key(F.col("h"), F.col("p"))
     tried = tried.withColumn("block", F.pmod(key, F.lit(blocks))).withColumn("bits", _bits(key))
     possible = tried.join(F.broadcast(bloom_blocks(listed, blocks)), "block").filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).select("host", "path", "h", "p")

@@ -44,6 +44,13 @@ def test_false_positives_of_the_filter_go(spark):
     assert blocks.count() <= 64 and blocks.filter(F.col("mask") == 0).count() == 0
 
 
+def test_entries_with_long_paths_are_found(spark):
+    many = [("long.test", "/" + "a" * n, "block", False) for n in range(1, 1300)] + [("deep.test", "/" + "b" * 1500, "block", False)]
+    pages = spark.createDataFrame([(1, "http://deep.test/" + "b" * 1501), (2, "http://deep.test/" + "b" * 1499), (3, "http://x.long.test/" + "a" * 1299)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, spark.createDataFrame(many, url_filter.ENTRY_SCHEMA)).collect()}
+    assert [got[i].verdict for i in (1, 2, 3)] == ["block", "allow", "block"] and len(got[3].listed) == len("long.test/") + 1299
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header class="site">Site</header><div class="cookie-notice">We use cookies, many of them.</div>
 <nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Head &amp; line</h1><p>First   para with <b>bold</b> text, and more.<p>Second&nbsp;para, long enough; surely so.<ul><li>one<li>two</ul><blockquote>Said so.</blockquote></article>
 <aside>Side</aside><div class="ad">Buy this now, it is cheap.</div><form>Name <input></form><section id="comments"><p>Nice post! I liked it a lot, thanks for it.</p></section><!-- c --><footer>&copy; me</footer></body></html>"""
@@ -59,13 +66,6 @@ def test_main_text(spark):
     assert len(got) == 4 and sorted(r.n_chars for r in got) == sorted(len(html_text.main_text(r[2])) for r in rows)
 
 
-def test_toxicity_held_out(spark, odd, nothing, sf):
-    folder = sf.replace("sf0.001", "sf0.1")
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    model = toxicity.fit_toxicity(docs, labels)
-    got = toxicity.score_toxicity(docs.join(labels, "doc_id"), model).join(labels, "doc_id").filter("held_out").toPandas()
-    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
-    assert hit / max(1, (got.predicted == 1).sum()) > 0.8 and hit / (got.toxic == 1).sum() > 0.75
 LONG = "A paragraph, as long as paragraphs are; it has words, marks, and more words. " * 8
 
 
@@ -87,6 +87,13 @@ def test_quotes_begin_values_only():
     assert html_text.main_text(page).split("\n")[1:] == ["link", "It's here.", "Last, isn't it?"]
 
 
+def test_toxicity_held_out(spark, odd, nothing, sf):
+    folder = sf.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    got = toxicity.score_toxicity(docs.join(labels, "doc_id"), model).join(labels, "doc_id").filter("held_out").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert hit / max(1, (got.predicted == 1).sum()) > 0.8 and hit / (got.toxic == 1).sum() > 0.75
     scored = toxicity.score_toxicity(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
     kept = toxicity.clean_rows(odd, model)
@@ -124,21 +131,6 @@ def test_mixing_as_in_sql(odd, rows, nothing, most, monkeypatch):
     assert mixing.mix(nothing).count() == 0
 
 
-def test_raking_meets_given_targets():
-    cells = pd.DataFrame({"source": list("aabb"), "lang": list("xyxy"), "topic": list("tttt"), "tokens": [100, 50, 30, 20]})
-    targets = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}
-    weight = mixing.rake(cells, targets, rounds=50)
-    assert np.allclose(weight.sum(), 200) and np.isclose(weight[:2].sum(), 80) and np.isclose(weight[[0, 2]].sum(), 100)
-    p = mixing.calibrated(cells["tokens"].to_numpy(), weight / cells["tokens"].to_numpy(), 0.5)
-    assert np.isclose((p * cells["tokens"]).sum(), 100) and p.max() <= 1
-
-
-def test_windows_cover_every_byte():
-    texts = pa.array(["", "a" * 127, "b" * 128, "c" * 129])
-    from lendmill.llm.ragged import text_bytes
-
-    rows, owner, length = language_id.windows(*text_bytes(texts))
-    assert np.bincount(owner, weights=length).tolist() == [0, 127, 128, 129] and (rows != language_id.PAD).sum() == 384
 @pytest.mark.parametrize("most", [100_000, 1])
 def test_the_sample_meets_its_targets(spark, most, monkeypatch):
     """A third of the tokens in one source, many small groups: what the sampled cells hold in expectation."""
@@ -154,3 +146,18 @@ def test_the_sample_meets_its_targets(spark, most, monkeypatch):
         assert np.allclose(sums["kept"] / sums["kept"].sum(), want / want.sum(), atol=1e-3)
 
 
+def test_raking_meets_given_targets():
+    cells = pd.DataFrame({"source": list("aabb"), "lang": list("xyxy"), "topic": list("tttt"), "tokens": [100, 50, 30, 20]})
+    targets = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}
+    weight = mixing.rake(cells, targets, rounds=50)
+    assert np.allclose(weight.sum(), 200) and np.isclose(weight[:2].sum(), 80) and np.isclose(weight[[0, 2]].sum(), 100)
+    p = mixing.calibrated(cells["tokens"].to_numpy(), weight / cells["tokens"].to_numpy(), 0.5)
+    assert np.isclose((p * cells["tokens"]).sum(), 100) and p.max() <= 1
+
+
+def test_windows_cover_every_byte():
+    texts = pa.array(["", "a" * 127, "b" * 128, "c" * 129])
+    from lendmill.llm.ragged import text_bytes
+
+    rows, owner, length = language_id.windows(*text_bytes(texts))
+    assert np.bincount(owner, weights=length).tolist() == [0, 127, 128, 129] and (rows != language_id.PAD).sum() == 384
