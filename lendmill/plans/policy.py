@@ -194,6 +194,13 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("app_id", "bank_code", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("status"), "rule_id", "user_value", "limit_value")
 
 
+@query("report_rows_all")
+def report_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of the selected lender for every rule that applied, with what it is called, what it looked at and its limit."""
+    found = p.outcomes(offers(spark, sf_dir).filter("bank_code = selected_bank"), report=True)
+    return found.select("app_id", "bank_code", "rule_no", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("status"), "rule_id", "parameter_name", "user_value", "limit_value")
+
+
 @query("policy_column_coverage", "SELECT " + str(len(p.USUAL)) + " AS thresholds, 17 AS company_thresholds, 0 AS unread")
 def policy_column_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds that no rule reads: set difference of the policy's columns and those in the rules' expressions."""
