@@ -1,6 +1,8 @@
 """Token counts, packing, fingerprints and media columns against libraries and round trips."""
 
 import hashlib
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -34,6 +36,28 @@ def test_token_counts_of_odd_characters(text):
     assert PairMerger(path).count([text])[0] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_every_code_point_and_of_random_strings():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), PairMerger(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    draw = random.Random(5)
+    pool = points[:0x3000] + list("abcdefghij '<|>.,!?12 \n\t") * 300
+    mixed = ["".join(draw.choice(pool) for _ in range(draw.randint(1, 12))) for _ in range(50_000)]
+    for texts in (points[::3], ["a" + c + "\u0301b's" for c in points[1::3]], mixed):
+        assert own.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_unspaced_runs_merge_in_bounded_time():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, draw = Tokenizer.from_file(path), PairMerger(path), random.Random(9)
+    texts = ["".join(draw.choices("abcdeilnorst"[:k], k=draw.randint(60, 900))) for k in range(1, 13) for _ in range(30)]
+    texts += ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 1_000_000]
+    began = time.process_time()
+    found = own.count(texts).tolist()
+    assert time.process_time() - began < 10
+    assert found == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_places_every_id_once(odd, rows, nothing):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = pack(odd, **byte_vocabulary(), with_ids=True).collect()
