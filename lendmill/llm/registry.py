@@ -18,8 +18,8 @@ from lendmill.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def byte_vocabulary() -> dict:
-    """Ranks, pattern and special string of the byte-level vocabulary of byte_bpe_50k.json."""
-    return {"ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": (("<|endoftext|>", 50256),)}
+    """Files, pattern and special string of the byte-level vocabulary of byte_bpe_50k.json."""
+    return {"file": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": (("<|endoftext|>", 50256),)}
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

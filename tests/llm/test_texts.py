@@ -90,6 +90,17 @@ def test_packing_places_every_id_once(odd, rows, nothing):
     assert pack(nothing, **byte_vocabulary()).count() == 0
 
 
+def test_packing_of_long_white_space_and_words(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "\n" * 2_000_000 + "end", "ab" * 2_500_000, "x" + "\t " * 60_000 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids: dict = {}
+    for r in sorted(pack(docs, **byte_vocabulary(), with_ids=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids[r.doc_id] = ids.get(r.doc_id, b"") + r.ids
+    for i, text in enumerate(texts):
+        assert np.frombuffer(ids[i], "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing_fills_windows_with_neighbours():
     from lendmill.llm.packing import Shard, fill
 
