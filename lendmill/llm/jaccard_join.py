@@ -13,15 +13,25 @@ has two layers of pivots:
 2. Regions that hold the same documents get one label and are joined once. Inside such a region documents are pivots:
    distances to a few of them give links and Voronoi cells, windows of twice the threshold replicate boundary
    documents, and cells join recursively; a cell that no longer shrinks compares its pivots one by one through an
-   inverted index. Documents that are already connected are not compared again. A region that is too large for a task
-   is split into blocks, and every pair of blocks is a task of bounded size.
+   inverted index. Documents that are already connected are not compared again.
+3. A region that is too large for a task is cut by the same rule across tasks: every block of it meets about ``PIVOTS``
+   documents of the region, which gives their links, the Voronoi cells and the windows. The members of a cell that its
+   pivot is linked with are connected already, so they go on only where a member that is not linked lies within the
+   threshold of their distance to the pivot; a region of near copies so ends after one pass over it. Cells that are
+   still too large are cut again; one that does not shrink is split into blocks, and pairs of blocks are tasks of
+   bounded size, without those that hold connected members alone.
+
+Long documents meet over a fixed part of the hash space. One whose part is too small to hold a common shingle of each
+link for certain (at most a quarter of its shingles) meets over all its shingles as well. Of two linked documents without
+a common shingle in that part both are of this kind, so no link is lost.
 
 Equal sets are one point of the space (a 63-bit digest), so exact copies are never compared. Shingles travel as packed
 arrays dealt by hash; a shingle that very many documents hold streams through its task in bounded memory.
 
 Cases: null and empty texts and texts without words have no shingles and link with nothing; repeated rows fall
-together; ties of ids keep the smallest; a null doc_id counts only when its whole group has none; extra columns are
-ignored by ``jaccard_components`` and kept by ``one_of_each``.
+together; ties of ids keep the smallest; a null doc_id counts only when its whole group has none; a text of any length is
+one set, and holds its task's memory by its length; an empty table gives none; extra columns of any name are ignored by
+``jaccard_components`` and kept by ``one_of_each``; a doc_id of any ordered type is returned as it is.
 """
 
 from __future__ import annotations
@@ -46,7 +56,11 @@ SHORT, PART = (48, 64), 0.4
 #: Entries that a task gathers before it sends them on, and entries of one shingle that make it stream.
 FLUSH, HOT = 1 << 21, 4096
 #: Documents and shingles of half a region task.
-HALF_DOCS, HALF_SHINGLES = 2048, 2 << 20
+HALF_DOCS, HALF_SHINGLES = 1024, 2 << 20
+#: Pivots of a region that is cut across tasks (on average), rounds of cutting, and the share that counts as shrinking.
+PIVOTS, ROUNDS, SHRUNK = 8, 5, 0.8
+#: Two documents within it are linked, and the window of the triangle inequality.
+THRESHOLD = (100 - PERCENT) / 100 + 1e-9
 
 _U = np.uint64
 PACKED = "bucket int, kind int, a binary, b binary, c binary"
@@ -121,7 +135,9 @@ def send_windows(docs: DataFrame, buckets: np.ndarray) -> DataFrame:
                     new[i] = key not in seen
                     seen.add(key)
             owner = np.repeat(np.arange(len(n)), n)
-            for level, chosen in ((0, new & (n <= SHORT[1])), (1, new & (n > SHORT[0]))):
+            # A document whose part may miss all that it shares with a partner meets over all its shingles too.
+            part = np.bincount(owner[values < _U(int(PART * 2**64))], minlength=len(n))
+            for level, chosen in ((0, new & ((n <= SHORT[1]) | (part <= n // 4))), (1, new & (n > SHORT[0]))):
                 if not chosen.any():
                     continue
                 place = np.cumsum(chosen) - 1 + rows
@@ -368,17 +384,111 @@ def _region_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": keys[joined], "v": keys[roots[joined]]})
 
 
-def in_blocks(pairs: DataFrame) -> DataFrame:
-    """Regions of more than two blocks are dealt out: a task for every pair of their blocks."""
-    sizes = pairs.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / HALF_DOCS), F.ceil(F.sum("n") / HALF_SHINGLES)).cast("int").alias("blocks"))
-    dealt = pairs.join(sizes.filter("blocks > 2"), "p", "left").withColumn("own", F.expr("pmod(xxhash64(x), blocks)").cast("int"))
-    other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("other", F.explode(other))
-    return dealt.select("x", "p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with a row for each key in ``small``; the rows of a key are spread over all partitions."""
+    salts = shuffle_partitions(rows.sparkSession)
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.expr(f"pmod(xxhash64(x), {salts})").cast("int")).join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+def _measured(docs: pa.Table, pivots: pa.Table) -> pa.Table:
+    """(x, p, n, pivot, d, linked, home, settled) for the cells that a block's documents reach."""
+    key, label = docs.column("x").to_numpy(), docs.column("p").to_numpy()
+    out: dict[str, list] = {name: [] for name in ("x", "p", "n", "pivot", "d", "linked", "home", "settled")}
+    if len(key) and pivots.num_rows:
+        sets = [np.frombuffer(s, np.uint64) for s in docs.column("shingles").to_pylist()]
+        size = np.array([len(s) for s in sets], np.int64)
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        pivots = pivots.sort_by("x")
+        names = pivots.column("x").to_numpy()
+        common = np.empty((len(sets), len(names)), np.int64)
+        other = np.empty(len(names), np.int64)
+        for j, raw in enumerate(pivots.column("shingles").to_pylist()):
+            own = np.frombuffer(raw, np.uint64)  # sorted
+            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            common[:, j], other[j] = np.bincount(owner[own[at] == values], minlength=len(sets)), len(own)
+        union = size[:, None] + other - common
+        far, linked = 1 - common / union, 100 * common >= PERCENT * union
+        row, cell = np.nonzero(far <= far.min(axis=1, keepdims=True) + 2 * THRESHOLD)
+        home = far.argmin(axis=1)
+        out = {
+            "x": key[row], "p": label[row], "n": size[row].astype(np.int32), "pivot": names[cell], "d": far[row, cell], "linked": linked[row, cell],
+            "home": home[row] == cell, "settled": np.isin(key, names)[row],
+        }
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_())
+    return pa.table({name: pa.array(c, kind) for (name, c), kind in zip(out.items(), kinds, strict=True)})
+
+
+def _still_open(cells: DataFrame) -> DataFrame:
+    """Members of cells that may have a link which the pivots have not shown.
+
+    A cell owes the links of its home documents with all its members, but for pairs that are both linked with the pivot.
+    A member stays if the distances of such partners to the pivot, taken as a range, come within the threshold of its own.
+    """
+    groups = {"hu": "home and not linked", "hs": "home and linked", "vu": "not home and not linked", "vs": "not home and linked"}
+    bounds = [f(F.when(F.expr(e), F.col("d"))).alias(f"{g}_{n}") for g, e in groups.items() for n, f in (("low", F.min), ("high", F.max))]
+    stats = cells.filter("not settled").groupBy("p", "pivot").agg(*bounds, F.count("*").alias("m"))
+    owed = {"hu": ("hu", "hs", "vu", "vs"), "hs": ("hu", "vu"), "vu": ("hu", "hs"), "vs": ("hu",)}
+    near = {g: " or ".join(f"({o}_low <= d + {THRESHOLD} and {o}_high >= d - {THRESHOLD})" for o in some) for g, some in owed.items()}
+    stays = " or ".join(f"(({groups[g]}) and ({e}))" for g, e in near.items())
+    return _salted(cells.filter("not settled"), stats, ["p", "pivot"]).filter(f"m > 1 and coalesce({stays}, false)")
+
+
+def _blocks() -> F.Column:
+    return F.greatest(F.ceil(F.count("*") / HALF_DOCS), F.ceil(F.sum("n") / HALF_SHINGLES)).cast("int")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Regions in blocks, a task for every pair of blocks but for pairs whose documents are all linked with one pivot."""
+    sizes = rows.groupBy("p", "linked").agg(_blocks().alias("blocks"))
+    both = sizes.groupBy("p").agg(F.coalesce(F.max(F.when(~F.col("linked"), F.col("blocks"))), F.lit(0)).alias("open"), F.coalesce(F.max(F.when(F.col("linked"), F.col("blocks"))), F.lit(0)).alias("tied"))
+    dealt = _salted(rows, both.filter("open > 0"), ["p"]).withColumn("own", F.expr("pmod(xxhash64(x, 1), if(linked, tied, open)) + if(linked, open, 0)").cast("int"))
+    other = F.expr("if(linked, sequence(0, open - 1), sequence(0, open + tied - 1))")
+    return dealt.withColumn("other", F.explode(other)).select("x", "p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def cut_regions(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Tasks (x, p, i, j) of bounded size for the regions ``pairs`` (x, p, n), and the links (u, v) found on the way."""
+    one = lambda rows: rows.select("x", "p", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = checkpointed(pairs.groupBy("p").agg(_blocks().alias("blocks"), F.count("*").alias("m")).filter("blocks > 2"))
+    if large.isEmpty():
+        return one(pairs), []
+    rows = checkpointed(_salted(pairs.withColumn("linked", F.lit(False)), large, ["p"]))
+    # The regions that fit a task: a salted anti join.
+    fits = pairs.groupBy("p").agg(_blocks().alias("blocks")).filter("blocks <= 2").select("p")
+    tasks, links = [checkpointed(one(_salted(pairs, fits, ["p"])))], []
+    for number in range(ROUNDS):
+        drawn = rows.filter(F.expr(f"pmod(xxhash64(x, {number + 2}), m) < {PIVOTS}")).select("x", "p", "blocks")
+        drawn = drawn.unionByName(rows.groupBy("p").agg(F.min("x").alias("x"), F.first("blocks").alias("blocks")).select("x", "p", "blocks")).distinct()
+        pivots = drawn.join(sets, "x").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("x", "p", "own", "shingles").toDF("x", "q", "at", "shingles")
+        members = rows.withColumn("own", F.expr("pmod(xxhash64(x, 1), blocks)").cast("int")).join(sets, "x").select("x", "p", "own", "shingles").toDF("x", "p", "own", "shingles")
+        cells = members.groupBy("p", "own").cogroup(pivots.groupBy("q", "at")).applyInArrow(
+            _measured, "x long, p long, n int, pivot long, d double, linked boolean, home boolean, settled boolean"
+        )
+        cells = checkpointed(_salted(cells, rows.groupBy("p").agg(F.first("m").alias("above")), ["p"]))
+        links.append(cells.filter("linked and x <> pivot").select(F.col("x").alias("u"), F.col("pivot").alias("v")))
+        opened = _still_open(cells).select("x", F.xxhash64("p", "pivot", F.lit(number)).alias("p"), "n", "linked", "above")
+        opened = checkpointed(opened)
+        sizes = opened.groupBy("p").agg(_blocks().alias("blocks"), F.count("*").alias("m"), F.first("above").alias("above"), F.count_if(~F.col("linked")).alias("open"))
+        shrunk = f"m <= {SHRUNK} * above"
+        sized = checkpointed(_salted(opened.drop("above"), sizes, ["p"]))
+        tasks.append(one(sized.filter("blocks <= 2 and open > 0")))
+        last = number + 1 == ROUNDS
+        tasks.append(checkpointed(_in_blocks(sized.filter("blocks > 2" if last else f"blocks > 2 and not ({shrunk})").select("x", "p", "n", "linked"))))
+        if last:
+            break
+        rows = sized.filter(f"blocks > 2 and {shrunk}").select("x", "p", "n", "linked", "blocks", "m")
+        if rows.isEmpty():
+            break
+    whole = tasks[0]
+    for more in tasks[1:]:
+        whole = whole.unionByName(more)
+    return whole, links
 
 
 def _marked(docs: DataFrame, wanted: Bitmap) -> DataFrame:
     """(doc_id, n, key, shingles) of every row; the shingles only where the key may be wanted, once in a task."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -392,10 +502,10 @@ def _marked(docs: DataFrame, wanted: Bitmap) -> DataFrame:
                     seen.add(int(keys[i]))
                     sets[i] = values[ends[i] : ends[i + 1]].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), pa.array(sets, pa.binary())], ["doc_id", "n", "key", "shingles"]
+                [batch.column("doc_id"), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), pa.array(sets, pa.binary())], ["doc_id", "n", "key", "shingles"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key long, shingles binary")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -405,8 +515,11 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = checkpointed(label_regions(choose_pivots(counted, buckets), buckets))
     marked = checkpointed(_marked(docs, bitmap_of(pairs.select("x"))))
     sets = marked.filter("shingles is not null").select(F.col("key").alias("x"), "shingles").dropDuplicates(["x"])
-    links = in_blocks(pairs).join(sets, "x").groupBy("p", "i", "j").applyInArrow(_region_links, "u long, v long").distinct()
-    connected = components(links)
+    tasks, found = cut_regions(pairs, sets)
+    links = tasks.join(sets, "x").groupBy("p", "i", "j").applyInArrow(_region_links, "u long, v long")
+    for more in found:
+        links = links.unionByName(more)
+    connected = components(links.distinct())
     own = marked.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows"))
     own = own.join(connected.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     whole = own.groupBy("component").agg(F.min("_least").alias("component_id"), F.sum("_rows").alias("rows"))
@@ -427,20 +540,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows whose set stands alone never move; only possible members of groups are shuffled.
     """
     _, classes = _classes(docs)
-    several = checkpointed(classes.filter("rows > 1").select(F.col("key").alias("__key"), "component"))
-    wanted = bitmap_of(several.select("__key"))
+    # Names that the rows cannot have, whatever they are called.
+    key, near = (f"__{n}_{max(map(len, docs.columns), default=0) * '_'}" for n in ("key", "near"))
+    several = checkpointed(classes.filter("rows > 1").select("key", "component"))
+    wanted = bitmap_of(several.select("key"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             _, ends, keys = shingle_sets(batch.column("text"))
-            near = wanted.has(keys.view(np.int64)) & (np.diff(ends) > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64)), pa.array(near)], [*names, "__key", "__near"])
+            hits = wanted.has(keys.view(np.int64)) & (np.diff(ends) > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64)), pa.array(hits)], [*names, key, near])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__near", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType()), T.StructField(near, T.BooleanType())])
     tagged = docs.mapInArrow(run, schema)
-    alone = tagged.filter("not __near").select(*names)
-    groups = tagged.filter("__near").select("__key", F.struct(*names).alias("row")).join(several, "__key", "left").withColumn("component", F.coalesce("component", "__key"))
+    row = [F.col(f"`{n}`") for n in names]
+    alone = tagged.filter(~F.col(near)).select(*row)
+    groups = tagged.filter(F.col(near)).select(F.col(key).alias("key"), F.struct(*row).alias("row")).join(several, "key", "left").withColumn("component", F.coalesce("component", "key"))
     order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("row.text"))
     chosen = groups.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row.*")
     return alone.unionByName(chosen)

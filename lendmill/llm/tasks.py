@@ -21,20 +21,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share: the session's, and one of its own only where that is unset."""
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/lendmill-checkpoints-{uuid.uuid4().hex[:12]}"
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``, else one beside its warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lendmill-checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; set one only where it is unset."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a table in the shared folder; unlike a checkpoint's, its size is known to later plans."""
+    folder = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def dealing_keys(spark: SparkSession, n: int) -> np.ndarray:

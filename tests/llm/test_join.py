@@ -65,6 +65,91 @@ def test_odd_rows(odd, rows, nothing):
     assert kept.count() == len(set(groups_of([r[:2] for r in rows])[1]))
 
 
+def test_links_without_a_common_shingle_in_the_part_are_found(spark):
+    """Pairs of long documents whose common shingles all lie above PART of the hash space, among usual ones."""
+    own, low, high = random.Random(4), [], []
+    import pyarrow as pa
+
+    while len(high) < 200:  # sequences of five words by where the hash of their shingle lies
+        texts = [" ".join(f"v{own.randint(0, 10**6)}" for _ in range(5)) for _ in range(500)]
+        values, _, _ = jj.shingle_sets(pa.array(texts))
+        for t in texts:
+            (value,), _, _ = jj.shingle_sets(pa.array([t]))
+            (low if value < np.uint64(int(jj.PART * 2**64)) else high).append(t)
+    sets = lambda some: jj.shingle_sets(pa.array(some))
+    values = {t: int(sets([t])[0][0]) for t in low[:80] + high[:200]}
+    made = {1: high[:90] + low[:9], 2: high[:90] + low[9:18], 3: high[100:190], 4: high[100:185]}
+    real, docs = jj.shingle_sets, spark.createDataFrame([(i, str(i)) for i in made], "doc_id long, text string")
+    crafted = {str(i): np.array(sorted(values[t] for t in some), np.uint64) for i, some in made.items()}
+    entries: dict = {}
+
+    def shingle_sets(texts):
+        found = [crafted[t] for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        return np.concatenate(found), ends, np.array([np.uint64(int(t) * 2) for t in texts.to_pylist()])
+
+    # The window sender is run in this process on crafted sets; what it sends decides which documents can meet.
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([pa.RecordBatch.from_pydict({"text": ["1", "2", "3", "4"]})])))
+
+    jj.shingle_sets = shingle_sets
+    try:
+        for batch in jj.send_windows(Docs(), np.array([0], np.int32)):
+            for row in batch.to_pylist():
+                if row["kind"] == jj.ENTRIES:
+                    refs = np.frombuffer(row["c"], np.uint64)
+                    for s, i in zip(np.frombuffer(row["a"], np.uint64).tolist(), np.frombuffer(row["b"], np.uint16).tolist(), strict=True):
+                        entries.setdefault(s, set()).add(int(refs[i]) & ~1)
+    finally:
+        jj.shingle_sets = real
+    met = {frozenset(p) for some in entries.values() for p in [(a, b) for a in some for b in some if a < b]}
+    assert docs.count() == 4 and {frozenset((2, 4)), frozenset((6, 8))} <= met
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_large_regions_are_cut_by_pivots(spark, seed, monkeypatch):
+    """One region of several families: stars, two separate clusters, chains, and documents in between."""
+    monkeypatch.setattr(jj, "HALF_DOCS", 6)
+    monkeypatch.setattr(jj, "PIVOTS", (2, 4)[seed])
+    monkeypatch.setattr(jj, "SHRUNK", (0.8, 0.95)[seed])
+    own = np.random.default_rng(seed)
+    shared, sets = own.integers(0, 2**62, 30, dtype=np.uint64), []
+    for _ in range(4):
+        base = np.r_[shared, own.integers(0, 2**62, 60, dtype=np.uint64)]
+        for _ in range(25):
+            base = base if own.random() < 0.7 else np.r_[base[3:], own.integers(0, 2**62, 3, dtype=np.uint64)]
+            keep = base[own.random(len(base)) > own.choice((0.0, 0.03, 0.1, 0.2))]
+            sets.append(np.unique(np.r_[keep, own.integers(0, 2**62, int(own.integers(0, 4)), dtype=np.uint64)]))
+    pairs = spark.createDataFrame([(i, 7, len(s)) for i, s in enumerate(sets)] + [(1000 + i, 8, 3) for i in range(2)], "x long, p long, n int")
+    shingles = [(i, bytearray(s.tobytes())) for i, s in enumerate(sets)] + [(1000 + i, bytearray(np.arange(3, dtype=np.uint64).tobytes())) for i in range(2)]
+    held = spark.createDataFrame(shingles, "x long, shingles binary")
+    tasks, found = jj.cut_regions(pairs, held)
+    assert found and tasks.groupBy("p", "i", "j").count().agg({"count": "max"}).first()[0] < 60
+    links = tasks.join(held, "x").groupBy("p", "i", "j").applyInArrow(jj._region_links, "u long, v long")
+    for more in found:
+        links = links.unionByName(more)
+    got = {r.node: r.component for r in components(links).collect()}
+    whole, parent = [set(s.tolist()) for s in sets], list(range(len(sets)))
+    for i, a in enumerate(whole):
+        for j in range(i):
+            common = len(a & whole[j])
+            if 100 * common >= 75 * (len(a) + len(whole[j]) - common) and parent[i] != parent[j]:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    assert [got.get(i, i) for i in range(len(sets))] == parent and got[1001] == 1000
+
+
+def test_text_ids_and_names_that_clash(spark):
+    docs = spark.createDataFrame([("b", "one two three", 1, 2, 3), ("a", "One two three", 1, 2, 3), ("c", None, 1, 2, 3)], "doc_id string, text string, __key int, __near int, __x int")
+    assert sorted(r.component_id for r in jj.jaccard_components(docs).collect()) == ["a", "a", "c"]
+    kept = jj.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == ["a", "c"]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_families_with_shared_passages(spark, seed, monkeypatch):
     if seed == 3:  # tiny blocks and tasks: every region is split, every shingle streams
