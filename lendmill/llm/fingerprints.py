@@ -7,12 +7,14 @@ packed; the likeness of two fingerprints is the share of equal bins, corrected f
 (``(match - 2**-BITS) / (1 - 2**-BITS)``, not below 0).
 
 ``with_next`` pairs each document with the one after it in the order of descending doc_id without gathering the order
-in one task: rows are dealt into ranges of the id, each range gets a copy of the first row that follows it, and the
-order is local from there.
+in one task: rows are dealt into ranges of the id, one a partition, each range gets a copy of the first row that follows
+it, and the order is local from there. The driver holds about ``DRAWN`` ids and one place for each range, never a text.
 
 Cases: null is the empty text; texts without words have the empty fingerprint, alike (1) to each other only; rows with
 the same id come in the order of a hash of the text, and a null id after all others; repeated rows are fingerprinted
-each; a table of one row follows itself; extra columns are dropped.
+each and lie in one range; a table of one row follows itself; a text of any length is one block of its task; an empty
+table gives no rows; an id that is no number counts as 0 in the order, so such rows come in the order of the hash; extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lendmill.llm.ragged import BLOCK_BYTES, mix64, shingles, text_bytes, words
-from lendmill.llm.tasks import shuffle_partitions
+from lendmill.llm.ragged import BLOCK_BYTES, blocks, mix64, shingles, text_bytes, words
+from lendmill.llm.tasks import dealing_keys, shuffle_partitions
 
 BINS, BITS = 256, 4
 #: Ids drawn for each range when the ranges are laid out.
@@ -93,26 +96,35 @@ def _range(cuts: list[tuple], at) -> F.Column:
     return F.lit(len(cuts)) - part * step - below(F.element_at(F.array(*map(literal, parts)), part + 1))
 
 
+def _dealt_to(n: int, keys: np.ndarray):
+    """The key that deals a range's rows to a partition of their own."""
+    return F.element_at(F.array(*(F.lit(int(k)) for k in keys)), (F.col("range") % n + 1).cast("int"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (range, id, tie, text, extra), to be read range by range in descending (id, tie); an ``extra`` row ends each
     range and holds the row after it (after the last row: the very first)."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    # As many ranges as shuffle partitions, or as the input has pieces where these are more.
+    n = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("doc_id", text).alias("tie")).alias("at"), text.alias("text"))
-    # A bounded draw lays out the ranges; every row is dealt whatever they are.
-    drawn = sorted(tuple(r[0]) for r in keyed.select("at", F.xxhash64("at").alias("_h")).orderBy("_h").limit(n * DRAWN).select("at").collect())
+    keyed = docs.select("doc_id", F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)).alias("id"), F.xxhash64("doc_id", text).alias("tie")).alias("at"), text.alias("text"))
+    # A draw of about DRAWN ids a range lays out the ranges; every row is dealt whatever they are.
+    share = min(1.0, n * DRAWN / max(docs.count(), 1))
+    drawn = keyed.select("at").filter(F.pmod(F.xxhash64("at", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    drawn = sorted(tuple(r[0]) for r in drawn.collect())
     cuts = list(dict.fromkeys(drawn[i * len(drawn) // n] for i in range(1, n))) if drawn else []
-    place = _range(cuts, F.col("at"))
-    dealt = keyed.withColumn("range", place)
-    # The first row of each range (at most one row a range), and the range it has to end: the one before it that is not empty.
-    tops = dealt.groupBy("range").agg(F.max("at").alias("at"))
-    first = dealt.join(F.broadcast(tops), ["range", "at"]).groupBy("range").agg(F.max(F.struct("at", "text")).alias("top"))
-    order = Window.orderBy("range")
-    ends = F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy()))
-    copies = first.select(ends.alias("range"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("top.at").alias("at"), F.col("top.text").alias("text"), F.lit(True).alias("extra"))
+    dealt = keyed.withColumn("range", _range(cuts, F.col("at")))
+    # The first place of each range (one small row a range), and the range that ends with it: the last one before it
+    # that is not empty. Only here are all ranges looked at together; the texts of these rows go straight to their range.
+    tops = sorted((r[0], tuple(r[1])) for r in dealt.groupBy("range").agg(F.max("at").alias("at")).collect())
+    ends = [(number, at, tops[i - 1][0]) for i, (number, at) in enumerate(tops)]
+    named = spark.createDataFrame(ends, "range int, at struct<known: boolean, id: long, tie: long>, ends: int")
+    first = dealt.join(F.broadcast(named), ["range", "at"]).groupBy(F.col("ends").alias("range")).agg(F.max(F.struct("at", "text")).alias("top"))
+    copies = first.select("range", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("top.at").alias("at"), F.col("top.text").alias("text"), F.lit(True).alias("extra"))
     rows = dealt.select("range", "doc_id", "at", "text", F.lit(False).alias("extra")).unionByName(copies)
-    return rows.repartition(n, "range").sortWithinPartitions("range", "extra", F.col("at").desc())
+    key = _dealt_to(n, dealing_keys(spark, n))
+    return rows.withColumn("key", key).repartition(n, "key").sortWithinPartitions("range", "extra", F.col("at").desc())
 
 
 def edited(text: str, following: str) -> str:
@@ -145,7 +157,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
-        for batch in batches:
+        for batch in blocks(batches):
             for doc_id, text, extra in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("extra").to_pylist(), strict=True):
                 texts.append(text)
                 held += len(text)
@@ -158,6 +170,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     yield finish(ids[:-1], texts)
                     ids, texts, held = ids[-1:], texts[-1:], len(text)
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).select("doc_id", "text", "extra").mapInArrow(run, schema)

@@ -1,18 +1,23 @@
 """Operator 3, URL filters, native: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
 A list has canonical URLs (host, path), rules among them with a verdict of their own; the other entries block. An entry
-fits its host, all of its subdomains, and every path that starts with its path. For each URL the candidates are its host's suffixes with those beginnings of its path that
-are as long as some listed path. A candidate is looked up in a blocked Bloom filter (one 64-bit block a key, three bits
-in it, made by ``bit_or``); possible hits meet the list in an exact hash join, which removes false positives. The
-longest rule wins; where no rule fits, a listed URL is blocked and any other allowed. Only DataFrame functions are used.
+fits its host, all of its subdomains, and every path that starts with its path. URLs that repeat are judged once. For
+each the candidates are its host's suffixes of as many labels as some listed host has, with those beginnings of its path
+that are as long as some path listed for a host of so many labels. A candidate is looked up in a blocked Bloom filter
+(one 64-bit block a key, three bits in it, made by ``bit_or``); possible hits meet the list in an exact hash join, which
+removes false positives. The longest rule wins; where no rule fits, a listed URL is blocked and any other allowed. Only
+DataFrame functions are used.
 
 The filter has a fixed largest size and is broadcast. The list is broadcast up to ``BROADCAST_ROWS`` rows; a longer one
 is joined by a shuffle in which listed rows are repeated for ``SALTS`` parts, so that a host that most URLs share is
-spread out. Hits are brought together by (host, path), not by row.
-
-Cases: a null URL, and one without ``://``, has an empty host and path and fits no entry; so does an empty host; equal
-rows are judged alike and each returned; of equally long entries the first in text order wins; an empty list allows all;
-extra columns are dropped.
+spread out. Verdicts come back to the pages by (host, path); one that at least ``LEAST`` pages and a ``HOT``-th of all
+have is spread over ``SALTS`` parts too (at most ``HOT`` such, which bounds their broadcast), and pages without a host
+stay where they are.
+
+Cases: a null URL, and one without ``://``, has an empty host and path and fits no entry; so does an empty host; a URL of
+any length is cut as a whole, and its candidates are bounded by the list's label counts and path lengths, not by its own;
+equal rows are judged alike and each returned; of equally long entries the first in text order wins; an empty list
+allows all; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Blocks of the filter at most (8 bytes each), and keys that share a block at the design size.
 MOST_BLOCKS, KEYS_A_BLOCK = 1 << 20, 6
-BROADCAST_ROWS, SALTS = 100_000, 16
+BROADCAST_ROWS, SALTS, HOT, LEAST = 100_000, 64, 10_000, 1000
 
 # The rules that the query applies, as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -67,21 +72,23 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") -> D
     ``default``. ``listed`` is the entry that the filter found, rule or not.
     """
     listed = listed.filter("host is not null and path is not null and host <> ''").groupBy("host", "path", "is_rule").agg(F.min("verdict").alias("verdict"))
-    size = listed.count()
+    count = lambda host: F.size(F.split(host, r"\."))
+    size, most = listed.agg(F.count("*"), F.max(count(F.col("host")))).first()
     blocks = min(MOST_BLOCKS, max(1, 1 << (size // KEYS_A_BLOCK).bit_length()))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not size:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("listed"))
 
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    # One row: the lengths of listed paths, all of them; at most as many as the longest path has characters.
-    lengths = listed.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    # The shapes of the list: path lengths by label count (at most as many rows as the longest host has labels).
+    shapes = listed.groupBy(count(F.col("host")).alias("labels")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    distinct = urls.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("pages"))
+    suffix = F.expr("substring_index(host, '.', -labels)")
     heads = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tried = urls.filter("host <> ''").crossJoin(F.broadcast(lengths)).select("host", "path", F.explode(suffixes).alias("h"), heads.alias("heads")).select("host", "path", "h", F.explode("heads").alias("p"))
+    own = distinct.withColumn("labels", F.explode(F.sequence(F.lit(1), F.least(count(F.col("host")), F.lit(most)))))
+    tried = own.join(F.broadcast(shapes), "labels").select("host", "path", "pages", suffix.alias("h"), F.explode(heads).alias("p"))
     key = _key(F.col("h"), F.col("p"))
     tried = tried.withColumn("block", F.pmod(key, F.lit(blocks))).withColumn("bits", _bits(key))
-    possible = tried.join(F.broadcast(bloom_blocks(listed, blocks)), "block").filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).select("host", "path", "h", "p")
+    possible = tried.join(F.broadcast(bloom_blocks(listed, blocks)), "block").filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).select("host", "path", "pages", "h", "p")
     entries = listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict", "is_rule")
     if size <= BROADCAST_ROWS:
         hits = possible.join(F.broadcast(entries), ["h", "p"])
@@ -90,8 +97,16 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") -> D
         hits = possible.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(spread.hint("shuffle_hash"), ["h", "p", "salt"])
     rule = F.concat("h", "p")
     rank = F.struct((~F.col("is_rule")).alias("other"), (-F.length(rule)).alias("shorter"), rule.alias("entry"), F.col("verdict"))
-    decided = hits.groupBy("host", "path").agg(F.min(rank).alias("best")).select("host", "path", "best.*")
-    found = urls.join(decided, ["host", "path"], "left")
+    decided = hits.groupBy("host", "path", "pages").agg(F.min(rank).alias("best")).select("host", "path", "pages", "best.*")
+    # The verdicts of URLs that very many pages share are repeated for all parts, and their pages dealt over these.
+    hot = F.col("pages") >= max(LEAST, pages.count() / HOT)
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = decided.withColumn("part", F.explode(parts)).drop("pages")
+    many = distinct.filter(hot).select("host", "path", F.lit(True).alias("many"))
+    dealt = urls.filter("host <> ''").join(F.broadcast(many), ["host", "path"], "left")
+    dealt = dealt.withColumn("part", F.when(F.col("many"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("many")
+    found = dealt.join(spread, ["host", "path", "part"], "left").drop("part")
+    found = found.unionByName(urls.filter("host = ''"), allowMissingColumns=True)
     return found.select("page_id", "host", "path", F.when(~F.col("other"), F.col("entry")).alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"), F.col("entry").alias("listed"))
 
 

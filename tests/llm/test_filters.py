@@ -51,6 +51,16 @@ def test_entries_with_long_paths_are_found(spark):
     assert [got[i].verdict for i in (1, 2, 3)] == ["block", "allow", "block"] and len(got[3].listed) == len("long.test/") + 1299
 
 
+def test_hosts_of_very_many_labels_and_hot_urls(spark, monkeypatch):
+    """A host's suffixes are bounded by the list's; every URL counts as hot, so that all verdicts are spread."""
+    monkeypatch.setattr(url_filter, "HOT", 10**9)
+    monkeypatch.setattr(url_filter, "LEAST", 1)
+    deep = ".".join(["a"] * 100_000)
+    urls = [(1, f"http://{deep}.spam-farm.example.org/x"), (2, f"http://{deep}.net/" + "p" * 1_000_000)] + [(10 + i, "http://x.example.net/en/") for i in range(200)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(url_filter.ENTRIES, url_filter.ENTRY_SCHEMA)).collect()}
+    assert len(got) == 202 and got[1].verdict == "block" and got[1].rule is None and got[2].rule == "net/" and {got[10 + i].rule for i in range(200)} == {"example.net/en/"}
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header class="site">Site</header><div class="cookie-notice">We use cookies, many of them.</div>
 <nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Head &amp; line</h1><p>First   para with <b>bold</b> text, and more.<p>Second&nbsp;para, long enough; surely so.<ul><li>one<li>two</ul><blockquote>Said so.</blockquote></article>
 <aside>Side</aside><div class="ad">Buy this now, it is cheap.</div><form>Name <input></form><section id="comments"><p>Nice post! I liked it a lot, thanks for it.</p></section><!-- c --><footer>&copy; me</footer></body></html>"""

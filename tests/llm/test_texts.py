@@ -149,6 +149,47 @@ def test_fingerprints_follow_the_order_of_ids(odd, rows, nothing):
     assert fp.fingerprint_documents(odd.filter("doc_id = 1")).collect()[0].near_next == 1.0
 
 
+def test_fingerprints_as_a_plain_one_permutation_minhash(rows):
+    """Bin by bin in plain Python: the smallest hash of each bin, empty bins filled by probing, low bits packed."""
+    import pyarrow as pa
+
+    from lendmill.llm.ragged import shingles, text_bytes, words
+
+    texts = [r[1] for r in rows]
+    for text, found in zip(texts, fp.fingerprints(pa.array(texts, pa.string())), strict=True):
+        body, offsets = text_bytes(pa.array([text], pa.string()))
+        _, _, docs, hashes, _ = words(body, offsets)
+        least: dict = {}
+        for v in shingles(docs, hashes, 1)[0].tolist():
+            least[v >> 56] = min(least.get(v >> 56, 1 << 56), v & (1 << 56) - 1)
+        if not least:
+            assert found == b""
+            continue
+        whole = []
+        for b in range(fp.BINS):
+            attempt = 0
+            source = b
+            while source not in least and attempt < 64:
+                source, attempt = int(fp._PROBES[attempt][b]), attempt + 1
+            whole.append(least[source] & 15 if source in least else min(least.values()) & 15)
+        assert found == bytes(whole[i] << 4 | whole[i + 1] for i in range(0, fp.BINS, 2))
+
+
+@pytest.mark.parametrize("drawn", [60, 1])
+def test_next_documents_over_many_ranges(spark, drawn, monkeypatch):
+    """Every document's edited text and likeness to the next, whatever the ranges; some ranges are empty."""
+    monkeypatch.setattr(fp, "DRAWN", drawn)
+    texts = {7 * i % 101: prose(i, 5 + i % 60) for i in range(101)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r for r in fp.fingerprint_documents(docs).collect()}
+    order = sorted(texts, reverse=True)
+    for i, doc_id in enumerate(order):
+        after = texts[order[(i + 1) % len(order)]]
+        assert got[doc_id].edited_sha256 == hashlib.sha256(fp.edited(texts[doc_id], after).encode()).hexdigest()
+    named = spark.createDataFrame([("b", "one two"), ("a", "one two"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id for r in fp.fingerprint_documents(named).collect()} == {"a", "b", None}
+
+
 def test_likeness_is_close_to_jaccard():
     import pyarrow as pa
 
