@@ -8,9 +8,15 @@ AC coefficients are only passed over. All restart intervals of a batch are decod
 block (quantized by 8, so a step is one grey level), 192 blocks a row, each row a restart interval. A thumbnail of the
 file then is the payload, and any JPEG reader shows it as a picture eight times as wide and high.
 
+A file may have fill bytes before a marker, bytes after its end that begin no further image, and a scan for each component
+(the one with luminance is read). A lane of restart intervals takes part only as long as bits of it are left, so a file
+that declares a larger picture than it holds costs what it holds; units beyond its end repeat the last level.
+
 Cases: a null or empty text becomes a payload of 192 spaces; a payload beyond ``ROWS`` rows goes on in a further frame,
-as a JPEG's height is limited; equal texts have equal files; extra columns are dropped; bytes that are no baseline JPEG
-raise ``ValueError`` in ``read_frames`` and give null thumbnails in ``thumbnails``.
+as a JPEG's height is limited; equal texts have equal files; repeated rows are stored each; an empty table gives no rows;
+a doc_id of any type is returned as it is; extra columns are dropped, and kept by ``thumbnails``, which needs names of
+its own for what it adds. Bytes that are no baseline JPEG raise ``ValueError`` in ``read_frames`` and give null
+thumbnails in ``thumbnails``, as do pictures of more than ``MOST_SAMPLES`` luminance blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from lendmill.llm.ragged import blocks, text_bytes
 
 #: Payload bytes (blocks) in a row, and rows in a frame: 65535 lines of pixels at most.
 ROW, ROWS = 192, 8191
+#: Luminance blocks of a picture at most (the format's limit is four times as many).
+MOST_SAMPLES = 1 << 24
 #: Text bytes that are written at once; writing and reading run beside each other in an executor.
 BLOCK = 1 << 19
 # Fixed values of the JPEG format: code lengths of the usual luminance DC table, one symbol for each size in bits.
@@ -111,68 +119,102 @@ class Frame:
     tables: list[tuple[bytes, bytes]] = field(default_factory=list)
     step: int = 8
     interval: int = 0
+    #: Whether the scan has the luminance alone: then its units are blocks of the picture, not padded to whole groups.
+    alone: bool = True
     #: Entropy-coded segments between restart markers.
     lanes: list[tuple[int, int]] = field(default_factory=list)
 
     def mcu(self) -> tuple[int, int, int, int]:
         """Units of the scan across and down, and luminance blocks in each across and down."""
         top_h, top_v = max(c[1] for c in self.components), max(c[2] for c in self.components)
-        h, v = (1, 1) if len(self.components) == 1 else self.components[0][1:3]
-        if len(self.components) == 1:
-            top_h = top_v = 1
+        h, v = self.components[0][1:3]
+        if self.alone or len(self.components) == 1:
+            wide, high = -(-self.width * h // top_h), -(-self.height * v // top_v)
+            return -(-wide // 8), -(-high // 8), 1, 1
         return -(-self.width // (8 * top_h)), -(-self.height // (8 * top_v)), h, v
 
 
+def _scan_end(raw: bytes, at: int, lanes: list[tuple[int, int]]) -> int:
+    """Note the entropy-coded segments from ``at`` on; the place of the marker that ends the scan."""
+    start = at
+    while True:
+        here = at = raw.find(b"\xff", at)
+        while at >= 0 and raw[at + 1 : at + 2] == b"\xff":  # fill bytes
+            at += 1
+        if at < 0 or at + 1 >= len(raw):
+            raise ValueError("no end of the scan")
+        if raw[at + 1]:
+            lanes.append((start, here))
+            if not 0xD0 <= raw[at + 1] <= 0xD7:
+                return at
+            start = at + 2
+        at += 2
+
+
+def _frame(raw: bytes, at: int) -> tuple[Frame, int]:
+    """The frame that starts at a place, and the place after it."""
+    frame, at, quant, huffman = Frame(), at + 2, {}, {}
+    while True:
+        while raw[at : at + 2] == b"\xff\xff":
+            at += 1
+        if at + 2 > len(raw) or raw[at] != 0xFF:
+            raise ValueError("no marker")
+        marker = raw[at + 1]
+        if marker == 0xD9:
+            if not frame.lanes:
+                raise ValueError("no scan of the luminance")
+            return frame, at + 2
+        if marker == 1 or 0xD0 <= marker <= 0xD7:  # markers without a segment
+            at += 2
+            continue
+        size = int.from_bytes(raw[at + 2 : at + 4], "big")
+        if size < 2 or at + 2 + size > len(raw):
+            raise ValueError("no whole segment")
+        body, at = raw[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
+                body = body[65 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                huffman[body[0]] = body[1 : 17 + n]
+                body = body[17 + n :]
+        elif marker == 0xC0:
+            frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            frame.components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            if body[0] != 8 or not frame.width or not frame.height or not frame.components or any(not (1 <= c[1] <= 4 and 1 <= c[2] <= 4) for c in frame.components):
+                raise ValueError("not a frame that can be read")
+            if frame.mcu()[0] * frame.mcu()[1] * frame.mcu()[2] * frame.mcu()[3] > MOST_SAMPLES:
+                raise ValueError("a larger picture than is read")
+        elif 0xC1 <= marker <= 0xCF and marker != 0xCC:
+            raise ValueError("not a baseline image")
+        elif marker == 0xDD:
+            frame.interval = int.from_bytes(body[:2], "big")
+        elif marker == 0xDA:
+            chosen = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            first = bool(frame.components) and chosen[:1] and chosen[0][0] == frame.components[0][0]
+            lanes: list[tuple[int, int]] = []
+            at = _scan_end(raw, at, lanes)
+            if not first or frame.lanes:  # a scan of other components
+                continue
+            if len(chosen) not in (1, len(frame.components)):
+                raise ValueError("a scan of some components")
+            frame.alone = len(chosen) == 1
+            frame.tables = [(huffman[t >> 4], huffman[0x10 | t & 15]) for _, t in chosen]
+            if any(max(dc[16:], default=0) > 11 for dc, _ in frame.tables):
+                raise ValueError("not a baseline image")
+            frame.step, frame.lanes = quant[frame.components[0][3]], lanes
+
+
 def parse(raw: bytes) -> list[Frame]:
     """Frames of a file by its markers."""
     frames, at = [], 0
-    while at < len(raw):
+    while not frames or raw[at : at + 2] == b"\xff\xd8":
         if raw[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of an image")
-        frame, at, quant, huffman = Frame(), at + 2, {}, {}
-        while True:
-            if at + 2 > len(raw) or raw[at] != 0xFF:
-                raise ValueError("no marker")
-            marker = raw[at + 1]
-            if marker == 0xD9:
-                at += 2
-                break
-            size = int.from_bytes(raw[at + 2 : at + 4], "big")
-            body, at = raw[at + 4 : at + 2 + size], at + 2 + size
-            if marker == 0xDB:
-                while body:
-                    wide = body[0] >> 4
-                    quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
-                    body = body[65 + 64 * wide :]
-            elif marker == 0xC4:
-                while body:
-                    n = sum(body[1:17])
-                    huffman[body[0]] = body[1 : 17 + n]
-                    body = body[17 + n :]
-            elif marker == 0xC0:
-                frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-                frame.components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
-            elif 0xC1 <= marker <= 0xCF and marker != 0xCC:
-                raise ValueError("not a baseline image")
-            elif marker == 0xDD:
-                frame.interval = int.from_bytes(body[:2], "big")
-            elif marker == 0xDA:
-                if body[0] != len(frame.components):
-                    raise ValueError("not one interleaved scan")
-                frame.tables = [(huffman[body[2 + 2 * k] >> 4], huffman[0x10 | body[2 + 2 * k] & 15]) for k in range(body[0])]
-                frame.step = quant[frame.components[0][3]]
-                start = at
-                while True:
-                    at = raw.find(b"\xff", at)
-                    if at < 0 or at + 1 >= len(raw):
-                        raise ValueError("no end of the scan")
-                    if raw[at + 1] == 0:
-                        at += 2
-                        continue
-                    frame.lanes.append((start, at))
-                    if not 0xD0 <= raw[at + 1] <= 0xD7:
-                        break
-                    start = at = at + 2
+        frame, at = _frame(raw, at)
         frames.append(frame)
     return frames
 
@@ -199,23 +241,31 @@ def _decode(frames: list[Frame], files: list[bytes], owners: list[int]) -> list[
     data = np.r_[raw[kept], np.full(8, 0xFF, np.uint8)].astype(np.uint32)
     ahead = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
     place = where[edges[:-1]] * 8
-    units = np.concatenate([[min(f.interval or n, n - k * (f.interval or n)) for k in range(len(f.lanes))] for f in frames for n in [f.mcu()[0] * f.mcu()[1]]]).astype(np.int64)
+    units = np.concatenate([[max(0, min(f.interval or n, n - k * (f.interval or n))) for k in range(len(f.lanes))] for f in frames for n in [f.mcu()[0] * f.mcu()[1]]]).astype(np.int64)
     across, down = model.mcu()[2:]
-    layout = [(c, model.tables[c]) for c in range(len(model.components)) for _ in range(across * down if not c else (model.components[c][1] * model.components[c][2]))]
+    layout = [(c, model.tables[c]) for c in range(len(model.tables)) for _ in range(across * down if not c else (model.components[c][1] * model.components[c][2]))]
     tables = {t: _lookup(t) for pair in model.tables for t in pair}
     last = len(ahead) - 1
-    found = np.zeros((len(parts), int(units.max(initial=0)), across * down), np.int32)
-    before = np.zeros((len(model.components), len(parts)), np.int64)
+    first = np.r_[0, np.cumsum(units)]
+    found = np.zeros((int(first[-1]), across * down), np.int32)
+    before = np.zeros((len(model.tables), len(parts)), np.int64)
+    end = where[edges[1:]] * 8
 
     def peek(at: np.ndarray) -> np.ndarray:
         return (ahead[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> np.uint32(16)
 
-    every = np.arange(len(parts))
-    for unit in range(found.shape[1]):
-        live = every if (units > unit).all() else np.flatnonzero(units > unit)
+    every, read = np.arange(len(parts)), np.zeros(len(parts), np.int64)
+    for unit in range(int(units.max(initial=0))):
+        here = (units > unit) & (place < end)
+        live = every if here.all() else np.flatnonzero(here)
+        if not len(live):
+            break
         for k, (c, (dc, ac)) in enumerate(layout):
             at = place[live]
             entry = tables[dc][peek(at)]
+            if not entry.all():  # fill bits: these lanes end here
+                place[live[entry == 0]] = end[live[entry == 0]]
+                at, live, entry = at[entry > 0], live[entry > 0], entry[entry > 0]
             at += entry >> 8
             size = entry & 255
             value = (peek(at) >> (16 - size).astype(np.uint32)).astype(np.int64)
@@ -223,7 +273,7 @@ def _decode(frames: list[Frame], files: list[bytes], owners: list[int]) -> list[
             value -= np.where((value >> np.maximum(size - 1, 0) == 0) & (size > 0), (1 << size) - 1, 0)
             before[c, live] += value
             if c == 0:
-                found[live, unit, k] = before[0, live]
+                found[first[live] + unit, k] = before[0, live]
             open_, done = np.arange(len(live)), np.zeros(len(live), np.int64)
             while len(open_):
                 entry = tables[ac][peek(at[open_])]
@@ -232,10 +282,12 @@ def _decode(frames: list[Frame], files: list[bytes], owners: list[int]) -> list[
                 done[open_] += (symbol >> 4) + 1
                 open_ = open_[(symbol != 0) & (done[open_] < 63) & (entry > 0)]
             place[live] = at
+        read[live] = unit + 1
+    for i in every[read < units]:  # what a lane lacks has its last level
+        found[first[i] + read[i] : first[i + 1]] = before[0, i]
     out, lane = [], 0
     for f in frames:
-        own = range(lane, lane + len(f.lanes))
-        out.append(np.concatenate([found[i, : units[i]] for i in own]))
+        out.append(found[first[lane] : first[lane + len(f.lanes)]])
         lane += len(f.lanes)
     return out
 
@@ -246,7 +298,7 @@ def read_frames(files: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
     groups: dict[tuple, list[tuple[int, int]]] = {}
     for i, frames in enumerate(parsed):
         for j, f in enumerate(frames):
-            groups.setdefault((tuple(c[1:3] for c in f.components), tuple(f.tables)), []).append((i, j))
+            groups.setdefault((f.alone, tuple(c[1:3] for c in f.components), tuple(f.tables)), []).append((i, j))
     thumbs: dict[tuple[int, int], np.ndarray] = {}
     for members in groups.values():
         own = [parsed[i][j] for i, j in members]
@@ -254,7 +306,9 @@ def read_frames(files: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
             wide, high, h, v = f.mcu()
             blocks_ = values.reshape(high, wide, v, h).transpose(0, 2, 1, 3).reshape(high * v, wide * h)
             samples = np.clip((blocks_ * f.step + 1028) >> 3, 0, 255).astype(np.uint8)
-            thumbs[i, j] = samples[: -(-f.height // 8), : -(-f.width // 8)]
+            top_h, top_v = max(c[1] for c in f.components), max(c[2] for c in f.components)
+            rows, columns = -(-f.height * f.components[0][2] // (8 * top_v)), -(-f.width * f.components[0][1] // (8 * top_h))
+            thumbs[i, j] = samples[:rows, :columns]
     return [[(f, thumbs[i, j]) for j, f in enumerate(frames)] for i, frames in enumerate(parsed)]
 
 
@@ -297,7 +351,7 @@ def thumbnails(media: DataFrame) -> DataFrame:
         try:
             found = iter(read_frames([f for f in files if f is not None]))
             return [None if f is None else next(found) for f in files]
-        except (ValueError, KeyError, IndexError):
+        except (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError):
             return [None] if len(files) == 1 else [x for f in files for x in read([f])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -277,3 +277,31 @@ def test_thumbnails_of_broken_files_are_null(spark):
     raw, _ = _by_hand(16, 16, [(1, 1)], 0, np.random.default_rng(3))
     got = media.thumbnails(spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b"nonsense")), (3, None), (4, bytearray(raw[:40]))], "id int, media binary").coalesce(1)).orderBy("id").collect()
     assert [r.width for r in got] == [16, None, None, None]
+
+
+def test_files_with_fill_bytes_trailing_bytes_and_separate_scans():
+    rng = np.random.default_rng(8)
+    raw, want = _by_hand(70, 20, [(1, 1)], 3, rng)
+    filled = raw.replace(b"\xff\xd9", b"\xff\xff\xff\xd9").replace(b"\xff\xd0", b"\xff\xff\xd0") + b"\0\0trailing"
+    assert (media.read_frames([filled])[0][0][1] == want).all()
+    # The luminance in a scan of its own, in blocks of the picture, between scans of the others.
+    start = raw.index(b"\xff\xda")
+    scan, frame = raw[start:-2], raw.index(b"\xff\xc0")
+    head = raw[:frame] + media._segment(0xC0, bytes([8, 0, 20, 0, 70, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + raw[frame + 13 : start]
+    other = scan[:5] + bytes([2]) + scan[6:]
+    assert raw[frame + 2 : frame + 4] == b"\0\x0b"
+    for scans in (scan + other, other + scan + other):
+        assert (media.read_frames([head + scans + b"\xff\xd9"])[0][0][1] == want).all()
+
+
+def test_files_that_lie_cost_what_they_hold(spark):
+    raw, _ = _by_hand(16, 16, [(1, 1)], 0, np.random.default_rng(3))
+    at = raw.index(b"\xff\xc0") + 5
+    large, huge = (raw[:at] + size + raw[at + 4 :] for size in (b"\x40\0\x40\0", b"\xff\xff\xff\xff"))
+    flat = raw[: at + 6] + b"\0" + raw[at + 7 :]
+    rows = [(i, bytearray(x)) for i, x in enumerate([raw, large, huge, flat, raw[:at], b"\xff\xd8\xff\xd9", raw[:-9]])]
+    began = time.process_time()
+    thumb = media.read_frames([large])[0][0][1]
+    assert thumb.shape == (2048, 2048) and len(np.unique(thumb[1:])) == 1 and time.process_time() - began < 20
+    got = media.thumbnails(spark.createDataFrame(rows, "id int, media binary").coalesce(1)).orderBy("id").collect()
+    assert [r.width for r in got[:6]] == [16, 16384, None, None, None, None]
