@@ -18,8 +18,8 @@ has two layers of pivots:
    documents of the region, which gives their links, the Voronoi cells and the windows. The members of a cell that its
    pivot is linked with are connected already, so they go on only where a member that is not linked lies within the
    threshold of their distance to the pivot; a region of near copies so ends after one pass over it. Cells that are
-   still too large are cut again; one that does not shrink is split into blocks, and pairs of blocks are tasks of
-   bounded size, without those that hold connected members alone.
+   still too large are cut again. A region that its pivots do not part is split into blocks instead, and pairs of blocks
+   are tasks of bounded size, without pairs among the members that are connected by the pivot with the most links.
 
 Long documents meet over a fixed part of the hash space. One whose part is too small to hold a common shingle of each
 link for certain (at most a quarter of its shingles) meets over all its shingles as well. Of two linked documents without
@@ -57,8 +57,9 @@ SHORT, PART = (48, 64), 0.4
 FLUSH, HOT = 1 << 21, 4096
 #: Documents and shingles of half a region task.
 HALF_DOCS, HALF_SHINGLES = 1024, 2 << 20
-#: Pivots of a region that is cut across tasks (on average), rounds of cutting, and the share that counts as shrinking.
-PIVOTS, ROUNDS, SHRUNK = 8, 5, 0.8
+#: Pivots of a region that is cut across tasks (on average), rounds of cutting, and members that its open cells may have
+#: together for each of its own before it is split into blocks instead.
+PIVOTS, ROUNDS, GROWN = 8, 5, 1.5
 #: Two documents within it are linked, and the window of the triangle inequality.
 THRESHOLD = (100 - PERCENT) / 100 + 1e-9
 
@@ -467,18 +468,25 @@ def cut_regions(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[Data
         )
         cells = checkpointed(_salted(cells, rows.groupBy("p").agg(F.first("m").alias("above")), ["p"]))
         links.append(cells.filter("linked and x <> pivot").select(F.col("x").alias("u"), F.col("pivot").alias("v")))
-        opened = _still_open(cells).select("x", F.xxhash64("p", "pivot", F.lit(number)).alias("p"), "n", "linked", "above")
+        opened = _still_open(cells).select("x", F.col("p").alias("q"), F.xxhash64("p", "pivot", F.lit(number)).alias("p"), "n", "linked", "above")
         opened = checkpointed(opened)
-        sizes = opened.groupBy("p").agg(_blocks().alias("blocks"), F.count("*").alias("m"), F.first("above").alias("above"), F.count_if(~F.col("linked")).alias("open"))
-        shrunk = f"m <= {SHRUNK} * above"
-        sized = checkpointed(_salted(opened.drop("above"), sizes, ["p"]))
-        tasks.append(one(sized.filter("blocks <= 2 and open > 0")))
         last = number + 1 == ROUNDS
-        tasks.append(checkpointed(_in_blocks(sized.filter("blocks > 2" if last else f"blocks > 2 and not ({shrunk})").select("x", "p", "n", "linked"))))
-        if last:
-            break
-        rows = sized.filter(f"blocks > 2 and {shrunk}").select("x", "p", "n", "linked", "blocks", "m")
-        if rows.isEmpty():
+        whole = opened.groupBy("q").agg(F.count("*").alias("m"), F.first("above").alias("above"))
+        parted = checkpointed(whole.select("q", F.expr(f"m <= {GROWN} * above and {str(not last).lower()}").alias("parted")))
+        # Regions that are not parted: blocks, and who is linked with the pivot of the most links.
+        counts = cells.filter("linked").groupBy("p", "pivot").count().groupBy("p").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("best"))
+        kept = parted.filter("not parted").select(F.col("q").alias("p")).join(counts, "p")
+        star = _salted(cells.filter("linked").select("x", "p", "pivot"), kept, ["p"]).filter("pivot = best").select("x", "p", F.lit(True).alias("star"))
+        stuck = _salted(rows.select("x", "p", "n"), kept.select("p"), ["p"]).join(star, ["x", "p"], "left")
+        tasks.append(checkpointed(_in_blocks(checkpointed(stuck.select("x", "p", "n", F.coalesce("star", F.lit(False)).alias("linked"))))))
+        # Cells of the others: tasks where they fit one, else they are cut again.
+        going = _salted(opened.drop("above"), parted.filter("parted").select("q"), ["q"]).select("x", "p", "n", "linked")
+        going = checkpointed(going)
+        sizes = going.groupBy("p").agg(_blocks().alias("blocks"), F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("open"))
+        sized = checkpointed(_salted(going, sizes.filter("open > 0"), ["p"]))
+        tasks.append(one(sized.filter("blocks <= 2")))
+        rows = sized.filter("blocks > 2").select("x", "p", "n", "linked", "blocks", "m")
+        if last or rows.isEmpty():
             break
     whole = tasks[0]
     for more in tasks[1:]:

@@ -115,7 +115,7 @@ def test_large_regions_are_cut_by_pivots(spark, seed, monkeypatch):
     """One region of several families: stars, two separate clusters, chains, and documents in between."""
     monkeypatch.setattr(jj, "HALF_DOCS", 6)
     monkeypatch.setattr(jj, "PIVOTS", (2, 4)[seed])
-    monkeypatch.setattr(jj, "SHRUNK", (0.8, 0.95)[seed])
+    monkeypatch.setattr(jj, "GROWN", (1.5, 9.0)[seed])
     own = np.random.default_rng(seed)
     shared, sets = own.integers(0, 2**62, 30, dtype=np.uint64), []
     for _ in range(4):
