@@ -97,6 +97,78 @@ def test_quotes_begin_values_only():
     assert html_text.main_text(page).split("\n")[1:] == ["link", "It's here.", "Last, isn't it?"]
 
 
+@pytest.mark.parametrize("fragment", ['<h2 id="side-effects">H</h2>', '<h2 id="related-work">H</h2>', '<h2 id="social-policy">H</h2>', '<section id="discussion"><p>H</p></section>', '<p class="ad-hoc">H</p>', "<p title=don't>H</p>", '<p title="x>H</p>'])
+def test_names_inside_the_article_drop_nothing(fragment):
+    got = html_text.main_text(f"<body><nav>Menu</nav><article><p>{LONG}</p>{fragment}<p>{LONG}</p><p>End.</p></article><footer>Foot</footer></body>")
+    assert got.split("\n") == [LONG.strip(), "H", LONG.strip(), "End."]
+
+
+def test_pages_without_telling_markup():
+    menu = "<ul><li>Home<li>About<li>Contact</ul>"
+    flat = html_text.main_text(f"<body>{menu}<p>{LONG}</p><p>{LONG}</p><div>Subscribe</div><div>© 2020 me</div></body>")
+    assert flat.split("\n") == [LONG.strip()] * 2
+    links = "<ul><li><a href=x>Home</a><li><a href=y>News</a></ul>"
+    wrapped = html_text.main_text(f"<body><div>{links}<h1>Title</h1><p>{LONG}</p><h2>x</h2><p>{LONG}</p><ul><li>one</ul><h3>More</h3>{links}<div>Subscribe.</div></div><div>Copyright me</div></body>")
+    assert wrapped.split("\n") == ["Title", LONG.strip(), "x", LONG.strip(), "one"]
+
+
+def test_deep_and_unmatched_markup_takes_linear_time():
+    import time
+
+    for n in (50_000,):
+        for page in ("<div>" * n + LONG, "<b>" * n + LONG, "<b>" * n + "<p>x" * 100 + LONG, "<div><i>" * n + "</b>" * n + LONG, "<ul><li>" * n + LONG, '<a b="' * n + LONG, "<p a='" * n):
+            began = time.process_time()
+            html_text.main_text(page)
+            assert time.process_time() - began < 10
+
+
+def plain_content(page):
+    """Content nodes by string paths and plain loops, for pages of well-formed elements."""
+    import re
+
+    path, nodes = [], []
+    for part in re.split(r"(<[^>]*>)", page):
+        if part.startswith("</"):
+            path.pop()
+        elif part.startswith("<"):
+            path.append(part[1:-1].replace(" class=", ".").replace('"', ""))
+        elif part.strip():
+            nodes.append(("/".join(path), part))
+    total: dict = {}
+    for p, text in nodes:
+        some = total.setdefault(p, [0, 0, 0])
+        some[0], some[1], some[2] = some[0] + 1, some[1] + len("".join(text.split())), some[2] + sum(c in ".,;:!?" for c in text)
+    ratio = {p: n / k * (1 + m / k) for p, (k, n, m) in total.items()}
+    near = [1.0, np.exp(-1 / 8), np.exp(-1 / 2)]
+    smoothed: dict = {p: 0.0 for p in total}
+    for i, (p, _) in enumerate(nodes):
+        around = [(near[abs(d)], ratio[nodes[i + d][0]]) for d in range(-2, 3) if 0 <= i + d < len(nodes)]
+        smoothed[p] += sum(w * r for w, r in around) / sum(w for w, _ in around)
+    score = {p: (ratio[p] * smoothed[p] / total[p][0]) ** 0.5 for p in total}
+    limit = min(0.5 * sum(score[p] * total[p][1] for p in total) / sum(t[1] for t in total.values()), max(score.values()))
+    return [text for p, text in nodes if score[p] >= limit - 1e-9]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_content_nodes_as_by_a_plain_model(seed):
+    import random
+
+    own = random.Random(seed)
+    word = lambda: "".join(own.choices("abcdefgh", k=own.randint(1, 9))) + own.choice(["", "", "", ",", "."])
+
+    def part(depth):
+        if depth == 0 or own.random() < 0.3:
+            tag = own.choice(["p", "span", "li", "div", 'div class="x"', "b"])
+            return f"<{tag}>{' '.join(word() for _ in range(own.choice((2, 3, 60, 90))))}</{tag.split()[0]}>"
+        tag = own.choice(["div", "section", 'div class="y"', "ul"])
+        return f"<{tag}>{''.join(part(depth - 1) for _ in range(own.randint(1, 5)))}</{tag.split()[0]}>"
+
+    page = f"<body>{''.join(part(3) for _ in range(4))}</body>"
+    found = html_text.parse(page)
+    content = html_text.content_nodes(found)
+    assert [found.nodes[i][2] for i in np.flatnonzero(content)] == plain_content(page)
+
+
 def test_toxicity_held_out(spark, odd, nothing, sf):
     folder = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
