@@ -2,18 +2,20 @@
 
 Tokens (words) are summed over all documents by cell (source, language, topic). The cells' weights are raked in turn to
 the target share of each source, language and topic; a target is given, or the corpus' own share to the power ``power``
-(below 1: small groups gain). A cell's factor, weight over tokens, becomes the probability of its documents,
-``min(1, c * factor)``, with the one ``c`` that keeps the share ``keep`` of all tokens in expectation. Cells held at 1
-get less than their target, so the sample has the targets only where none is: ``keep=None`` takes the greatest such
-share, ``c = 1 / largest factor``. The default share misses the targets (figures in the README). A document stays
-if a uniform number from the digest of its id is below its probability, so runs repeat and rows are decided alone.
+(below 1: small groups gain). Rounds over the margins end when none is off by more than ``TOLERANCE`` of all tokens. A
+cell's factor, weight over tokens, becomes the probability of its documents: ``factor / largest factor``, the greatest
+share of the corpus at which every cell gets its target, so the sample meets all of them in expectation. So that a tiny
+cell that ought to grow very much does not shrink all others, factors above ``MOST_FACTOR`` count as that: their cells
+are kept whole and get less than their target. A share ``keep`` can be asked for instead: ``min(1, c * factor)`` with the
+one ``c`` that keeps it; beyond the greatest share more cells are held at 1. A document stays if a uniform number from the
+digest of its id is below its probability, so runs repeat and rows are decided alone.
 
 Cells are few and are raked on the driver up to ``MOST_CELLS``; more are raked by joins, with the lineage cut after
 each round. Documents meet their cell's probability in a broadcast join of that many rows at most, else by a shuffle.
 
 Cases: a null source or language counts as an empty one; null and blank texts have the topic ``empty`` and no tokens, a
 cell without tokens keeps its documents; rows with the same id share their number, those without id use their text's;
-an empty table gives an empty one; extra columns are kept.
+a text of any length is counted whole and lies in one row; an empty table gives an empty one; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 from lendmill.llm.tasks import checkpointed
 
 MARGINS = ("source", "lang", "topic")
-POWER, KEEP, ROUNDS, MOST_CELLS = 0.8, 0.9, 12, 100_000
+POWER, MOST_CELLS = 0.9, 100_000
+#: Raking ends when no margin is off by more than this share of all tokens, or after so many rounds (targets that
+#: contradict each other); the SQL below makes all of them.
+TOLERANCE, ROUNDS, MOST_FACTOR = 1e-10, 24, 2.5
 WORD = r"[^\x20\x09-\x0D]+"
 _CELL = ("_source", "_lang", "_topic")
 
@@ -63,22 +68,26 @@ def _targets(shares: dict[str, float], given: dict[str, float] | None, power: fl
 
 
 def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of cells (``tokens`` and a column for each margin) after so many rounds over all margins."""
+    """Weights of cells (``tokens`` and a column for each margin) that meet the targets, or after so many rounds."""
     weight = cells["tokens"].to_numpy(np.float64).copy()
     total = weight.sum()
     codes = {m: np.unique(cells[m], return_inverse=True) for m in targets}
+    wanted = {m: np.array([targets[m][n] for n in names]) * total for m, (names, _) in codes.items()}
     for _ in range(rounds):
+        off = 0.0
         for m, (names, code) in codes.items():
-            have = np.bincount(code, weights=weight, minlength=len(names))
-            want = np.array([targets[m][n] for n in names]) * total
+            have, want = np.bincount(code, weights=weight, minlength=len(names)), wanted[m]
+            off = max(off, float(np.abs(have - want).max(initial=0)))
             weight *= np.divide(want, have, out=np.zeros(len(names)), where=have > 0)[code]
+        if off <= TOLERANCE * total:
+            break
     return weight
 
 
 def calibrated(tokens: np.ndarray, factor: np.ndarray, keep: float | None) -> np.ndarray:
-    """min(1, c * factor) that keeps the share of all tokens; None: the greatest share at which no cell is cut off."""
+    """min(1, c * factor) that keeps the share of all tokens; None: the greatest share at which no cell (up to MOST_FACTOR) is cut off."""
     if keep is None:
-        return factor / factor.max() if len(factor) and factor.max() > 0 else np.ones(len(factor))
+        return np.minimum(1, factor / min(factor.max(), MOST_FACTOR)) if len(factor) and factor.max() > 0 else np.ones(len(factor))
     order = np.argsort(-factor, kind="stable")
     f, t = factor[order], tokens[order].astype(np.float64)
     aim, whole = keep * t.sum(), np.r_[0, np.cumsum(t)]
@@ -95,15 +104,19 @@ def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int
     total = cells.agg(F.sum("tokens")).first()[0]
     cells = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(rounds):
+        off = 0.0
         for m in MARGINS:
-            have = cells.groupBy(f"_{m}").agg(F.sum("w").alias("have")).join(targets[m], f"_{m}")
+            have = checkpointed(cells.groupBy(f"_{m}").agg(F.sum("w").alias("have")).join(targets[m], f"_{m}"))
+            off = max(off, have.agg(F.max(F.abs(F.col("have") - F.col("share") * total))).first()[0] or 0.0)
             ratio = F.when(F.col("have") > 0, F.col("share") * total / F.col("have")).otherwise(0.0)
             cells = cells.join(have.select(f"_{m}", ratio.alias("ratio")), f"_{m}").withColumn("w", F.col("w") * F.col("ratio")).drop("ratio")
         cells = checkpointed(cells)
+        if off <= TOLERANCE * (total or 0):
+            break
     cells = cells.withColumn("factor", F.col("w") / F.col("tokens"))
     if keep is None:
         most = cells.agg(F.max("factor")).first()[0]
-        return cells.select(*_CELL, (F.col("factor") / most if most else F.lit(1.0)).alias("probability"))
+        return cells.select(*_CELL, (F.least(F.lit(1.0), F.col("factor") / min(most, MOST_FACTOR)) if most else F.lit(1.0)).alias("probability"))
     low, high = 0.0, 1.0
     kept = lambda c: cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * c))).first()[0]
     while kept(high) < keep * total * (1 - 1e-12) and high < 1e18:
@@ -114,7 +127,7 @@ def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int
     return cells.select(*_CELL, F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
 
 
-def with_probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, keep: float | None = KEEP, rounds: int = ROUNDS) -> DataFrame:
+def with_probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, keep: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Rows (_row, doc_id, text, source, lang, _source, _lang, _topic, _tokens, probability): _row has all columns of ``docs``.
 
     ``targets`` gives token shares by margin and name (missing names get none); margins without one are tempered.
@@ -181,13 +194,7 @@ def _sql() -> str:
         for m in "slt":
             parts.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * want_{m} / sum(w) OVER (PARTITION BY {m}) AS w) FROM w{k})")
             k += 1
-    parts.append(f"factors AS (SELECT s, l, t, n, w / n AS f FROM w{k})")
-    parts.append("""sorted AS (
-    SELECT *, ({keep} * sum(n) OVER () - coalesce(sum(n) OVER before, 0)) / (sum(n * f) OVER () - coalesce(sum(n * f) OVER before, 0)) AS c,
-           row_number() OVER (ORDER BY f DESC, s, l, t) AS k
-    FROM factors WINDOW before AS (ORDER BY f DESC, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""".format(keep=KEEP))
-    parts.append("chosen AS (SELECT arg_min(c, k) AS c FROM sorted WHERE c * f <= 1)")
-    parts.append("odds AS (SELECT s, l, t, least(1, (SELECT c FROM chosen) * f) AS p FROM factors)")
+    parts.append(f"odds AS (SELECT s, l, t, least(1, (w / n) / least(max(w / n) OVER (), {MOST_FACTOR})) AS p FROM w{k})")
     return (
         "WITH "
         + ",\n".join(parts)

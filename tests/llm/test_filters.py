@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lendmill.llm import html_text, language_id, mixing, toxicity, url_filter
 
@@ -38,8 +39,6 @@ def test_false_positives_of_the_filter_go(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.test/a") for i in range(3000)], "page_id long, url string")
     got = url_filter.judge_urls(pages, spark.createDataFrame(many, url_filter.ENTRY_SCHEMA))
     assert got.filter("verdict = 'block'").count() == 500
-    from pyspark.sql import functions as F
-
     blocks = url_filter.bloom_blocks(spark.createDataFrame(many, url_filter.ENTRY_SCHEMA), 64)
     assert blocks.count() <= 64 and blocks.filter(F.col("mask") == 0).count() == 0
 
@@ -198,9 +197,15 @@ def test_language_held_out(spark, odd, nothing, sf):
     assert language_id.identify(nothing, model).count() == 0 and {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("most", [100_000, 1])
-def test_mixing_as_in_sql(odd, rows, nothing, most, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+def test_many_cells_are_raked_by_joins_alike(odd, monkeypatch):
+    few, many = [], []
+    for most, found in ((100_000, few), (1, many)):
+        monkeypatch.setattr(mixing, "MOST_CELLS", most)
+        found.extend(mixing.with_probabilities(odd, rounds=3).select("doc_id", "_topic", F.round("probability", 6)).collect())
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
+def test_mixing_as_in_sql(odd, rows, nothing):
     got = mixing.mixed_report(odd).toPandas()
     con = duckdb.connect()
     con.register("documents", pd.DataFrame([r[:4] for r in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"}))
@@ -219,7 +224,7 @@ def test_the_sample_meets_its_targets(spark, most, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_CELLS", most)
     texts = [(i, " ".join(["word"] * (20 + i % 7)), ("en", "de", "fr")[i % 7 % 3], "hot" if i % 3 == 0 else f"s{i % 11}") for i in range(600)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
-    found = mixing.with_probabilities(docs, keep=None, rounds=20).select("_source", "_lang", "_tokens", "probability").toPandas()
+    found = mixing.with_probabilities(docs).select("_source", "_lang", "_tokens", "probability").toPandas()
     assert found["probability"].max() <= 1 + 1e-9 and found["probability"].max() > 0.999
     found["kept"] = found["_tokens"] * found["probability"]
     for m in ("_source", "_lang"):
@@ -228,6 +233,19 @@ def test_the_sample_meets_its_targets(spark, most, monkeypatch):
         assert np.allclose(sums["kept"] / sums["kept"].sum(), want / want.sum(), atol=1e-3)
 
 
+def test_the_sampled_tokens_meet_the_margins(spark, sf):
+    """What mix() keeps of sf0.1, not its expectation: every margin of 1 % or more of the tokens within one point."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    found = mixing.with_probabilities(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens").toPandas()
+    kept = mixing.mixed_report(docs).select("doc_id").toPandas()["doc_id"]
+    sample = found[found["doc_id"].isin(kept)]
+    assert 0.5 < len(sample) / len(found) < 0.7
+    for m in ("_source", "_lang", "_topic"):
+        want = (found.groupby(m)["_tokens"].sum() / found["_tokens"].sum()) ** mixing.POWER
+        have = sample.groupby(m)["_tokens"].sum() / sample["_tokens"].sum()
+        assert ((want / want.sum() - have.reindex(want.index).fillna(0)).abs() < 0.01).all(), m
+
+
 def test_raking_meets_given_targets():
     cells = pd.DataFrame({"source": list("aabb"), "lang": list("xyxy"), "topic": list("tttt"), "tokens": [100, 50, 30, 20]})
     targets = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}
