@@ -22,9 +22,10 @@ def line_text(segs: Column) -> Column:
 
 def amount_on_line(segs: Column, label: str) -> Column:
     """The last cell after the first that is an amount, else the first amount behind the label in the line's text."""
-    cells = F.filter(F.transform(F.slice(segs, 2, 1 << 20), lambda c: money.money(c)), lambda x: x.isNotNull())
+    cells = F.filter(F.transform(F.slice(segs, F.lit(2), F.greatest(F.size(segs), F.lit(1))), lambda c: money.money(c)), lambda x: x.isNotNull())
     text = line_text(segs)
-    behind = money.first_money(text, F.greatest(F.instr(F.upper(text), label) + len(label) - 1, F.lit(0)))
+    at = F.instr(F.upper(text), label)  # 0 where the label is spaced otherwise: then the whole text is searched
+    behind = money.first_money(text, F.when(at > 0, at + len(label) - 1).otherwise(0))
     return F.when(F.size(cells) > 0, F.element_at(cells, -1)).otherwise(behind)
 
 
@@ -53,7 +54,7 @@ def value_on_line(segs: Column, label: str) -> Column:
     place = F.array_position(F.transform(segs, lambda c: F.contains(F.upper(c), F.lit(label))), True).cast("int")
     own = F.get(segs, place - 1)
     after = F.trim(F.when(F.contains(own, F.lit(":")), F.substring_index(own, ":", -1)).otherwise(""))
-    rest = F.filter(F.slice(segs, place + 1, 1 << 20), lambda c: F.trim(c) != "")
+    rest = F.filter(F.slice(segs, place + 1, F.size(segs)), lambda c: F.trim(c) != "")
     return F.when(place > 0, F.when(after != "", after).otherwise(F.trim(F.get(rest, F.lit(0)))))
 
 

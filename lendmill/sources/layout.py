@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lendmill.sources.tables import select_sql, table
 
@@ -71,3 +72,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WITH = f"""WITH elements AS ({select_sql(ELEMENT, "lineitem")}), lines AS ({select_sql(LINE, "lineitem")}), sheets AS ({select_sql(SHEET, "orders")}),
 pages AS (SELECT doc_id, page, CAST(760 + (doc_id + page) % 90 AS DOUBLE) AS height FROM (SELECT o_orderkey AS doc_id, CAST(unnest([1, 2, 3]) AS INT) AS page FROM orders))"""
+
+
+def block_json(text: Column) -> Column:
+    """A struct (text, x0, y0, x1, y1, page, page_height) of a text block's JSON; a page without a height has 842 points."""
+    b = F.from_json(text, "raw_text string, bounding_box array<double>, page_number int, page_height double")
+    corners = (F.get(b["bounding_box"], F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1")))
+    return F.struct(b["raw_text"].alias("text"), *corners, b["page_number"].alias("page"), F.coalesce(b["page_height"], F.lit(842.0)).alias("page_height"))
