@@ -38,7 +38,7 @@ ROW, ROWS = 192, 8191
 #: Luminance blocks of a picture at most (the format's limit is four times as many).
 MOST_SAMPLES = 1 << 24
 #: Text bytes that are written at once; writing and reading run beside each other in an executor.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 # Fixed values of the JPEG format: code lengths of the usual luminance DC table, one symbol for each size in bits.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = tuple(range(12))
