@@ -62,6 +62,7 @@ SLOTS = {
         "agricultural_income": ("AGRICULTURE", "AGRICULTURAL"), "other": ("OTHER ITEM",),
     },
 }
+# Shapes of identifiers and of amounts in running text.
 PAN = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
 UAN = r"(?i)\bUAN\s*(?:no\.?|number)?\s*[:\-]?\s*(\d{12})\b"
 AMOUNT = r"(?:\(|-)?\s*(?:INR|Rs\.?|₹)?\s*\d{1,3}(?:,\d{2,3})*(?:\.\d{1,2})?\s*\)?"
