@@ -30,6 +30,7 @@ def dpd_lenient(token: Column) -> Column:
 def dpd_token(token: Column) -> Column:
     """A printed cell cleaned for storage: known status codes in capitals, digits as they stand, else null."""
     plain = F.trim(token)
+    # The status codes that a report prints.
     return F.when(F.upper(plain).isin("STD", "SUB", "DBT", "LSS", "SMA", "XXX", "NA", "*"), F.upper(plain)).when(plain.rlike(r"^\d+$"), plain)
 
 

@@ -67,6 +67,7 @@ def mask_fields(columns: list[str]) -> list[Column]:
 
 def redact_text(text: Column, aadhaar: str = "************") -> Column:
     """Identifiers with their neighbours looked at: numbers inside longer numbers stay."""
+    # Shapes of identifiers in free text and what masks them.
     text = F.regexp_replace(text, r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)", aadhaar)
     text = F.regexp_replace(text, r"(?<![A-Z0-9])[A-Z]{5}(\d{4}[A-Z])(?![A-Z0-9])", "*****$1")
     text = F.regexp_replace(text, r"[\w.+-]+@([\w-]+\.[\w.]+)", "***@$1")
@@ -74,11 +75,13 @@ def redact_text(text: Column, aadhaar: str = "************") -> Column:
 
 
 def redact_simple(text: Column) -> Column:
+    # Shape and mask.
     return F.regexp_replace(text, r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "[Aadhaar Redacted]")
 
 
 def leaks(text: Column) -> Column:
     """How many numbers of twelve digits stand alone in a text, the first digit 2 to 9."""
+    # Fixed value: the shape.
     return F.regexp_count(text, F.lit(r"(?<![\d.])[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}(?![\d.])"))
 
 
@@ -92,6 +95,7 @@ def verhoeff_valid(digits: Column) -> Column:
 
 def redact_strict(text: Column) -> Column:
     """Only numbers of twelve digits whose checksum holds are masked."""
+    # Fixed value: the shape.
     pattern = r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     valid = F.filter(F.array_distinct(found), lambda m: verhoeff_valid(F.regexp_replace(m, "[ -]", "")))
