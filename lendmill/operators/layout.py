@@ -73,7 +73,7 @@ def column_slices(elements: DataFrame) -> DataFrame:
         if low is not None:
             held &= F.col("x0") >= low
         if high is not None:
-            held &= (F.col("x0") < high) if low is None else (F.col("x0") <= high)
+            held &= F.col("x0") < high
         inside.append(F.when(held, F.lit(name)))
     return elements.select("doc_id", "seq", F.explode(F.array_compact(F.array(*inside))).alias("slice"))
 

@@ -154,7 +154,7 @@ def layout_stacked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "layout_column_slices",
-    f"""{s.WITH} SELECT doc_id, seq, 'first' AS slice FROM elements WHERE x0 < 250 UNION ALL SELECT doc_id, seq, 'second' FROM elements WHERE x0 BETWEEN 250 AND 450 UNION ALL SELECT doc_id, seq, 'third' FROM elements WHERE x0 BETWEEN 400 AND 580
+    f"""{s.WITH} SELECT doc_id, seq, 'first' AS slice FROM elements WHERE x0 < 250 UNION ALL SELECT doc_id, seq, 'second' FROM elements WHERE x0 >= 250 AND x0 < 450 UNION ALL SELECT doc_id, seq, 'third' FROM elements WHERE x0 >= 400 AND x0 < 580
 UNION ALL SELECT doc_id, seq, 'fourth' FROM elements WHERE x0 >= 550""",
 )
 def layout_column_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
