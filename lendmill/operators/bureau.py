@@ -38,6 +38,19 @@ def civil_date(text: Column) -> Column:
     return F.when(good, F.date_add(F.make_date(F.when(good, year), F.when(good, month), F.lit(1)), day - 1))
 
 
+def profile_flags(people: DataFrame) -> DataFrame:
+    """What in a person's name, pan and date_of_birth breaks the schema; only the name has to be there."""
+    # The schema's shapes.
+    odd = lambda c, shape: F.coalesce(~F.col(c).rlike(shape), F.lit(False))
+    return people.select("report_id", (F.length(F.coalesce("name", F.lit(""))) < 1).alias("no_name"), odd("pan", "^[A-Z]{5}[0-9]{4}[A-Z]$").alias("bad_pan"), odd("date_of_birth", "^[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}$").alias("bad_birth"))
+
+
+def enquiry_flags(enquiries: DataFrame) -> DataFrame:
+    """How many enquiries of each report break the schema: no member, no date of its shape, a negative amount."""
+    dated = F.coalesce(F.col("date_text").rlike("^[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}$"), F.lit(False))
+    return enquiries.groupBy("report_id").agg(F.count_if(F.col("member").isNull()).alias("no_member"), F.count_if(~dated).alias("bad_date"), F.count_if(F.col("amount") < 0).alias("negative"))
+
+
 def title_key(text: Column) -> Column:
     """Words of ASCII letters and digits, each capitalized, joined by underscores; ``Unknown`` without any."""
     words = F.filter(F.split(F.regexp_replace(text, r"[^A-Za-z0-9]", " "), " "), lambda w: w != "")

@@ -17,6 +17,28 @@ def content_hash(text: Column) -> Column:
     return F.when(enough(F.substring(text, 1, 4 * LEAST)), F.sha2(plain, 256)).when(enough(text), F.sha2(plain, 256))
 
 
+def image_hash(images: DataFrame) -> DataFrame:
+    """(file_id, image_hash) of images (file_id, object_no, data): a digest of lengths and data in order, and their count.
+
+    Numbers are eight bytes, the low one first. The images of one file meet in one row; files without images have none.
+    """
+
+    def low_first(n: Column) -> Column:
+        digits = F.lpad(F.hex(n.cast("bigint")), 16, "0")
+        return F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2)))
+
+    part = F.concat(low_first(F.octet_length("data")), F.hex("data"))
+    found = images.filter("data is not null").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("object_no", part.alias("part")))).alias("parts"))
+    whole = F.concat(F.array_join(F.transform("parts", lambda p: p["part"]), ""), low_first(F.size("parts")))
+    return found.select("file_id", F.sha2(F.unhex(whole), 256).alias("image_hash"))
+
+
+def file_identity(files: DataFrame, images: DataFrame) -> DataFrame:
+    """(file_id, content, image_hash) of files (file_id, text): an image hash counts only where the text has no hash."""
+    content = content_hash(F.coalesce("text", F.lit("")))
+    return files.select("file_id", content.alias("content")).join(image_hash(images), "file_id", "left").select("file_id", "content", F.when(F.col("content").isNull(), F.col("image_hash")).alias("image_hash"))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     sha, content = F.sha2(text, 256), content_hash(text)

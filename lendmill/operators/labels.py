@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendmill.functions import money
-from lendmill.operators.extract import section_code, slab_working
+from lendmill.operators.extract import first_line_wins, occupancy, section_code, slab_working
 from lendmill.operators.fields import line_text, squashed
 
 # Words of a sheet by the field that they name.
@@ -192,6 +192,33 @@ def deduction_totals(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", F.abs("total").alias("total"))
 
 
+def head_details(components: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row for each document with the named fields of all heads, and how a house is held.
+
+    ``components`` have (doc_id, head, line_no, label, paise). Lines of the same text under a head count once; of several
+    components in a slot the first one is the field, with or without an amount. ``lines`` have (doc_id, line_no, label).
+    """
+    once = components.groupBy("doc_id", "head", "label").agg(F.min(F.struct("line_no", "paise")).alias("m")).select("doc_id", "head", "label", "m.line_no", "m.paise")
+    slotted = once.withColumn("slot", component_slot(F.col("head"), F.col("label")))
+    pick = lambda head, slot: F.min_by("paise", F.when((F.col("head") == head) & (F.col("slot") == slot), F.col("line_no"))).alias(slot)
+    fields = slotted.groupBy("doc_id").agg(*(pick(head, slot) for head, slots in SLOTS.items() for slot in slots))
+    return fields.join(first_line_wins(lines, occupancy(F.col("label")), "occupancy"), "doc_id", "left")
+
+
+def sheet_schema_flags(sheets: DataFrame) -> DataFrame:
+    """What in a computation (source, format, pan, aadhaar, ay, fy as (start, end), fy_source, sections) breaks its schema.
+
+    Absent values are allowed but for the source and the format; years lie between 1990 and 2100, their ends one later.
+    """
+    year = lambda c: F.coalesce(~(F.col(c)["start"].between(1990, 2100) & F.col(c)["end"].between(1991, 2101)), F.col(c).isNotNull())
+    some = lambda c: F.coalesce(c, F.lit(False))
+    return sheets.select(
+        "sheet_id", (F.length(F.coalesce("source", F.lit(""))) < 1).alias("bad_source"), (~some(F.col("format").isin("Pdf", "Rtf"))).alias("bad_format"), some(~F.col("pan").rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")).alias("bad_pan"),
+        some(F.col("aadhaar") != "[Aadhaar Redacted]").alias("bad_aadhaar"), year("ay").alias("bad_assessment_year"), year("fy").alias("bad_financial_year"), some(~F.col("fy_source").isin("stated", "derived")).alias("bad_year_source"),
+        F.size(F.filter("sections", lambda c: c.isNull() | (F.length(c) < 2))).alias("bad_sections"),
+    )
+
+
 def component_slot(head: Column, label: Column) -> Column:
     """The slot of a component under its head, or null."""
     text = squashed(label)

@@ -34,6 +34,27 @@ def repeated_margins(elements: DataFrame, pages: DataFrame, margin: float = 60.0
     return near.groupBy("doc_id", norm.alias("norm")).agg(F.countDistinct("page").alias("pages"), F.count("*").alias("elements")).filter(F.col("pages") >= least)
 
 
+# Texts of margins that are noise on any page, and words that no margin is dropped with.
+NOISE = r"PAGE X|CREDIT INFORMATION BUREAU|ALL RIGHTS RESERVED|CONFIDENTIAL|CONSUMER CREDIT INFORMATION"
+CRITICAL = r"ACCOUNT|DATE OPENED|DATE CLOSED|SANCTIONED|CURRENT BALANCE|WRITTEN OFF|DAYS PAST DUE|YEAR"
+
+
+def without_margins(runs: DataFrame, margin: float = 60.0) -> DataFrame:
+    """Runs (with page_height) but for headers and footers: noise, and texts (numbers aside) that margins repeat.
+
+    Only what begins in a margin and holds no critical word goes; repeats count in documents of several pages and over
+    three bytes. One window by document tells its pages, one by document and text the repeats.
+    """
+    inside = (F.col("y0") < margin) | (F.col("y0") > F.col("page_height") - margin)
+    norm = F.regexp_replace(F.upper(F.trim("text")), "[0-9]+", "X")
+    marked = runs.withColumns({"__in": F.coalesce(inside, F.lit(False)), "__norm": norm})
+    document = Window.partitionBy("doc_id")
+    marked = marked.withColumn("__many", F.min("page").over(document) < F.max("page").over(document)).withColumn("__times", F.count("*").over(Window.partitionBy("doc_id", "__norm", "__in")))
+    noise = F.col("__norm").rlike(NOISE) | (F.col("__many") & (F.octet_length("__norm") > 3) & (F.col("__times") > 1))
+    dropped = F.col("__in") & ~F.upper("text").rlike(CRITICAL) & noise
+    return marked.filter(~F.coalesce(dropped, F.lit(False))).drop("__in", "__norm", "__many", "__times")
+
+
 def nearest_label(values: DataFrame, labels: DataFrame, most: float | None) -> DataFrame:
     """The label of the same document and row whose center is nearest, at most so far; of equals the first."""
     center = (F.col("x0") + F.col("x1")) / 2
@@ -84,8 +105,9 @@ def overlapping_right(labels: DataFrame, elements: DataFrame) -> DataFrame:
     return left.join(elements, ["doc_id", "page"]).filter("ly0 < y1 and ly1 > y0 and x0 >= lx1").select("doc_id", "page", "label_seq", "seq")
 
 
-def anchored_groups(elements: DataFrame, share: float = 0.4) -> DataFrame:
+def anchored_groups(elements: DataFrame, share: float = 0.4, begin: str = "y0", end: str = "y1") -> DataFrame:
     """Rows of elements: one joins the row whose first element it overlaps in height by more than a share of the taller.
+    With ``begin`` and ``end`` x0 and x1 they are columns.
 
     Each step depends on the row's first element, which no window frame expresses. Documents are dealt out and sorted by
     Spark; a task then reads its elements in order and holds one row's first element only.
@@ -95,7 +117,7 @@ def anchored_groups(elements: DataFrame, share: float = 0.4) -> DataFrame:
         doc, page, number, top, bottom = None, None, 0, 0.0, 0.0
         for part in parts:
             groups = []
-            for d, p, a, b in zip(part["doc_id"], part["page"], part["y0"], part["y1"], strict=True):
+            for d, p, a, b in zip(part["doc_id"], part["page"], part[begin], part[end], strict=True):
                 if d != doc:
                     doc, page, number = d, None, 0
                 if p != page or min(b, bottom) - max(a, top) <= share * max(b - a, bottom - top):
@@ -103,5 +125,5 @@ def anchored_groups(elements: DataFrame, share: float = 0.4) -> DataFrame:
                 groups.append(number)
             yield part.assign(group=groups)[["doc_id", "seq", "group"]]
 
-    dealt = elements.select("doc_id", "seq", "page", "y0", "y1").repartition("doc_id").sortWithinPartitions("doc_id", "page", "y0", "seq")
+    dealt = elements.select("doc_id", "seq", "page", begin, end).repartition("doc_id").sortWithinPartitions("doc_id", "page", begin, "seq")
     return dealt.mapInPandas(fold, "doc_id long, seq long, group long")

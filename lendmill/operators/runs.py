@@ -64,6 +64,30 @@ def assemble_runs(fragments: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "page", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min_by("baseline", "seq").alias("baseline"), words.alias("text"))
 
 
+def line_groups(elements: DataFrame, share: float = 0.6) -> DataFrame:
+    """(doc_id, page, line, x0, y0, x1, y1, text) of elements: one joins the line whose first element's center it is near.
+
+    Near is at most a share of the smaller height (1 at least); blank elements are left out.
+    """
+
+    def step():
+        first, number = None, 0
+
+        def own(values):
+            nonlocal first, number
+            page, center, height = values
+            if first is None or page != first[0] or abs(center - first[1]) > max(min(height, first[2]), 1.0) * share:
+                first, number = values, number + 1
+            return number
+
+        return own
+
+    shown = elements.filter(F.trim("text") != "").withColumns({"center": (F.col("y0") + F.col("y1")) / 2, "height": F.col("y1") - F.col("y0")})
+    numbered = _in_order(shown.select("doc_id", "page", "seq", "x0", "y0", "x1", "y1", "text", "center", "height"), ["page", "center", "x0", "seq"], step, ["page", "center", "height"], "line", "long")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "center", "seq", "text"))), lambda x: F.trim(x["text"])), " ")
+    return numbered.groupBy("doc_id", "page", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), words.alias("text"))
+
+
 def account_starts(marks: DataFrame) -> DataFrame:
     """The marks (doc_id, page, y0, seq) that begin an account: not within 100 points below the last kept one on its page,
     and on the next page not within 20 elements of it."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendmill.operators import income, layout
-from lendmill.registry import query
+from lendmill.registry import fold_sql, query
 from lendmill.sources import layout as s
 
 _SUM = " + ".join(f"coalesce({h}, 0)" for h in income.HEADS)
@@ -180,7 +180,32 @@ def layout_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.elements(spark, sf_dir).select("doc_id", "seq", F.row_number().over(order).alias("place"))
 
 
-@query("layout_row_cluster")
+_OVERLAP = "r.page = g.page AND least(r.{1}, g.{1}) - greatest(r.{0}, g.{0}) > 0.4 * greatest(r.{1} - r.{0}, g.{1} - g.{0})"
+
+
+def _grouped_sql(begin: str, end: str) -> str:
+    return f"""{s.WITH}, {fold_sql("SELECT * FROM elements", f"page, {begin}, seq", _OVERLAP.format(begin, end), f"page, {begin}, {end}")} SELECT doc_id, seq, grp AS "group" FROM g"""
+
+
+@query("layout_column_cluster", _grouped_sql("x0", "x1"))
+def layout_column_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns anchored at their first element."""
+    return layout.anchored_groups(s.elements(spark, sf_dir), begin="x0", end="x1")
+
+
+@query(
+    "layout_margin_suppression",
+    f"""{s.WITH}, m AS (SELECT e.*, y0 < 60 OR y0 > height - 60 AS inside, regexp_replace(upper(trim(text)), '[0-9]+', 'X', 'g') AS norm FROM elements e JOIN pages USING (doc_id, page)),
+t AS (SELECT *, min(page) OVER (PARTITION BY doc_id) < max(page) OVER (PARTITION BY doc_id) AS many, count(*) OVER (PARTITION BY doc_id, norm, inside) AS times FROM m)
+SELECT doc_id, page, seq, text FROM t WHERE NOT (inside AND (contains(norm, 'PAGE X') OR many AND strlen(norm) > 3 AND times > 1))""",
+)
+def layout_margin_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements but for headers and footers."""
+    runs = s.elements(spark, sf_dir).join(s.pages(spark, sf_dir).withColumnRenamed("height", "page_height"), ["doc_id", "page"])
+    return layout.without_margins(runs).select("doc_id", "page", "seq", "text")
+
+
+@query("layout_row_cluster", _grouped_sql("y0", "y1"))
 def layout_row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows anchored at their first element; the tests hold it to a plain loop."""
+    """Rows anchored at their first element."""
     return layout.anchored_groups(s.elements(spark, sf_dir).select("doc_id", "seq", "page", "y0", "y1"))

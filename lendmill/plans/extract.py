@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendmill.operators import extract as x
-from lendmill.registry import query
+from lendmill.registry import fold_sql, query
 from lendmill.sources import layout as s
 from lendmill.sources.tables import select_sql, table
 
@@ -156,7 +156,7 @@ def layout_cell_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.cells_to_bands(found, found.select("doc_id", (F.floor(F.col("x0") / 100) * 100).cast("double").alias("x0")).distinct())
 
 
-@query("layout_column_bands")
+@query("layout_column_bands", f"{s.WITH}, {fold_sql('SELECT DISTINCT doc_id, x0 AS seq, x0 AS edge FROM elements', 'seq', 'r.edge - g.edge <= 6', 'edge')} SELECT doc_id, seq AS x0, grp AS band, edge FROM g")
 def layout_column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands anchored at their first edge; the tests hold it to a plain loop."""
+    """Bands anchored at their first edge."""
     return x.column_bands(s.elements(spark, sf_dir))

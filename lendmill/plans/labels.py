@@ -9,7 +9,7 @@ from lendmill.operators import labels
 from lendmill.registry import query
 from lendmill.sources import layout as s
 from lendmill.sources.layout import block_json
-from lendmill.sources.tables import table
+from lendmill.sources.tables import select_sql, table
 
 _N = "CAST(l_partkey % 9000 + 1000 AS STRING)"
 
@@ -147,6 +147,46 @@ def income_component_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", labels.component_slot(F.col("head"), F.col("label")).alias("slot"))
 
 
+_PAISE = "CAST(floor(l_extendedprice) AS BIGINT) * 100"
+
+
+def _detail_sql() -> str:
+    kinds: dict[str, list[str]] = {slot: [] for slots in labels.SLOTS.values() for slot in slots}
+    for k, (_, _, slot) in enumerate(_COMPONENTS):
+        if slot is not None:
+            kinds[slot].append(str(k))
+    shown = (f"arg_min(paise, line_no) FILTER (WHERE kind IN ({', '.join(k)})) AS {slot}" if k else f"CAST(NULL AS BIGINT) AS {slot}" for slot, k in kinds.items())
+    held = "arg_min(CASE WHEN n % 5 = 0 THEN 'self_occupied' ELSE 'let_out' END, line_no) FILTER (WHERE n % 5 < 2) AS occupancy"
+    return f"SELECT doc_id, {', '.join(shown)}, {held} FROM (SELECT l_orderkey AS doc_id, {s.SEQ} AS line_no, {_kind(_COMPONENTS)} AS kind, {_PAISE} AS paise, l_partkey AS n FROM lineitem) GROUP BY doc_id"
+
+
+@query("income_slot_details", _detail_sql())
+def income_slot_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named fields of each sheet's heads, and how a house is held."""
+    held = "CASE l_partkey % 5 WHEN 0 THEN 'Self-Occupied flat' WHEN 1 THEN 'flat let out' ELSE 'flat' END AS held"
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", f"{s.SEQ} AS line_no", f"{_of_component(0)} AS head", f"{_of_component(1)} AS label", f"{_PAISE} AS paise", held)
+    return labels.head_details(rows, rows.select("doc_id", "line_no", F.col("held").alias("label")))
+
+
+_SHEET = {
+    "sheet_id": "o_orderkey", "source": "CASE WHEN o_orderkey % 7 <> 0 THEN 'a.pdf' ELSE '' END", "format": "CASE o_orderkey % 5 WHEN 0 THEN 'Pdf' WHEN 1 THEN 'Rtf' WHEN 2 THEN 'pdf' WHEN 3 THEN 'Pdf' END",
+    "pan": "CASE o_orderkey % 4 WHEN 0 THEN 'ABCDE1234F' WHEN 1 THEN 'ABCDE12345' WHEN 2 THEN 'xABCDE1234F' END", "aadhaar": "CASE o_orderkey % 3 WHEN 0 THEN '[Aadhaar Redacted]' WHEN 1 THEN '1234' END",
+    "ay0": "CASE WHEN o_orderkey % 6 <> 0 THEN 1985 + o_orderkey % 120 END", "fy_source": "CASE o_orderkey % 8 WHEN 0 THEN 'stated' WHEN 1 THEN 'derived' WHEN 2 THEN 'guess' END", "code": "CASE o_orderkey % 9 WHEN 0 THEN '8' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE '80C' END",
+}
+
+
+@query(
+    "income_schema_flags",
+    f"""SELECT sheet_id, source = '' AS bad_source, format IS NULL OR format = 'pdf' AS bad_format, sheet_id % 4 IN (1, 2) AS bad_pan, sheet_id % 3 = 1 AS bad_aadhaar, coalesce(ay0 NOT BETWEEN 1990 AND 2100, false) AS bad_assessment_year,
+coalesce(ay0 - 1 NOT BETWEEN 1990 AND 2100, false) AS bad_financial_year, sheet_id % 8 = 2 AS bad_year_source, CASE WHEN sheet_id % 9 < 3 THEN 1 ELSE 0 END AS bad_sections FROM ({select_sql(_SHEET, "orders")})""",
+)
+def income_schema_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What in a computation breaks its schema."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {n}" for n, e in _SHEET.items()))
+    span = lambda first: F.when(F.col("ay0").isNotNull(), F.struct(first.alias("start"), (first + 1).alias("end")))
+    return labels.sheet_schema_flags(rows.withColumns({"ay": span(F.col("ay0")), "fy": span(F.col("ay0") - 1), "sections": F.array(F.lit("80D"), "code")}))
+
+
 @query(
     "src_block_json",
     f"""SELECT l_orderkey AS doc_id, {s.SEQ} AS seq, 'run ' || l_partkey AS text, (l_partkey % 600)::DOUBLE AS x0, (l_suppkey % 700)::DOUBLE AS y0, (l_partkey % 600 + 30)::DOUBLE AS x1, (l_suppkey % 700 + 8)::DOUBLE AS y1,

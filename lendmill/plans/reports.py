@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmill.operators import reports
+from lendmill.operators import bureau, reports
 from lendmill.registry import query
+from lendmill.sources import bureau as bs
 from lendmill.sources import reports as s
 
 
@@ -81,3 +82,18 @@ def bureau_card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = s.card_elements(spark, sf_dir)
     starts = elements.filter("seq % 100 = 0").select("doc_id", F.col("n").alias("start_no"), "y0", "text")
     return reports.account_cards(elements.drop("n"), starts).drop("confidence").withColumn("source_pages", F.array_join(F.col("source_pages").cast("array<string>"), ","))
+
+
+@query("bureau_profile_flags", "SELECT c_custkey AS report_id, false AS no_name, c_custkey % 11 = 5 AS bad_pan, c_custkey % 3 = 2 AND c_custkey % 4 = 2 AS bad_birth FROM customer")
+def bureau_profile_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema of the people that reports are about."""
+    people = reports.metadata_and_identity(_reports(spark, sf_dir, s.IDENTITY))
+    pan = F.when(F.col("doc_id") % 11 == 5, "ABCDE12345").otherwise(F.col("pan"))
+    return bureau.profile_flags(people.select(F.col("doc_id").alias("report_id"), F.col("consumer_name").alias("name"), pan.alias("pan"), "date_of_birth"))
+
+
+@query("bureau_enquiry_flags", f"{bs.WITH} SELECT report_id, count(*) FILTER (WHERE enquiry_no % 7 = 0) AS no_member, count(*) FILTER (WHERE enquiry_no % 11 = 0) AS bad_date, count(*) FILTER (WHERE amount > 300000) AS negative FROM enquiries GROUP BY report_id")
+def bureau_enquiry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema of enquiries; a date has the shape of one, real or not."""
+    found = bs.enquiries(spark, sf_dir)
+    return bureau.enquiry_flags(found.select("report_id", F.when(F.col("enquiry_no") % 7 != 0, "m").alias("member"), "date_text", F.when(F.col("amount") > 300000, -1).otherwise(F.col("amount")).alias("amount")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendmill.operators import runs
-from lendmill.registry import query
+from lendmill.registry import fold_sql, query
 from lendmill.sources import layout as s
 from lendmill.sources.tables import select_sql, table
 
@@ -31,14 +31,38 @@ def grid_mmyy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.month_grid(table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in CELL.items())))
 
 
-@query("layout_run_assembly")
+_NEAR = """r.page = g.page AND abs(g.baseline - r.baseline) <= least(g.size, r.size) * 0.5 AND greatest(g.size, r.size) / greatest(least(g.size, r.size), 0.01) <= 1.6
+AND r.x0 - g.reach <= greatest(r.size, 1) AND r.x0 >= g.x0 - r.size"""
+
+
+@query(
+    "layout_run_assembly",
+    f"""{s.WITH}, {fold_sql("SELECT *, x1 AS reach, y1 AS baseline, y1 - y0 AS size FROM elements", "page, seq", _NEAR, "page, x0, baseline, size", {"reach": "greatest(g.reach, r.x1)"})}
+SELECT r.doc_id, r.page, grp AS run, min(r.x0) AS x0, max(r.x1) AS x1, arg_min(r.y1, r.seq) AS baseline, string_agg(r.text, ' ' ORDER BY r.seq) AS text FROM g JOIN r ON r.doc_id = g.doc_id AND r.k = g.k GROUP BY r.doc_id, r.page, grp""",
+)
 def layout_run_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of fragments; the tests hold it to a plain loop."""
+    """Runs of fragments."""
     found = s.elements(spark, sf_dir)
     return runs.assemble_runs(found.select("doc_id", "page", "seq", "x0", "x1", F.col("y1").alias("baseline"), (F.col("y1") - F.col("y0")).alias("size"), "text"))
 
 
-@query("layout_account_starts")
+_LINE = "r.page = g.page AND abs(r.center - g.center) <= greatest(least(r.height, g.height), 1) * 0.6"
+
+
+@query(
+    "layout_line_groups",
+    f"""{s.WITH}, {fold_sql("SELECT *, (y0 + y1) / 2 AS center, y1 - y0 AS height FROM elements", "page, (y0 + y1) / 2, x0, seq", _LINE, "page, center, height")}
+SELECT r.doc_id, r.page, grp AS line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, r.center, r.seq) AS text FROM g JOIN r ON r.doc_id = g.doc_id AND r.k = g.k GROUP BY r.doc_id, r.page, grp""",
+)
+def layout_line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of sheets and pay slips, anchored at the center of their first element."""
+    return runs.line_groups(s.elements(spark, sf_dir))
+
+
+_SAME = "r.page = g.page AND r.y0 - g.y0 < 100 OR r.page = g.page + 1 AND abs(r.seq - g.own) < 20"
+
+
+@query("layout_account_starts", f"{s.WITH}, {fold_sql('SELECT *, seq AS own FROM elements WHERE is_label', 'page, y0, seq', _SAME, 'page, y0, own')} SELECT doc_id, page, y0, seq FROM g WHERE own = seq")
 def layout_account_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.account_starts(s.elements(spark, sf_dir).filter("is_label"))
 

@@ -70,7 +70,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "explode(sequence(1, 3)) AS page").selectExpr("doc_id", "page", "CAST(760 + (doc_id + page) % 90 AS DOUBLE) AS height")
 
 
-WITH = f"""WITH elements AS ({select_sql(ELEMENT, "lineitem")}), lines AS ({select_sql(LINE, "lineitem")}), sheets AS ({select_sql(SHEET, "orders")}),
+WITH = f"""WITH RECURSIVE elements AS ({select_sql(ELEMENT, "lineitem")}), lines AS ({select_sql(LINE, "lineitem")}), sheets AS ({select_sql(SHEET, "orders")}),
 pages AS (SELECT doc_id, page, CAST(760 + (doc_id + page) % 90 AS DOUBLE) AS height FROM (SELECT o_orderkey AS doc_id, CAST(unnest([1, 2, 3]) AS INT) AS page FROM orders))"""
 
 
