@@ -6,9 +6,12 @@ a pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendmill.operators.extract import block_boundary
+from lendmill.operators.labels import component_slot
+
 TOLERANCE, ROUNDING = 100, 1000
 HEADS = ("salary", "house_property", "business", "capital_gains", "other_sources")
 
@@ -64,8 +67,6 @@ def sections(lines: DataFrame, markers: dict[str, str]) -> DataFrame:
 
     The order within a document is by line_no; documents are the partitions of the window.
     """
-    from pyspark.sql import Window
-
     marker = F.lit(None).cast("string")
     for word, name in markers.items():
         marker = F.coalesce(marker, F.when(F.contains(F.upper("label"), F.lit(word)), name))
@@ -97,13 +98,16 @@ def head_totals(lines: DataFrame) -> DataFrame:
 
 
 def components(lines: DataFrame, most: int = 40) -> DataFrame:
-    """Lines under a head of income until a boundary or another head, at most so many lines on; equal labels count once."""
-    from pyspark.sql import Window
+    """Lines under a head of income until a boundary or another head, at most so many lines on; equal lines count once.
 
+    A line without an amount counts where its words name a slot of the head.
+    """
     head = head_of(F.col("label"))
-    boundary = F.upper("label").rlike("TOTAL|DEDUCTION")
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    event = F.when(head.isNotNull(), F.struct(head.alias("head"), F.col("line_no").alias("start"))).when(boundary, F.struct(F.lit(None).cast("string").alias("head"), F.col("line_no").alias("start")))
-    under = lines.withColumn("own", head.isNotNull() | boundary).withColumn("open", F.last(event, ignorenulls=True).over(order))
-    kept = under.filter(~F.col("own") & F.col("open.head").isNotNull() & (F.col("line_no") - F.col("open.start") <= most) & F.col("paise").isNotNull())
+    boundary = block_boundary(F.col("label"), F.col("paise").isNotNull())
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    event = F.when(head.isNotNull(), F.struct(head.alias("head"), F.col("place").alias("start"))).when(boundary, F.struct(F.lit(None).cast("string").alias("head"), F.col("place").alias("start")))
+    placed = lines.withColumn("place", F.row_number().over(order)).withColumn("own", head.isNotNull() | boundary)
+    under = placed.withColumn("open", F.last(event, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = under.filter(~F.col("own") & F.col("open.head").isNotNull() & (F.col("place") - F.col("open.start") <= most))
+    kept = kept.filter(F.col("paise").isNotNull() | component_slot(F.col("open.head"), F.col("label")).isNotNull())
     return kept.groupBy("doc_id", F.col("open.head").alias("head"), "label").agg(F.min(F.struct("line_no", "paise")).alias("m")).select("doc_id", "head", "label", "m.line_no", "m.paise")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lendmill.operators import income, layout
 from lendmill.registry import fold_sql, query
 from lendmill.sources import layout as s
+from lendmill.sources.tables import select_sql, table
 
 _SUM = " + ".join(f"coalesce({h}, 0)" for h in income.HEADS)
 _COUNT = " + ".join(f"({h} IS NOT NULL)::INT" for h in income.HEADS)
@@ -46,15 +47,24 @@ def income_head_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return income.head_totals(s.lines(spark, sf_dir))
 
 
+# Long sheets: a head is about every 40th line, so that blocks end by heads, boundaries and length.
+_SHEET_LINE = {
+    "doc_id": "l_suppkey", "line_no": s.SEQ, "paise": "CASE WHEN l_orderkey % 5 <> 0 THEN CAST(floor(l_extendedprice) AS BIGINT) * 100 END",
+    "label": "CASE l_partkey * 7 % 200 WHEN 0 THEN 'Income from Salaries' WHEN 1 THEN 'Income from House Property' WHEN 2 THEN 'Profits of Business' WHEN 3 THEN 'Capital Gains' WHEN 4 THEN 'Income from Other Sources' "
+    "WHEN 5 THEN 'Gross Total Income' WHEN 6 THEN 'Details of rent' WHEN 7 THEN 'Dividend' WHEN 8 THEN 'Dividend' WHEN 9 THEN 'Basic pay' ELSE concat('Item ', CAST(l_partkey % 50 AS STRING)) END",
+}
+
+
 @query(
     "income_components",
-    f"""{s.WITH}, n AS (SELECT *, {HEAD_SQL} AS own, regexp_matches(upper(label), 'TOTAL|DEDUCTION') AS stop FROM lines),
-o AS (SELECT *, arg_max(own, line_no) FILTER (WHERE own IS NOT NULL OR stop) OVER w AS wrong, max(line_no) FILTER (WHERE own IS NOT NULL OR stop) OVER w AS start FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
-h AS (SELECT o.doc_id, o.label, o.line_no, o.paise, m.own AS head FROM o JOIN n m ON m.doc_id = o.doc_id AND m.line_no = o.start WHERE o.own IS NULL AND NOT o.stop AND m.own IS NOT NULL AND o.line_no - o.start <= 100000000 AND o.paise IS NOT NULL)
-SELECT doc_id, head, label, min(line_no) AS line_no, arg_min(paise, line_no) AS paise FROM h GROUP BY doc_id, head, label""",
+    f"""WITH lines AS ({select_sql(_SHEET_LINE, "lineitem")}), n AS (SELECT *, {HEAD_SQL} AS own, label = 'Gross Total Income' OR label = 'Details of rent' AND paise IS NULL AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM lines),
+o AS (SELECT *, max(place) FILTER (WHERE own IS NOT NULL OR stop) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS start FROM n),
+h AS (SELECT o.doc_id, o.label, o.line_no, o.paise, m.own AS head FROM o JOIN n m ON m.doc_id = o.doc_id AND m.place = o.start WHERE o.own IS NULL AND NOT o.stop AND m.own IS NOT NULL AND o.place - o.start <= 40
+AND (o.paise IS NOT NULL OR o.label = 'Dividend' AND m.own = 'other_sources' OR o.label = 'Basic pay' AND m.own = 'salary'))
+SELECT doc_id, head, label, min(line_no) AS line_no, arg_min_null(paise, line_no) AS paise FROM h GROUP BY doc_id, head, label""",
 )
 def income_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return income.components(s.lines(spark, sf_dir), most=100_000_000)
+    return income.components(table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in _SHEET_LINE.items())))
 
 
 _MARKERS = {"EARNINGS": "earning", "DEDUCTIONS": "deduction"}
