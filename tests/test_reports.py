@@ -84,3 +84,29 @@ def test_reports_without_text_or_tables(spark):
     assert {r.consumer_name for r in reports.metadata_and_identity(docs).collect()} == {reports.NO_NAME}
     assert reports.enquiries(docs).count() == reports.addresses(docs).count() == reports.employment(docs).count() == 0
     assert reports.scores(docs.limit(0)).count() == 0
+
+
+def test_image_hash_is_lengths_data_and_count(spark):
+    import hashlib
+
+    from lendmill.operators.duplicates import file_identity, image_hash
+
+    big, small = bytes(range(256)) * 3, b"x"
+    images = spark.createDataFrame([(1, 7, bytearray(small)), (1, 2, bytearray(big)), (2, 1, bytearray(b"")), (3, 1, None)], "file_id long, object_no long, data binary")
+    low = lambda n: n.to_bytes(8, "little")
+    want = {1: hashlib.sha256(low(768) + big + low(1) + small + low(2)).hexdigest(), 2: hashlib.sha256(low(0) + low(1)).hexdigest()}
+    assert {r.file_id: r.image_hash for r in image_hash(images).collect()} == want
+    files = spark.createDataFrame([(1, "a" * 300), (2, "scan"), (3, None)], "file_id long, text string")
+    assert {r.file_id: r.image_hash for r in file_identity(files, images).collect()} == {1: None, 2: want[2], 3: None}
+
+
+def test_margins_keep_critical_and_single_texts(spark):
+    from lendmill.operators.layout import without_margins
+
+    rows = [
+        (1, 1, 0, 10.0, "Bank of X, p. 1"), (1, 2, 1, 10.0, "Bank of X, p. 22"), (1, 1, 2, 10.0, "Account 1"), (1, 2, 3, 10.0, "Account 2"), (1, 1, 4, 790.0, "once only"), (1, 1, 5, 400.0, "Bank of X, p. 3"),
+        (1, 1, 6, 790.0, "ab1"), (1, 2, 7, 790.0, "ab2"), (2, 1, 0, 10.0, "twice"), (2, 1, 1, 12.0, "twice"), (2, 1, 2, 10.0, "Page 3 of 9"), (2, 1, 3, 10.0, None), (3, 1, 0, None, "confidential"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, seq long, y0 double, text string").withColumn("page_height", F.lit(842.0))
+    kept = {(r.doc_id, r.seq) for r in without_margins(frame).collect()}
+    assert kept == {(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (2, 0), (2, 1), (2, 3), (3, 0)}
