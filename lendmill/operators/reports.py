@@ -15,7 +15,7 @@ from lendmill.functions import pii
 from lendmill.functions.coerce import amount_digits
 from lendmill.operators.bureau import status_of_card
 from lendmill.operators.extract import fold_wrapped
-from lendmill.operators.layout import column_slices, regions
+from lendmill.operators.layout import SLICES, regions
 
 ELEMENT = "struct<seq: bigint, x0: double, y0: double, x1: double, y1: double, text: string>"
 # Shapes, labels and limits of a report.
@@ -40,10 +40,14 @@ CARD_KEYS = {
 FACILITY = r"(?i)CREDIT\s*FACILITY\s*STATUS\s*:\s*\n?\s*([A-Z][A-Z0-9 \-/()]{1,40})"
 
 
+def _in_order() -> Column:
+    held = F.struct(F.col("seq").cast("bigint").alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), "text")
+    return F.array_sort(F.collect_list(held)).cast(f"array<{ELEMENT}>").alias("elements")
+
+
 def with_elements(elements: DataFrame, *keys: str) -> DataFrame:
     """One row for each key with the array of its elements in the order of seq; elements without text are left out."""
-    held = F.struct(F.col("seq").cast("bigint").alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), "text")
-    return elements.filter("text is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(held)).cast(f"array<{ELEMENT}>").alias("elements"))
+    return elements.filter("text is not null").groupBy(*keys).agg(_in_order())
 
 
 def _first(elements: Column, value: Callable[[Column], Column]) -> Column:
@@ -292,11 +296,15 @@ def account_cards(elements: DataFrame, starts: DataFrame) -> DataFrame:
     stated = F.regexp_extract("title", r"^\b([0-9]+)\.\s*ACCOUNT\b", 1).try_cast("bigint")
     held = regions(elements, numbered.select("doc_id", "y0", F.col("place").alias("start_no"))).filter("region is not null")
     cards = elements.join(held, ["doc_id", "seq"]).withColumnRenamed("region", "place")
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), c)
-    whole = cards.groupBy("doc_id", "place").agg(text("\n").alias("card"), F.array_sort(F.collect_set("page")).alias("source_pages"))
-    sliced = cards.join(column_slices(elements), ["doc_id", "seq"])
+    whole = cards.filter("text is not null").groupBy("doc_id", "place").agg(_in_order(), F.array_sort(F.collect_set("page")).alias("source_pages"))
+    whole = whole.withColumn("card", F.array_join(F.transform("elements", lambda e: e["text"]), "\n"))
+
+    def inside(low: float | None, high: float | None) -> Column:
+        return F.filter("elements", lambda e: (e["x0"] >= (float("-inf") if low is None else low)) & (e["x0"] < (float("inf") if high is None else high)))
+
+    sliced = whole.select("doc_id", "place", F.inline(F.array(*(F.struct(F.lit(name).alias("slice"), inside(*ends).alias("elements")) for name, ends in SLICES.items()))))
     keys = F.element_at(F.create_map(*(x for n, k in CARD_KEYS.items() for x in (F.lit(n), F.array(*map(F.lit, k))))), F.col("slice"))
-    found = aligned_values(with_elements(sliced, "doc_id", "place", "slice"), keys)
+    found = aligned_values(sliced, keys)
     named = found.groupBy("doc_id", "place").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "slice", "key").alias("key"), "value"))).alias("found"), F.avg("confidence").alias("confidence"))
     at = lambda s, key: F.element_at("found", F.lit(f"{s}/{key}"))
     inline = lambda label: _match(F.col("card"), rf"(?im)^\s*\Q{label}\E\s*:\s*(.+)$")
@@ -304,7 +312,7 @@ def account_cards(elements: DataFrame, starts: DataFrame) -> DataFrame:
     amount = lambda *sources: F.coalesce(*map(amount_digits, sources))
     facility = F.trim(_match(F.col("card"), FACILITY))
     off = lambda word: (inline(f"WRITTEN OFF AMOUNT ({word})"), inline(f"WRITTEN-OFF AMOUNT ({word})"))
-    cards = numbered.join(whole, ["doc_id", "place"], "left").join(named, ["doc_id", "place"], "left")
+    cards = numbered.join(whole.drop("elements"), ["doc_id", "place"], "left").join(named, ["doc_id", "place"], "left")
     return cards.select(
         "doc_id", F.coalesce(stated, F.col("place").cast("bigint")).alias("card_no"), F.coalesce(pii.redact_simple(at("first", "TYPE")), F.lit(NO_TYPE)).alias("account_type"), status_of_card(F.col("card")).alias("status"),
         F.coalesce(stamp(r"DATE\s*OPENED|OPENED"), at("first", "DATE OPENED"), at("first", "DATE")).alias("date_opened"), F.coalesce(stamp(r"DATE\s*CLOSED|CLOSED"), at("first", "DATE CLOSED")).alias("date_closed"),
