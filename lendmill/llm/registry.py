@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lendmill.llm import mixing, url_filter
+from lendmill.llm import divergence, lexical, mixing, url_filter
 from lendmill.llm.fingerprints import fingerprint_documents
 from lendmill.llm.html_text import extract_pages
 from lendmill.llm.jaccard_join import jaccard_components
 from lendmill.llm.language_id import fit_language_id, identify
 from lendmill.llm.media import media_digests
 from lendmill.llm.packing import pack
+from lendmill.llm.secrets import secret_report
 from lendmill.llm.tasks import table
 from lendmill.llm.token_counts import count_tokens
 from lendmill.llm.toxicity import fit_toxicity, score_toxicity
@@ -64,6 +65,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_language_id(docs))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_report(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -75,5 +88,13 @@ LLM_QUERIES = {
     "op8_media": op8_media,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_ranked_search": op13_ranked_search,
+}
+LLM_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.SQL,
+    "op4_mixing": mixing.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
-LLM_SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op4_mixing": mixing.SQL}

@@ -33,5 +33,5 @@ def test_stages(spark, sf, tmp_path):
 
 
 def test_registered_queries_have_the_contract_s_columns():
-    assert {name.split("_")[0] for name in LLM_QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in LLM_QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(LLM_SQL) <= set(LLM_QUERIES)
