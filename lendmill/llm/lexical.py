@@ -184,6 +184,8 @@ def search_blocks(pieces: DataFrame, asked: dict[int, dict[int, int]], weights:
         order = np.lexsort((ids, unknown))
         place = np.argsort(order)
         term, tf = column("term", "<u4"), column("tf", "<u4").astype(np.int64)
+        if not len(term):
+            return
         doc = column("doc", "<u4").astype(np.int64) + np.repeat(first, [len(r["doc"]) // 4 for r in block])
         by_term = np.argsort(term, kind="stable")
         term, doc, tf = term[by_term], doc[by_term], tf[by_term]
