@@ -14,26 +14,29 @@ DOB = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 UDYAM = r"^UDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7}$"
 ENTITY_CODES = "ABCFGHJLPTK"
-#: The checksum's first permutation; the others are its powers, and the group is that of a pentagon.
-TURN = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
-
-
-def dihedral() -> list[int]:
-    """Products in the group of a pentagon's turns (0-4) and reflections (5-9), row by row."""
-
-    def product(a: int, b: int) -> int:
-        turn = (b % 5 + a if a < 5 else a - b) % 5
-        return turn + 5 * ((a < 5) != (b < 5))
-
-    return [product(a, b) for a in range(10) for b in range(10)]
-
-
-def powers() -> list[int]:
-    """The first eight powers of the permutation, row by row."""
-    rows = [list(range(10))]
-    for _ in range(7):
-        rows.append([TURN[x] for x in rows[-1]])
-    return [x for row in rows for x in row]
+# The two tables of the checksum, row by row: products of the group, and the permutation by place.
+GROUP = (
+    0, 1, 2, 3, 4, 5, 6, 7, 8, 9,
+    1, 2, 3, 4, 0, 6, 7, 8, 9, 5,
+    2, 3, 4, 0, 1, 7, 8, 9, 5, 6,
+    3, 4, 0, 1, 2, 8, 9, 5, 6, 7,
+    4, 0, 1, 2, 3, 9, 5, 6, 7, 8,
+    5, 9, 8, 7, 6, 0, 4, 3, 2, 1,
+    6, 5, 9, 8, 7, 1, 0, 4, 3, 2,
+    7, 6, 5, 9, 8, 2, 1, 0, 4, 3,
+    8, 7, 6, 5, 9, 3, 2, 1, 0, 4,
+    9, 8, 7, 6, 5, 4, 3, 2, 1, 0,
+)
+PLACES = (
+    0, 1, 2, 3, 4, 5, 6, 7, 8, 9,
+    1, 5, 7, 6, 2, 8, 3, 0, 9, 4,
+    5, 8, 0, 3, 7, 9, 6, 1, 4, 2,
+    8, 9, 1, 6, 0, 4, 3, 5, 2, 7,
+    9, 4, 5, 3, 1, 2, 6, 8, 7, 0,
+    4, 2, 8, 6, 5, 7, 3, 9, 0, 1,
+    2, 7, 9, 3, 8, 0, 6, 4, 1, 5,
+    7, 0, 4, 6, 9, 1, 3, 2, 5, 8,
+)
 
 
 def mask_pan(value: Column) -> Column:
@@ -50,6 +53,7 @@ def mask_aadhaar(value: Column) -> Column:
 
 def mask_text(text: Column) -> Column:
     """Identifiers inside free text, in a fixed order."""
+    # Shapes of identifiers in free text and what masks them.
     text = F.regexp_replace(text, r"(?i)\b([A-Z]{2})[A-Z]{3}[0-9]{3}([0-9][A-Z])\b", "$1******$2")
     text = F.regexp_replace(text, r"\b([0-9]{4}-[0-9]{2}-)([0-9]{2})\b", "****-**-$2")
     return F.regexp_replace(text, r"\b[0-9]{4}[-\s]?[0-9]{4}[-\s]?([0-9]{4})\b", "****-****-$1")
@@ -87,7 +91,7 @@ def leaks(text: Column) -> Column:
 
 def verhoeff_valid(digits: Column) -> Column:
     """Twelve digits, the first 2 to 9, whose checksum holds."""
-    group, turns = F.array(*map(F.lit, dihedral())), F.array(*map(F.lit, powers()))
+    group, turns = F.array(*map(F.lit, GROUP)), F.array(*map(F.lit, PLACES))
     places = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.element_at(turns, (i % 8) * 10 + F.substr(digits, 12 - i, F.lit(1)).cast("int") + 1))
     check = F.aggregate(places, F.lit(0), lambda c, p: F.element_at(group, c * 10 + p + 1))
     return F.when(digits.rlike(r"^[2-9][0-9]{11}$"), check == 0).otherwise(False)

@@ -241,7 +241,7 @@ def outcomes(joined: DataFrame, overlay: bool = True, report: bool = False) -> D
     for number, (rule, gate, passed, details) in enumerate(every):
         more = [x.alias(n) for x, n in zip(details(), ("parameter_name", "user_value", "limit_value"), strict=True)] if report else []
         parts.append(F.when(gate, F.struct(F.lit(number).alias("rule_no"), F.lit(rule).alias("rule_id"), passed.alias("passed"), *more)))
-    return joined.select("app_id", "bank_code", F.explode(F.array_compact(F.array(*parts))).alias("o")).select("app_id", "bank_code", "o.*")
+    return joined.select("app_id", "bank_code", F.explode(F.array(*parts)).alias("o")).filter("o is not null").select("app_id", "bank_code", "o.*")
 
 
 def step_of_rule(rule_id: Column) -> Column:

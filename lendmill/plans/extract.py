@@ -95,11 +95,11 @@ ROW = {
 
 
 @query(
-    "layout_enquiry_table",
+    "layout_wrapped_purpose",
     f"""WITH rows_ AS ({select_sql(ROW, 'lineitem')}), n AS (SELECT *, sum(CASE WHEN purpose IS NOT NULL AND member IS NULL AND date_text IS NULL AND amount IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS entry FROM rows_)
 SELECT doc_id, entry::BIGINT AS entry, arg_min(member, row_no) AS member, arg_min(date_text, row_no) AS date_text, min(amount) AS amount, coalesce(string_agg(purpose, ' ' ORDER BY row_no), '') AS purpose FROM n WHERE entry > 0 GROUP BY doc_id, entry""",
 )
-def layout_enquiry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def layout_wrapped_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.fold_wrapped(table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in ROW.items())))
 
 

@@ -169,9 +169,22 @@ def policy_failed_rule_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("bank_code", "rule_id").agg(F.count_if(~F.col("passed")).alias("failed"), F.count_if("passed").alias("succeeded"))
 
 
-@query("policy_seed_rows", f"SELECT bank_code, entity_scope, min_cibil, max_dpd, min_salary, allow_nri, max_cc_write_off_amount, allow_itr_not_filed FROM ({POLICY_SQL})")
+_SEED = "min_cibil, max_dpd, min_salary, allow_nri, max_cc_write_off_amount, allow_itr_not_filed"
+
+
+@query(
+    "policy_seed_rows",
+    f"""{FACTS_SQL} SELECT p.bank_code, p.entity_scope, {", ".join("any_value(p." + n + ") AS " + n for n in _SEED.split(", "))}, count(f.app_id) AS applicants,
+    count(f.app_id) FILTER (WHERE f.selected_bank = p.bank_code) AS selected
+FROM policies p LEFT JOIN facts f ON f.entity_scope = p.entity_scope GROUP BY p.bank_code, p.entity_scope""",
+)
 def policy_seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.policy_table(spark).select("bank_code", "entity_scope", "min_cibil", "max_dpd", "min_salary", "allow_nri", "max_cc_write_off_amount", "allow_itr_not_filed")
+    """Each lender's row for each scope, with the applicants that it holds for and those that selected the lender."""
+    held = facts(spark, sf_dir).groupBy("entity_scope", "selected_bank").agg(F.count("*").alias("n"))
+    rows = p.policy_table(spark).select("bank_code", "entity_scope", *_SEED.split(", "))
+    own = F.coalesce(F.sum(F.when(F.col("selected_bank") == F.col("bank_code"), F.col("n"))), F.lit(0))
+    joined = rows.join(held, "entity_scope", "left").groupBy(*rows.columns)
+    return joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("applicants"), own.alias("selected"))
 
 
 @query("rule_to_step", f"""{outcomes_sql(True)} SELECT rule_id, CASE WHEN rule_id LIKE 'DEM-%' OR rule_id LIKE 'ENT-50%' THEN 1 WHEN rule_id LIKE 'RES-%' OR rule_id LIKE 'REL-502%' THEN 2
@@ -194,23 +207,90 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("app_id", "bank_code", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("status"), "rule_id", "user_value", "limit_value")
 
 
-@query("report_rows_all")
+def _num(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+def _word(x: str) -> str:
+    return f"CASE {x} WHEN true THEN 'True' WHEN false THEN 'False' END"
+
+
+def _money(x: str, places: int) -> str:
+    return f"'Rs ' || format('{{:,.{places}f}}', CAST({x} AS DOUBLE))"
+
+
+def _two(x: str) -> str:
+    return f"format('{{:,.2f}}', CAST({x} AS DOUBLE))"
+
+
+#: rule number -> what a report calls it, what it looked at, its limit, as in the list of rules above.
+_DETAILS_SQL = [
+    ("'Minimum Age'", _num("age"), f"'>= ' || {_num('min_age')}"),
+    ("'NRI/PIO Accepted'", "'NRI/PIO'", _word("allow_nri")),
+    ("'NRI Minimum Stay'", f"{_two('stay')} || ' yrs'", f"'>= ' || {_num('min_nri_stay_years')} || ' yrs'"),
+    ("'Currently Outstanding'", _word("currently_overdue"), "'False'"),
+    ("'CIBIL Score'", _num("cibil"), f"'>= ' || {_num('min_cibil')}"),
+    ("'Loan Enquiries'", "CASE WHEN enquiry THEN 'Yes' ELSE 'No' END", "CASE WHEN allow_loan_enquiry THEN 'Any' ELSE 'No' END"),
+    ("'DPD History'", _num("dpd"), "'<= 0'"),
+    ("'DPD History'", _num("dpd"), f"'<= ' || {_num('max_dpd')}"),
+    ("'Unclassified Write-off'", _money("amount", 2), "'classified type required'"),
+    ("kind || ' Write-off'", "kind", _word("kind_ok")),
+    ("'Credit Card Write-off Amount'", _money("amount", 2), f"'< ' || {_money('max_cc_write_off_amount', 2)}"),
+    ("'HUF Accepted'", "'HUF'", _word("allow_huf")),
+    ("'Agriculture Sector'", "'Agriculture'", _word("allow_agriculture")),
+    ("'Rental Income Configuration'", "rental", _word("rental_ok")),
+    ("'Minimum Salary'", _money("salary", 2), f"'>= ' || {_money('min_salary', 0)}"),
+    ("'Salary Payment Mode'", "mode", "'Bank Credit'"),
+    ("'Total Work Experience'", _two("experience"), f"'>= ' || {_num('min_total_experience_years')} || ' yrs'"),
+    ("'Current Company Tenure'", f"{_two('here')} || ' yrs'", f"'>= ' || {_num('min_current_company_tenure_years')} || ' yrs'"),
+    ("'No Income Proof Segment'", "'No Income Proof'", _word("allow_no_income_proof")),
+    ("'Form-16 History'", f"{_num('form16')} || ' yrs'", f"'>= ' || {_num('form16_years_required')} || ' yrs'"),
+    ("'Age at Last EMI (Salaried)'", _num("last_age"), f"'<= ' || {_num('max_age_emi_salaried')}"),
+    ("'Business ITR Years'", f"{_num('itr_years')} || ' yrs'", f"'>= ' || {_num('min_business_itr_years')} || ' yrs'"),
+    ("'ITR Filed'", "'Not Filed'", _word("allow_itr_not_filed")),
+    ("'Combined ITR'", _money("itr1 + itr0", 0), "'>= Rs 600,000'"),
+    ("'Current-Year ITR'", _money("itr1", 0), f"'>= ' || {_money('se_min_current_itr', 0)}"),
+    ("'Previous-Year ITR'", _money("itr0", 0), f"'>= ' || {_money('se_min_prev_itr', 0)}"),
+    ("'Business Proof'", _word("business"), "'Mandatory'"),
+    ("'Age at Last EMI (Self-Employed)'", _num("last_age"), f"'<= ' || {_num('max_age_emi_self_employed')}"),
+    ("'Rented Premises With Guarantor'", "'With a Guarantor'", _word("allow_with_guarantor")),
+    ("'Rented Premises Without Guarantor'", "'Without a Guarantor'", _word("allow_without_guarantor")),
+    ("'Separate Premises Both Rented'", "'Residence + separate office both rented'", _word("allow_separate_both_rented")),
+    ("'Sibling Co-Applicant'", "'Brother/Sister'", _word("allow_sibling_coapplicant")),
+    ("'Existing Account Holder'", "coalesce(existing_account_bank, 'None')", "'not ' || bank_code"),
+    ("'Existing Car Loan'", "car", "'not ' || bank_code"),
+    ("'Tenant CIBIL Floor'", _num("cibil"), "'>= 720'"),
+]
+
+
+def _details(place: int) -> str:
+    return "CASE rule_no " + " ".join(f"WHEN {i} THEN {d[place]}" for i, d in enumerate(_DETAILS_SQL)) + " END"
+
+
+@query(
+    "report_rows_all",
+    f"""{outcomes_sql(True)} SELECT app_id, bank_code, rule_no, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, rule_id,
+       {_details(0)} AS parameter_name, {_details(1)} AS user_value, {_details(2)} AS limit_value
+FROM outcomes JOIN flagged USING (app_id, bank_code) WHERE bank_code = outcomes.selected_bank""",
+)
 def report_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows of the selected lender for every rule that applied, with what it is called, what it looked at and its limit."""
     found = p.outcomes(offers(spark, sf_dir).filter("bank_code = selected_bank"), report=True)
     return found.select("app_id", "bank_code", "rule_no", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("status"), "rule_id", "parameter_name", "user_value", "limit_value")
 
 
-@query("policy_column_coverage", "SELECT " + str(len(p.USUAL)) + " AS thresholds, 17 AS company_thresholds, 0 AS unread")
+@query(
+    "policy_column_coverage",
+    f"""{outcomes_sql(True)}, ids AS (SELECT DISTINCT unnest({[r for r, *_ in [*_RULES_SQL, OVERLAY_RULE_SQL]]}) AS rule_id), seen AS (SELECT DISTINCT bank_code, rule_id FROM outcomes)
+SELECT bank_code, (SELECT count(*) FROM seen s WHERE s.bank_code = b.bank_code)::INT AS seen,
+       coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM ids WHERE rule_id NOT IN (SELECT rule_id FROM seen s WHERE s.bank_code = b.bank_code)), '') AS unseen
+FROM (SELECT DISTINCT bank_code FROM seen) b""",
+)
 def policy_column_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds that no rule reads: set difference of the policy's columns and those in the rules' expressions."""
-    text = " ".join(str(x) for rule in p.rules() for x in rule[1:3])
-    rows = p.policy_table(spark)
-    named = [c for c in rows.columns if c in p.USUAL]
-    unread = F.size(F.array_except(F.array(*map(F.lit, named)), F.array(*(F.lit(c) for c in named if c in text))))
-    company = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in named), F.lit(0))
-    one = rows.filter("bank_code = 'BOI' and entity_scope = 'COMPANY'")
-    return one.select(F.lit(len(named)).alias("thresholds"), company.alias("company_thresholds"), unread.alias("unread"))
+    """Of each lender the rules that applied to some applicant, and those that never did: a difference of sets."""
+    every = F.array(*(F.lit(r) for r in sorted({r for r, *_ in [*p.rules(), *p.overlay_rules()]})))
+    seen = p.outcomes(offers(spark, sf_dir)).groupBy("bank_code").agg(F.collect_set("rule_id").alias("found"))
+    return seen.select("bank_code", F.size("found").alias("seen"), F.array_join(F.array_sort(F.array_except(every, "found")), ",").alias("unseen"))
 
 
 @query("dpd_history_coerce", f"WITH cells AS ({CELLS_SQL}) {DPD_SQL}")

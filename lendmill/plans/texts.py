@@ -171,7 +171,7 @@ def _verhoeff_sql() -> str:
     check = "0"
     for i in range(12):
         check = f"list_extract(d, {check} * 10 + list_extract(p, {i % 8 * 10 + 1} + CAST(aadhaar[{12 - i}] AS INT)) + 1)"
-    return f"SELECT k, CASE WHEN regexp_matches(aadhaar, '^[2-9][0-9]{{11}}$') THEN {check} = 0 ELSE false END AS valid FROM (SELECT k, aadhaar, {pii.dihedral()} AS d, {pii.powers()} AS p FROM people)"
+    return f"SELECT k, CASE WHEN regexp_matches(aadhaar, '^[2-9][0-9]{{11}}$') THEN {check} = 0 ELSE false END AS valid FROM (SELECT k, aadhaar, {list(pii.GROUP)} AS d, {list(pii.PLACES)} AS p FROM people)"
 
 
 @query("pii_verhoeff_flag", f"WITH {PEOPLE_SQL} {_verhoeff_sql()}")

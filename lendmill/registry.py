@@ -25,9 +25,11 @@ def fold_sql(rows: str, order: str, joins: str, first: str, carry: dict[str, str
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with its SQL where SQL can express it."""
+    """Register a query under a name of its own, with its SQL where SQL can express it."""
 
     def add(function: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = function
         if sql is not None:
             SQL[name] = sql
