@@ -51,7 +51,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 #: White space whose cutting would overflow the stack of the ranks file's cutter (it fails from about 500,000 on).
-WIDE = re.compile(r"\s{50000}")
+WIDE, SPACES = 50_000, re.compile(r"\s+")
 
 
 class Encoder:
@@ -65,7 +65,8 @@ class Encoder:
         self.special, self.n_vocab = {s for s, _ in special}, self.fast.n_vocab
 
     def ids(self, text: str) -> np.ndarray:
-        if len(text) < 50_000 or WIDE.search(text) is None:
+        # One pass over the runs of white space: trying for a long one at every place would be quadratic.
+        if len(text) < WIDE or all(m.end() - m.start() < WIDE for m in SPACES.finditer(text)):
             return self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
         if self.library is None:
             self.library = tokenizers.Tokenizer.from_file(self.file)

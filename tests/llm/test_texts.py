@@ -305,3 +305,20 @@ def test_files_that_lie_cost_what_they_hold(spark):
     assert thumb.shape == (2048, 2048) and len(np.unique(thumb[1:])) == 1 and time.process_time() - began < 20
     got = media.thumbnails(spark.createDataFrame(rows, "id int, media binary").coalesce(1)).orderBy("id").collect()
     assert [r.width for r in got[:6]] == [16, 16384, None, None, None, None]
+
+
+def test_long_runs_of_white_space_take_one_pass():
+    """Runs just below the length at which the other library takes over: 10 MB within ten seconds, and the library's ids."""
+    import time
+
+    import tokenizers
+
+    from lendmill.llm.packing import Encoder
+    from lendmill.llm.registry import byte_vocabulary
+
+    own = Encoder(**byte_vocabulary())
+    library = tokenizers.Tokenizer.from_file(byte_vocabulary()["file"])
+    for part, many in (("a" + " " * 49_999, 200), ("a" + "\n" * 25_000, 400), ("x" + " \n" * 12_500, 400)):
+        began = time.perf_counter()
+        assert len(own.ids(part * many)) and time.perf_counter() - began < 10
+        assert own.ids(part * 2).tolist() == library.encode(part * 2, add_special_tokens=False).ids
