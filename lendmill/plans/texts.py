@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lendmill.functions import coerce, money, pii
 from lendmill.operators import bureau
 from lendmill.operators.duplicates import file_identity, first_wins
 from lendmill.registry import query
-from lendmill.sources.tables import select_sql, table, texts
+from lendmill.sources.tables import select_sql, shared_folder, table, texts
+from lendmill.streaming.duplicates import DuplicateIndex
 
 _P = "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING)"
 _VARIANTS = ("{p}", "{p}.5", "{p}.755", "({p})", "-{p}", "{p} DR", "Rs. {p}", "Rs {p}", "1,{p}.00 CR", "1.{p}.3", "Tax on {p}", "", "99999999999999999{p}", "+{p}/", "Cess @ 4.00% {p}", "year 2024 no {p}, ok", "₹ 12,{p}", "(.)")
@@ -227,6 +230,25 @@ def dedupe_fingerprint_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame
     return first_wins(texts(spark, sf_dir, "documents"))
 
 
+@query(
+    "dedupe_index_batches",
+    """WITH h AS (SELECT doc_id, doc_id % 3 AS batch, sha256(coalesce(text, '')) AS sha, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', '', 'g')) >= 200
+THEN sha256(upper(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'ß', 'SS'))) END AS content FROM documents),
+f AS (SELECT *, first_value(doc_id) OVER w AS original_id, first_value(sha) OVER w AS first_sha FROM h WINDOW w AS (PARTITION BY coalesce('c:' || content, 's:' || sha) ORDER BY batch, doc_id))
+SELECT doc_id, original_id, CASE WHEN doc_id = original_id THEN 'New' WHEN sha = first_sha THEN 'Exact' ELSE 'Content' END AS kind FROM f""",
+)
+def dedupe_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in three batches by a duplicate index that each batch reads and extends; compacted before the last."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    index = DuplicateIndex(spark, f"{shared_folder(spark)}/duplicates-{uuid.uuid4().hex}")
+    parts = []
+    for number in range(3):
+        if number == 2:
+            index.compact()
+        parts.append(index.add(docs.filter(F.col("doc_id") % 3 == number), number))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _FILES = "SELECT DISTINCT p_partkey // 3 AS file_id FROM part"
 
 

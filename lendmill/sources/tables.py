@@ -18,6 +18,20 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, else one beside its warehouse.
+
+    A warehouse in a local folder is shared only where all run on one machine; elsewhere the setting has to be there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if beside.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set, and the warehouse is a folder of one machine")
+    return f"{beside}/lendmill-checkpoints"
+
+
 #: name -> expression over ``customer``; nulls stand for absent fields.
 APPLICANT = {
     "app_id": "c_custkey",

