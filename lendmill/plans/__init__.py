@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("policy", "bureau", "texts", "documents", "forms", "streams", "extract", "sinks", "runs", "fields", "labels", "reports")
+MODULES: tuple[str, ...] = ("policy", "bureau", "texts", "documents", "forms", "streams", "extract", "sinks", "runs", "fields", "labels", "reports", "marked")
 
 
 def load() -> None:
