@@ -6,9 +6,9 @@
    document.
 2. Segments are repartitioned by (lang, term, source), sorted by (lang, term, source, document) within the partition, and
    a scan of run lengths gives each run's document frequency and occurrences. Python holds one batch and one open run.
-3. Terms in at least ``least`` documents of a language are kept, with their sources' occurrences. They are sorted by
-   (lang, term) once more, and every run of up to ``CELLS`` cells of a language yields partial sums of the differences
-   of each pair of sources, and its first ``ranks`` terms of each source. Sums and ranks over the partials are Spark's.
+3. Terms in at least ``least`` documents of a language are kept, with their sources' occurrences. A task gathers them by
+   language, up to ``CELLS`` cells (terms x sources) in all; every such run yields partial sums of the differences of
+   each pair of sources, and its first ``ranks`` terms of each source. Sums and ranks over the partials are Spark's.
 
 Shares are parts of a thousand million, with ``ADDED`` occurrences added to every term: ``1 + floor(1e9 * (count + 5) /
 (N + 5 V))``, exact for totals below 9e15 (long division by three digits at a time; no product leaves 64 bits).
@@ -125,7 +125,7 @@ def term_runs(docs: DataFrame) -> DataFrame:
 
 
 def partials(kept: DataFrame, groups: dict[str, dict[str, int]], ranks: int) -> DataFrame:
-    """Partial pairs and terms of kept (lang, term, sources), sorted by (lang, term) within partitions.
+    """Partial pairs and terms of kept (lang, term, sources).
 
     ``groups``: of each language its sources and their occurrences of kept terms.
     """
@@ -135,6 +135,8 @@ def partials(kept: DataFrame, groups: dict[str, dict[str, int]], ranks: int) ->
 
     def of_run(lang: str, terms: list[str], counts: list[dict[str, int]]) -> Iterator[pa.RecordBatch]:
         own, added = names[lang], ADDED * vocabulary[lang]
+        order = sorted(range(len(terms)), key=lambda i: terms[i].encode())
+        terms, counts = [terms[i] for i in order], [counts[i] for i in order]
         table = np.array([[c.get(s, 0) for s in own] for c in counts], np.int64)
         p = shares(table, np.array([groups[lang][s] for s in own], np.int64) + added)
         q = shares(table.sum(1), np.int64(sizes[lang] + added))
@@ -153,17 +155,21 @@ def partials(kept: DataFrame, groups: dict[str, dict[str, int]], ranks: int) ->
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "part", "item", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, terms, counts = None, [], []
+        held: dict[str, tuple[list[str], list[dict[str, int]]]] = {}
+        cells = 0
         for batch in batches:
             for row in batch.to_pylist():
-                if terms and (row["lang"] != lang or len(terms) * len(names[lang]) >= CELLS):
-                    yield from of_run(lang, terms, counts)
-                    terms, counts = [], []
-                lang = row["lang"]
+                terms, counts = held.setdefault(row["lang"], ([], []))
                 terms.append(row["term"])
                 counts.append({s["source"]: s["count"] for s in row["sources"]})
-        if terms:
-            yield from of_run(lang, terms, counts)
+                cells += len(names[row["lang"]])
+                if cells >= CELLS:
+                    # The language with the most cells gives way.
+                    most = max(held, key=lambda x: len(held[x][0]) * len(names[x]))
+                    cells -= len(held[most][0]) * len(names[most])
+                    yield from of_run(most, *held.pop(most))
+        for lang, run_ in held.items():
+            yield from of_run(lang, *run_)
 
     return kept.select("lang", "term", "sources").mapInArrow(run, REPORT)
 
@@ -173,7 +179,7 @@ def divergence_report(docs: DataFrame, least: int = LEAST, ranks: int = RANKS) -
     runs = checkpointed(term_runs(docs))
     source = F.collect_list(F.struct("source", "count")).alias("sources")
     kept = runs.filter("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), source).filter(F.col("docs") >= least)
-    kept = checkpointed(kept.repartition("lang", "term").sortWithinPartitions("lang", "term"))
+    kept = checkpointed(kept)
     found = runs.filter("term = ''").select("lang", "source")
     totals = kept.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.count").alias("n"))
     groups: dict[str, dict[str, int]] = {}
