@@ -43,3 +43,9 @@ def amount_or_zero(text: Column) -> Column:
     """An amount with commas; ``NIL``, ``NONE``, ``NOT AVAILABLE``, nothing and unreadable text are 0."""
     plain = F.upper(F.trim(F.regexp_replace(text, ",", "")))
     return F.when(plain.isin("NIL", "NONE", "NOT AVAILABLE", ""), F.lit(0.0)).otherwise(F.coalesce(number_of(plain), F.lit(0.0)))
+
+
+def code_point(code: Column) -> Column:
+    """The character of a code point; null for surrogates and beyond the last one."""
+    whole = (code >= 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(whole, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))

@@ -19,9 +19,10 @@ told apart by ``doc`` numbers of the rows; a ``uc`` control that is itself a fal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendmill.functions.coerce import code_point
 from lendmill.operators.chains import picked
 
 # Controls that end rows and cells, destinations that are no text, geometry of runs.
@@ -45,12 +46,6 @@ def tokens(texts: DataFrame) -> DataFrame:
     return rows.select("doc", "pos", "token", word.alias("word"), param.alias("param"), units.cast("long").alias("units"))
 
 
-def _code_point(code: Column) -> Column:
-    """The character of a code point; null for surrogates and beyond the last one."""
-    whole = (code >= 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(whole, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
-
-
 def placed(texts: DataFrame) -> DataFrame:
     """(doc, pos, piece, ends) of what is shown: a piece of text, or the end of a cell or row."""
     c = F.col
@@ -88,10 +83,10 @@ def placed(texts: DataFrame) -> DataFrame:
     byte = c("token").startswith("\\'") & (F.length("token") == 4)
     piece = (
         F.when(literal, F.substr("token", c("lost") + 1))
-        .when(byte & alive, _code_point(F.conv(F.substr("token", F.lit(3)), 16, 10).cast("int")))
+        .when(byte & alive, code_point(F.conv(F.substr("token", F.lit(3)), 16, 10).cast("int")))
         .when(byte, F.substr("token", c("lost") + 2))
         .when(c("token").isin("\\\\", "\\{", "\\}") & alive, F.substr("token", F.lit(2)))
-        .when((c("word") == "u") & alive, _code_point(F.when(c("param") < 0, c("param") + 65536).otherwise(c("param"))))
+        .when((c("word") == "u") & alive, code_point(F.when(c("param") < 0, c("param") + 65536).otherwise(c("param"))))
     )
     ends = F.when(alive & c("word").isin(*ROW_ENDS), "row").when(alive & c("word").isin(*CELL_ENDS), "cell")
     return open_.select("doc", "pos", piece.alias("piece"), ends.alias("ends")).filter("piece <> '' or ends is not null")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmill.operators import rtf
+from lendmill.operators import codemaps, rtf, structure
 from lendmill.registry import query
-from lendmill.sources.tables import texts
+from lendmill.sources.tables import table, texts
 
 #: Rich text of a document: sentences are cells and lines are rows, between groups of every kind; some are broken.
 #: ~Q~ is a quotation mark, which the two engines escape in their own ways.
@@ -76,3 +76,108 @@ def src_rtf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of rich text made from every document."""
     source = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.expr(_SOURCE.replace("\\", "\\\\").replace("~Q~", "\\'")).alias("text"))
     return rtf.text_runs(source)
+
+
+#: Nodes of a document's tree made from its lines: three cells a row, three rows a table, with heads, tables in cells, tags
+#: by other names and cycles that no root reaches.
+_NODES = """
+SELECT doc, 'Z' AS node, CAST(NULL AS STRING) AS parent, 0 AS ordinal, 'StructTreeRoot' AS tag, CAST(NULL AS INT) AS page, CAST(NULL AS STRING) AS text FROM s WHERE i = 0
+UNION ALL SELECT doc, 'S', 'Z', 0, 'Sect', CAST(NULL AS INT), '' FROM s WHERE i = 0
+UNION ALL SELECT doc, concat('T', CAST(t AS STRING)), CASE WHEN t % 4 = 3 THEN concat('C', CAST(i - 1 AS STRING)) ELSE 'S' END, i,
+                 CASE WHEN doc % 5 = 0 THEN 'Tabelle' ELSE 'Table' END, CASE WHEN t % 3 = 0 THEN 100 + t END, '' FROM s WHERE i % 9 = 0
+UNION ALL SELECT doc, concat('H', CAST(t AS STRING)), concat('T', CAST(t AS STRING)), 0, 'THead', CAST(NULL AS INT), 'head text' FROM s WHERE i % 9 = 0
+UNION ALL SELECT doc, concat('R', CAST(r AS STRING)), CASE WHEN i % 9 = 0 THEN concat('H', CAST(t AS STRING)) ELSE concat('T', CAST(t AS STRING)) END, i, 'TR', CAST(NULL AS INT), CAST(NULL AS STRING)
+          FROM s WHERE i % 3 = 0
+UNION ALL SELECT doc, concat('C', CAST(i AS STRING)), concat('R', CAST(r AS STRING)), 2 - i % 3, CASE WHEN i % 9 < 2 THEN 'TH' ELSE 'TD' END, CAST(NULL AS INT),
+                 CASE WHEN i % 7 = 0 THEN '  own ' END FROM s
+UNION ALL SELECT doc, concat('M', CAST(i AS STRING)), concat('C', CAST(i AS STRING)), 1, 'MC', CAST(1 + i % 4 AS INT), line FROM s WHERE i % 11 <> 5
+UNION ALL SELECT doc, 'X', 'Y', 0, 'Table', 1, 'x' FROM s WHERE i = 0 AND doc % 6 = 0
+UNION ALL SELECT doc, 'Y', 'X', 0, 'TR', 1, 'y' FROM s WHERE i = 0 AND doc % 6 = 0
+UNION ALL SELECT doc, concat('E', CAST(t AS STRING)), concat('T', CAST(t AS STRING)), 90000 + i, 'TR', CAST(NULL AS INT), 'no cells' FROM s WHERE i % 9 = 0 AND doc % 4 = 0
+"""
+_LINES = "CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) // 9 AS t, CAST(i AS BIGINT) // 3 AS r"
+TREE_SQL = f"""
+WITH RECURSIVE s AS (SELECT doc_id AS doc, line, {_LINES} FROM (
+    SELECT doc_id, unnest(g) AS line, generate_subscripts(g, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS g FROM documents))),
+n AS (SELECT doc, node, parent, {{'o': CAST(ordinal AS BIGINT), 'n': node}} AS place, CASE WHEN tag = 'Tabelle' THEN 'Table' ELSE tag END AS tag, page, trim(text, ' ') AS text FROM ({_NODES})),
+w AS (
+    SELECT doc, node, [place] AS path, tag, page, text, [0][:0] AS tables, [0][:0] AS rows, [0][:0] AS cells FROM n WHERE parent IS NULL
+    UNION ALL
+    SELECT n.doc, n.node, list_append(w.path, n.place), n.tag, n.page, n.text, CASE WHEN w.tag = 'Table' THEN list_append(w.tables, len(w.path)) ELSE w.tables END,
+           CASE WHEN w.tag IN ('TD', 'TH') THEN [0][:0] WHEN w.tag = 'TR' THEN list_append(w.rows, len(w.path)) ELSE w.rows END,
+           CASE WHEN w.tag IN ('TD', 'TH') THEN list_append(w.cells, len(w.path)) ELSE w.cells END
+    FROM w JOIN n ON n.doc = w.doc AND n.parent = w.node WHERE len(w.path) <= 64
+),
+x AS (SELECT doc, cell, string_agg(text, ' ' ORDER BY path) AS text FROM (
+    SELECT doc, path, text, path[:unnest(CASE WHEN tag IN ('TD', 'TH') THEN list_append(cells, len(path)) ELSE cells END)] AS cell FROM w WHERE text <> '') GROUP BY doc, cell),
+g AS (SELECT doc, tbl, arg_min(page, path) AS page FROM (
+    SELECT doc, path, page, path[:unnest(CASE WHEN tag = 'Table' THEN list_append(tables, len(path)) ELSE tables END)] AS tbl FROM w WHERE page IS NOT NULL) GROUP BY doc, tbl),
+e AS (SELECT doc, path AS tbl, row_number() OVER (PARTITION BY doc ORDER BY path) AS table_no FROM w WHERE tag = 'Table'),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc, row_ ORDER BY cell) AS cell_no FROM (SELECT doc, path AS cell, path[:unnest(rows)] AS row_ FROM w WHERE tag IN ('TD', 'TH'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, tbl ORDER BY row_) AS row_no FROM (SELECT doc, path AS row_, path[:unnest(tables)] AS tbl FROM w WHERE tag = 'TR')
+      WHERE (doc, row_) IN (SELECT (doc, row_) FROM c))
+SELECT r.doc, table_no, page, row_no, cell_no, coalesce(x.text, '') AS text
+FROM r JOIN e ON e.doc = r.doc AND e.tbl = r.tbl LEFT JOIN g ON g.doc = r.doc AND g.tbl = r.tbl JOIN c ON c.doc = r.doc AND c.row_ = r.row_ LEFT JOIN x ON x.doc = c.doc AND x.cell = c.cell
+"""
+
+
+@query("src_tagged_tables", TREE_SQL)
+def src_tagged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the tables of structure trees made from every document's lines."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(lines).alias("i", "line"))
+    rows = rows.selectExpr("doc", "line", *(x.replace(" // ", " div ") for x in _LINES.split(", ")))
+    nodes = spark.sql(_NODES.replace("FROM s", "FROM {s}"), s=rows)
+    roles = nodes.select("doc").distinct().select("doc", F.lit("Tabelle").alias("tag"), F.lit(structure.TABLE).alias("role"))
+    return structure.tables(structure.walked(nodes, roles))
+
+
+#: A map for each nation: single codes and ranges that overlap, lists longer than their range, bad numbers; some have none.
+_MAP = (
+    "CASE WHEN n_nationkey % 6 = 5 THEN 'no entries' ELSE concat('1 beginbfchar <41> <0391> <0062><00620062> <2F> <D83D> <', "
+    "lpad(hex(n_nationkey + 97), 4, '0'), '> <0040', lpad(hex(n_nationkey + 97), 4, '0'), '> <zz> <0041> endbfchar', chr(10), "
+    "'2 beginbfrange <30> <39> <0660> <6874> <6874> [<0048> <00540054>] <6F> <72> <FFFE> <70><71> <0050> <7A> <61> <0041> ', "
+    "CASE WHEN n_nationkey % 3 = 0 THEN '<61> <7A> <0041>' ELSE '<2E63> <2E63> <0127> <x> <y> <0041> <61> <7A> <0061>' END, ' endbfrange beginbfrange <3A2F> <3A2F> <2014> <D0> <D1> <D7FF> endbfrange') END"
+)
+_FONT = "page_id % 26"
+MAP_SQL = f"""
+WITH RECURSIVE maps AS (SELECT n_nationkey AS font, {_MAP} AS map FROM nation),
+b AS (SELECT font, 0 AS kind, unnest(regexp_extract_all(map, '(?s)beginbfchar(.*?)endbfchar', 1)) AS body FROM maps
+      UNION ALL SELECT font, 1, unnest(regexp_extract_all(map, '(?s)beginbfrange(.*?)endbfrange', 1)) FROM maps),
+k AS (SELECT font, kind, row_number() OVER (PARTITION BY font, kind) AS block, regexp_extract_all(body, '\\[(?:<[^>]*>|[^\\]<])*\\]|<[^>]*>') AS t FROM b),
+p AS (SELECT font, kind, block, unnest(range(0, len(t) // (2 + kind))) AS nr, t FROM k),
+q AS (SELECT font, kind, block, nr, t[nr * (2 + kind) + 1] AS a, t[nr * (2 + kind) + 2] AS z, t[nr * (2 + kind) + 3] AS d FROM p),
+h AS (SELECT *, TRY_CAST('0x' || a[2:length(a) - 1] AS BIGINT) AS low, TRY_CAST('0x' || z[2:length(z) - 1] AS BIGINT) AS high FROM q),
+stop AS (SELECT font, block, min(nr) AS stop FROM h WHERE kind = 1 AND (low IS NULL OR high IS NULL) GROUP BY font, block),
+g AS (SELECT h.* FROM h LEFT JOIN stop ON stop.font = h.font AND stop.block = h.block AND h.kind = 1 WHERE stop.stop IS NULL OR h.nr < stop.stop),
+e AS (
+    SELECT font, low AS code, z AS d, NULL::BIGINT AS point, (0, block, nr, 0) AS turn FROM g WHERE kind = 0
+    UNION ALL SELECT font, code, NULL, base + code - low, (1, block, nr, 0) FROM (SELECT *, unnest(range(low, high + 1)) AS code, TRY_CAST('0x' || d[2:length(d) - 1] AS BIGINT) AS base
+        FROM g WHERE kind = 1 AND d[1] = '<' AND high >= low)
+    UNION ALL SELECT font, low + i, item, NULL, (1, block, nr, i::INT) FROM (SELECT *, unnest(regexp_extract_all(d, '<[^>]*>')) AS item, generate_subscripts(regexp_extract_all(d, '<[^>]*>'), 1) - 1 AS i
+        FROM g WHERE kind = 1 AND d[1] = '[')
+),
+v AS (SELECT font, code, turn, CASE WHEN d IS NULL THEN [point] ELSE list_transform(regexp_extract_all(d[2:length(d) - 1], '.{{1,4}}'), lambda u: TRY_CAST('0x' || u AS BIGINT)) END AS points FROM e WHERE code IS NOT NULL),
+m AS (SELECT font, code, arg_max(shown, turn) AS shown FROM (
+    SELECT font, code, turn, array_to_string(list_transform(list_filter(points, lambda x: x IS NOT NULL AND x NOT BETWEEN 55296 AND 57343), lambda x: chr(CAST(x AS INT))), '') AS shown FROM v)
+    WHERE shown <> '' GROUP BY font, code),
+s AS (SELECT page_id AS id, {_FONT} AS font, url, hex(encode(coalesce(url, ''))) AS h FROM pages),
+f AS (
+    SELECT id, font, h, 0 AS nr, ''::VARCHAR AS text FROM s WHERE font IN (SELECT font FROM m) AND h <> ''
+    UNION ALL
+    SELECT f.id, f.font, f.h, f.nr + CASE WHEN two.shown IS NOT NULL THEN 2 ELSE 1 END,
+           f.text || coalesce(two.shown, one.shown, chr(CAST('0x' || f.h[f.nr * 2 + 1:f.nr * 2 + 2] AS INT)))
+    FROM f LEFT JOIN m two ON two.font = f.font AND f.nr * 2 + 4 <= length(f.h) AND two.code = CAST('0x' || f.h[f.nr * 2 + 1:f.nr * 2 + 4] AS BIGINT)
+    LEFT JOIN m one ON one.font = f.font AND one.code = CAST('0x' || f.h[f.nr * 2 + 1:f.nr * 2 + 2] AS BIGINT) WHERE f.nr * 2 < length(f.h)
+)
+SELECT id AS page_id, text FROM f WHERE nr * 2 >= length(h)
+UNION ALL SELECT id, url FROM s WHERE h = '' OR font NOT IN (SELECT font FROM m)
+"""
+
+
+@query("src_code_maps", MAP_SQL)
+def src_code_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's address read as bytes of a font's codes, by maps made for each nation."""
+    maps = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS font", f"{_MAP} AS map")
+    shown = table(spark, sf_dir, "pages").selectExpr("page_id AS id", f"{_FONT} AS font", "cast(url AS binary) AS data")
+    return codemaps.decoded(shown, maps).select(F.col("id").alias("page_id"), "text")
