@@ -72,7 +72,12 @@ def mask_fields(columns: list[str]) -> list[Column]:
 def redact_text(text: Column, aadhaar: str = "************") -> Column:
     """Identifiers with their neighbours looked at: numbers inside longer numbers stay."""
     # Shapes of identifiers in free text and what masks them.
-    text = F.regexp_replace(text, r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)", aadhaar)
+    return redact_other(F.regexp_replace(text, r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)", aadhaar))
+
+
+def redact_other(text: Column) -> Column:
+    """Tax numbers, mail addresses and telephone numbers in a text."""
+    # Shapes of identifiers in free text and what masks them.
     text = F.regexp_replace(text, r"(?<![A-Z0-9])[A-Z]{5}(\d{4}[A-Z])(?![A-Z0-9])", "*****$1")
     text = F.regexp_replace(text, r"[\w.+-]+@([\w-]+\.[\w.]+)", "***@$1")
     return F.regexp_replace(text, r"(?<!\d)(?:\+91[- ]?)?[6-9]\d{6}(\d{3})(?!\d)", "*******$1")

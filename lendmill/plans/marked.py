@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmill.operators import codemaps, rtf, structure
+from lendmill.operators import codemaps, nested, rtf, structure
 from lendmill.registry import query
 from lendmill.sources.tables import table, texts
 
@@ -181,3 +181,53 @@ def src_code_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS font", f"{_MAP} AS map")
     shown = table(spark, sf_dir, "pages").selectExpr("page_id AS id", f"{_FONT} AS font", "cast(url AS binary) AS data")
     return codemaps.decoded(shown, maps).select(F.col("id").alias("page_id"), "text")
+
+
+# A record of depth 6 for each document: lists of maps, names that hold others, numbers under masked names.
+_PAN = "concat('ABCPK', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), 'F')"
+_BORN = "concat('19', lpad(CAST(doc_id % 90 + 10 AS STRING), 2, '0'), '-05-11')"
+_ID = "concat(lpad(CAST(doc_id % 7919 AS STRING), 4, '2'), '-4567-', lpad(CAST(doc_id % 9973 AS STRING), 4, '0'))"
+_TEXT = "coalesce(text, '')"
+
+
+def _record(esc: str, comp: str, pan: str, dob: str, no: str, listed: str, plain: str, name: str = "concat('id ', {no})") -> str:
+    """A record's JSON; ``esc`` writes a string, the others say what stands in each place."""
+    leaf = f"concat('{{\"pan_cards\":[', {esc}({listed}), ', 5,null,true,[', {esc}({listed}), ']],\"note\":', {esc}({plain}), ',\"UIDAadhaar\":', {esc}({no}), '}}')"
+    deep = f"concat('{{\"DOB\":', {esc}({dob}), ', \"n\" : -1.50e3,\"people\":[{{}},', {leaf}, ',[]]}}')"
+    return f"concat('{{\"companyName\":', {esc}({comp}), ',\"pan\": ', {esc}({pan}), ',\"dob\":1990,\"list\":[', {esc}({listed}), ',{{\"meta\":', {deep}, '}}],', {esc}({name}), ':\"\"}}')".replace("{{", "{").replace("}}", "}")
+
+
+_PLAIN_RECORD = {"comp": "concat('Comp ', " + _PAN + ")", "pan": _PAN, "dob": _BORN, "no": _ID, "listed": f"concat({_PAN}, ' born ', {_BORN}, ' ', {_ID}, ' ', {_TEXT})", "plain": f"concat({_PAN}, ' ', {_TEXT})", "name": f"concat('id ', {_ID})"}
+_SHORT = "concat(left({x}, 2), '******', right({x}, 2))"
+_SCRUB = """regexp_replace(regexp_replace(regexp_replace({x}, '(?i)\\b([A-Z]{{2}})[A-Z]{{3}}[0-9]{{3}}([0-9][A-Z])\\b', '\\1******\\2', 'g'), '\\b([0-9]{{4}}-[0-9]{{2}}-)([0-9]{{2}})\\b', '****-**-\\2', 'g'),
+'\\b[0-9]{{4}}[-\\s]?[0-9]{{4}}[-\\s]?([0-9]{{4}})\\b', '****-****-\\1', 'g')"""
+_MASKED_RECORD = _PLAIN_RECORD | {
+    "comp": _SHORT.format(x=_PLAIN_RECORD["comp"]), "pan": _SHORT.format(x=_PAN), "dob": f"concat('****-**-', right({_BORN}, 2))", "no": f"concat('****-****-', right({_ID}, 4))", "listed": _SCRUB.format(x=_PLAIN_RECORD["listed"]),
+}
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a JSON record; Spark writes a string's escapes as the first element of a list."""
+    made = _record("WRITE", **_PLAIN_RECORD)
+    while "WRITE(" in made:
+        at = made.index("WRITE(")
+        depth, end = 0, at + 5
+        for end in range(at + 5, len(made)):
+            depth += {"(": 1, ")": -1}.get(made[end], 0)
+            if not depth:
+                break
+        inner = made[at + 6 : end]
+        made = f"{made[:at]}substring(to_json(array({inner})), 2, length(to_json(array({inner}))) - 2){made[end + 1:]}"
+    return texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(made).alias("json"))
+
+
+@query("pii_mask_nested", f"SELECT doc_id, sha256({_record('to_json', **_MASKED_RECORD)}) AS masked_sha256 FROM documents")
+def pii_mask_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records of all documents masked by name at every depth."""
+    return nested.masked(_records(spark, sf_dir), nested.by_name).select(F.col("id").alias("doc_id"), F.sha2("json", 256).alias("masked_sha256"))
+
+
+@query("pii_redact_nested")
+def pii_redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records of all documents without identifiers, names too; lookbehind as in pii_redact_lookaround."""
+    return nested.masked(_records(spark, sf_dir), nested.everywhere).select(F.col("id").alias("doc_id"), F.col("json").alias("redacted"))
