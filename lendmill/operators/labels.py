@@ -102,20 +102,41 @@ def assessee(lines: DataFrame) -> DataFrame:
 
 
 def employee(lines: DataFrame) -> DataFrame:
-    """One row for each document: the fields of cells that begin with a label, on the label's own line.
+    """One row for each document: the fields of cells that begin with a label, on the label's own line or below it.
 
-    The value stands after a colon in the same cell, else it is the next cell that is not empty; on a line the longest
-    label comes first. Without a labelled PAN or UAN the first one in a line's text counts.
+    The value stands after a colon in the same cell, else it is the next cell that is not empty. Where a line has neither
+    for a label, and lines come with ``page`` and ``boxes`` (x, width of each cell), it is the first filled cell of the next
+    line that overlaps the first cell that is just this label, on the same page. On a line the longest label comes first.
+    Without a labelled PAN or UAN the first one in a line's text counts.
     """
-    cells = lines.select("doc_id", "line_no", line_text(F.col("segs")).alias("text"), "segs", F.posexplode("segs").alias("place", "cell"))
-    label = label_of(F.col("cell"), EMPLOYEE)
+    c = F.col
+    placed = "boxes" in lines.columns
+    rows = lines.withColumn("text", line_text(c("segs")))
+    if placed:
+        following = F.lead(F.struct("page", "segs", "boxes")).over(Window.partitionBy("doc_id").orderBy("line_no"))
+        plain = lambda cell: F.trim(F.regexp_replace(F.trim(F.upper(cell)), ":+$", ""))
+        rows = rows.withColumns({"following": following, "plain": F.transform("segs", plain)})
+    kept = ["page", "boxes", "following", "plain"] if placed else []
+    cells = rows.select("doc_id", "line_no", "text", "segs", *kept, F.posexplode("segs").alias("place", "cell"))
+    label = label_of(c("cell"), EMPLOYEE)
     tail = F.trim(F.regexp_extract("cell", "(?s)^[^:]*:(.*)$", 1))
-    later = F.filter(F.transform(F.slice("segs", F.col("place") + 2, F.size("segs")), lambda c: F.trim(F.regexp_replace(F.trim(c), "^:+", ""))), lambda c: c != "")
-    named = cells.withColumn("label", label).withColumn("value", F.when(F.col("label").isNotNull(), F.when(tail != "", tail).otherwise(F.get(later, F.lit(0)))))
-    named = named.withColumn("field", _field(F.col("label"), EMPLOYEE)).withColumn("at", F.struct("line_no", (-F.length("label")).alias("shorter"), "place"))
-    first = lambda name: F.min_by("value", F.when((F.col("field") == name) & F.col("value").isNotNull(), F.col("at")))
-    pan, uan = F.upper(_found(F.upper(F.col("text")), PAN)), _found(F.col("text"), UAN)
-    other = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("line_no")))
+    later = F.filter(F.transform(F.slice("segs", c("place") + 2, F.size("segs")), lambda x: F.trim(F.regexp_replace(F.trim(x), "^:+", ""))), lambda x: x != "")
+    beside = F.when(tail != "", tail).otherwise(F.get(later, F.lit(0)))
+    below = F.lit(None).cast("string")
+    if placed:
+        own = F.get("boxes", c("place"))
+        under = F.arrays_zip(c("following.segs").alias("seg"), c("following.boxes").alias("box"))
+        meets = lambda u: (own["x"] < u["box"]["x"] + u["box"]["width"]) & (u["box"]["x"] < own["x"] + own["width"]) & (F.trim(u["seg"]) != "")
+        first_alone = (F.array_position("plain", c("label")) == c("place") + 1) & (c("following.page") == c("page"))
+        below = F.when(first_alone, F.trim(F.get(F.filter(under, meets), F.lit(0))["seg"]))
+    named = cells.withColumn("label", label).withColumn("field", _field(c("label"), EMPLOYEE))
+    value = F.when(c("label").isNotNull(), F.coalesce(beside, below)).alias("value")
+    # A value below counts only where no cell of the line gives the label one beside it.
+    at = F.struct("line_no", (-F.length("label")).alias("shorter"), beside.isNull().alias("below"), "place").alias("at")
+    named = named.select("doc_id", "line_no", "text", "field", value, at)
+    first = lambda name: F.min_by("value", F.when((c("field") == name) & c("value").isNotNull(), c("at")))
+    pan, uan = F.upper(_found(F.upper(c("text")), PAN)), _found(c("text"), UAN)
+    other = lambda x: F.min_by(x, F.when(x.isNotNull(), c("line_no")))
     names = list(dict.fromkeys(EMPLOYEE.values()))
     found = named.groupBy("doc_id").agg(*(first(n).alias(n) for n in names), other(pan).alias("other_pan"), other(uan).alias("other_uan"))
     return found.withColumns({"pan": F.coalesce("pan", "other_pan"), "uan": F.coalesce("uan", "other_uan")}).drop("other_pan", "other_uan")

@@ -9,7 +9,7 @@ from lendmill.operators import labels
 from lendmill.registry import query
 from lendmill.sources import layout as s
 from lendmill.sources.layout import block_json
-from lendmill.sources.tables import select_sql, table
+from lendmill.sources.tables import select_sql, table, texts
 
 _N = "CAST(l_partkey % 9000 + 1000 AS STRING)"
 
@@ -69,6 +69,66 @@ def payslip_employee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.employee(_lines(spark, sf_dir, _EMPLOYEE))
 
 
+#: Lines of grid slips: (text, x, width) of each cell; n is the document's own number.
+_GRID = [
+    (("concat('Emp Name : E', n)", 0, 90), ("''", 0, 0), ("''", 0, 0)),
+    (("'Name'", 0, 100), ("''", 150, 50), ("' '", 300, 50)),
+    (("concat('F', n)", 20, 100), ("'Clerk'", 180, 60), ("'77'", 420, 50)),
+    (("'x'", 0, 20), ("'Designation:'", 150, 100), ("''", 400, 10)),
+    (("''", 0, 0), ("' '", 100, 5), ("'PF Account :'", 400, 80)),
+    (("'PAN'", 0, 50), ("' : '", 100, 10), ("''", 0, 0)),
+    (("'UAN no: 123456781234'", 0, 200), ("''", 0, 0), ("''", 0, 0)),
+    (("concat('G', n)", 300, 200), ("'Employee Code:'", 500, 100), ("''", 0, 0)),
+    (("concat('has ccccc', n, 'd inside')", 10, 500), ("''", 0, 0), ("''", 0, 0)),
+    (("'DOJ'", 0, 40), ("'DOJ'", 450, 60), ("''", 0, 0)),
+    (("''", 0, 0), ("'Esi No'", 240, 60), ("' '", 0, 0)),
+    (("'Department'", 0, 30), ("''", 0, 0), ("'Department'", 430, 30)),
+]
+_GRID_LINES = "doc_id, n, i, 1 + i // 5 AS page, (doc_id * 7 + i * 5 + (i // 4) * 3) % 12 AS kind"
+
+
+def _grid(place: int, part: int) -> str:
+    return f"CASE kind {' '.join(f'WHEN {k} THEN {cells[place][part]}' for k, cells in enumerate(_GRID))} END"
+
+
+_NAMES = list(dict.fromkeys(labels.EMPLOYEE.values()))
+_GRID_SQL = f"""
+WITH l AS (SELECT {_GRID_LINES} FROM (SELECT doc_id, CAST(doc_id % 9000 + 1000 AS VARCHAR) AS n, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))) + 6)) AS i FROM documents)),
+c AS ({" UNION ALL ".join(f"SELECT doc_id, i, page, {k} AS place, {_grid(k, 0)} AS cell, {_grid(k, 1)} AS x, {_grid(k, 2)} AS w FROM l" for k in range(3))}),
+p AS (SELECT *, trim(rtrim(trim(upper(cell)), ':')) AS plain FROM c),
+k(label, field) AS (VALUES {", ".join(f"('{w}', '{f}')" for w, f in labels.EMPLOYEE.items())}),
+h AS (SELECT p.*, label, field FROM p JOIN k ON starts_with(plain, label) QUALIFY row_number() OVER (PARTITION BY doc_id, i, place ORDER BY length(label) DESC) = 1),
+b AS (
+    SELECT h.doc_id, h.i, h.place, h.label, h.field, coalesce(nullif(trim(regexp_extract(any_value(h.cell), '(?s)^[^:]*:(.*)$', 1)), ''),
+           arg_min(trim(ltrim(trim(q.cell), ':')), q.place) FILTER (WHERE trim(ltrim(trim(q.cell), ':')) <> '')) AS value, 0 AS below
+    FROM h LEFT JOIN p q ON q.doc_id = h.doc_id AND q.i = h.i AND q.place > h.place GROUP BY h.doc_id, h.i, h.place, h.label, h.field
+    UNION ALL
+    SELECT h.doc_id, h.i, h.place, h.label, h.field, arg_min(trim(q.cell), q.place), 1
+    FROM (SELECT * FROM h WHERE plain = label QUALIFY row_number() OVER (PARTITION BY doc_id, i, label ORDER BY place) = 1) h
+    JOIN p q ON q.doc_id = h.doc_id AND q.i = h.i + 1 AND q.page = h.page AND h.x < q.x + q.w AND q.x < h.x + h.w AND trim(q.cell) <> ''
+    GROUP BY h.doc_id, h.i, h.place, h.label, h.field
+),
+f AS (SELECT doc_id, {", ".join(f"arg_min(value, (i, -length(label), below, place)) FILTER (WHERE field = '{f}') AS {f}" for f in _NAMES)} FROM b WHERE value IS NOT NULL GROUP BY doc_id),
+o AS (
+    SELECT doc_id, arg_min(nullif(regexp_extract(upper(t), '{labels.PAN}', 1), ''), i) FILTER (WHERE regexp_matches(upper(t), '{labels.PAN}')) AS other_pan,
+           arg_min(regexp_extract(t, '{labels.UAN}', 1), i) FILTER (WHERE regexp_matches(t, '{labels.UAN}')) AS other_uan
+    FROM (SELECT doc_id, i, string_agg(cell, ' ' ORDER BY place) AS t FROM c GROUP BY doc_id, i) GROUP BY doc_id
+)
+SELECT o.doc_id, {", ".join(f"coalesce({f}, other_{f}) AS {f}" if f in ("pan", "uan") else f for f in _NAMES)} FROM o LEFT JOIN f USING (doc_id)
+"""
+
+
+@query("payslip_employee_grid", _GRID_SQL)
+def payslip_employee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The employee block of grid slips, one for each document: values beside, below and in both."""
+    count = F.size(F.split(F.coalesce("text", F.lit("")), "\n")) + 6
+    docs = texts(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    rows = docs.selectExpr(*(x.strip() for x in _GRID_LINES.replace("i // 5", "i div 5").replace("i // 4", "i div 4").split(", ")))
+    cells = F.array(*(F.expr(_grid(k, 0)) for k in range(3)))
+    boxes = F.array(*(F.struct(F.expr(_grid(k, 1)).cast("double").alias("x"), F.expr(_grid(k, 2)).cast("double").alias("width")) for k in range(3)))
+    return labels.employee(rows.select("doc_id", F.col("i").alias("line_no"), "page", cells.alias("segs"), boxes.alias("boxes")))
+
+
 _LETTERHEAD = [("'Acme Works'",), ("'North Road'", "'East'"), ("'ab'",), ("'Plot 12'",), ("'Rs 1,200.50'",), ("'Salary Slip'",), ("'Payslip for May'",), ("'Unit of Acme'",)]
 _TEXTS = "CASE kind WHEN 0 THEN 'Acme Works' WHEN 1 THEN 'North Road East' WHEN 5 THEN 'Salary Slip' WHEN 7 THEN 'Unit of Acme' END"
 
