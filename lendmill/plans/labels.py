@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmill.operators import labels
+from lendmill.operators import labels, relational
 from lendmill.registry import query
 from lendmill.sources import layout as s
 from lendmill.sources.layout import block_json
@@ -260,3 +260,85 @@ def src_block_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("l_partkey") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(block))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr(s.SEQ).alias("seq"), text.alias("json"))
     return rows.select("doc_id", "seq", block_json(F.col("json")).alias("b")).filter("b.text is not null").select("doc_id", "seq", "b.*")
+
+
+#: Lines of a sheet: text cells and, for the SQL, what the line is: head that it opens, whether it closes a block, slot under
+#: each head, figure, amount of the line, amount as a deduction, section. n is the document's own number.
+_RELATED = [
+    (("'Income from Salaries'", "n"), {"opens": "salary", "figure": "salary", "amount": "n * 100"}),
+    (("'Basic  pay'", "n"), {"salary": "basic", "amount": "n * 100"}),
+    (("'House Rent Allowance'",), {"salary": "hra"}),
+    (("'Less: Standard Deduction u/s 16(ia)'", "'(500)'"), {"salary": "standard_deduction_16ia", "house_property": "standard_deduction_24a", "amount": "-50000"}),
+    (("'Income from House Property'",), {"opens": "house_property"}),
+    (("'Interest on housing loan u/s 24(b)'", "n"), {"house_property": "interest_24b", "amount": "n * 100", "section": "24(B)"}),
+    (("'Annual value, self occupied'", "n"), {"house_property": "annual_value", "amount": "n * 100", "held": "self_occupied"}),
+    (("'Capital Gains'", "'nil'"), {"opens": "capital_gains"}),
+    (("'Long term u/s 112A'", "'x'", "n"), {"capital_gains": "long_term_112a", "amount": "n * 100"}),
+    (("'Income from Other Sources'", "n"), {"opens": "other_sources", "figure": "other_sources", "amount": "n * 100"}),
+    (("'Saving Bank interest'", "n"), {"other_sources": "savings_bank_interest", "amount": "n * 100"}),
+    (("'Some row'", "n"), {"amount": "n * 100"}),
+    (("'plain words'", "''", "'more'"), {}),
+    (("'Gross Total Income'", "n"), {"closes": True, "figure": "gross_total_income", "amount": "n * 100", "block": False}),
+    (("'Details of assets'",), {"closes": True}),
+    (("'Deductions under Chapter VI-A'",), {"closes": True, "block": True}),
+    (("'80C LIC'", "n"), {"amount": "n * 100", "section": "80C"}),
+    (("'80D Mediclaim'", "n", "'5,500'"), {"amount": "550000", "section": "80D", "gross": "n * 100"}),
+    (("'80G donation'",), {"section": "80G"}),
+    (("'Total Deductions'", "concat('-', n)"), {"amount": "-n * 100", "block": True, "figure": "total_deductions"}),
+    (("'Total Income'", "n"), {"closes": True, "figure": "total_income", "amount": "n * 100", "block": False}),
+    (("'T.D.S.'", "n"), {"amount": "n * 100", "figure": "tds"}),
+    (("'Surcharge'", "n"), {"amount": "n * 100", "figure": "surcharge"}),
+    (("'Net Tax Payable'", "n"), {"closes": True, "amount": "n * 100", "figure": "net_tax"}),
+    (("'Refundable'", "concat('(', n, ')')"), {"amount": "-n * 100", "figure": "refundable"}),
+    (("'87A rebate'", "n"), {"amount": "n * 100", "figure": "rebate"}),
+    (("'Let out flat'",), {"held": "let_out"}),
+]
+_RELATED_LINES = f"doc_id, n, i, 1 + i // 5 AS page, (doc_id * 7 + i * 5 + (i // 4) * 3 + (i // 9) * (doc_id % 4)) % {len(_RELATED)} AS kind"
+
+
+def _related(name: str, text: bool = True) -> str:
+    hits = " ".join(f"WHEN {k} THEN " + (f"'{v[name]}'" if text else str(v[name])) for k, (_, v) in enumerate(_RELATED) if name in v)
+    return f"CASE kind {hits} END"
+
+
+def _relational_sql() -> str:
+    cells = [f"CASE kind {' '.join(f'WHEN {k} THEN {c[i]}' for k, (c, _) in enumerate(_RELATED) if i < len(c))} ELSE '' END" for i in range(3)]
+    figure = lambda f: f"CAST(arg_min({'abs(amount)' if f in ('total_deductions', 'refundable') else 'amount'}, i) FILTER (WHERE figure = '{f}') AS BIGINT)"
+    figures = ", ".join(f"{figure(f)} AS f_{f}" for f in dict.fromkeys(o[0] for o in relational._options()))
+    heads = []
+    for head, chapter in relational.CHAPTERS.items():
+        slots = ", ".join(f"{s}: (SELECT arg_min(amount, i) FROM c WHERE c.doc_id = f.doc_id AND c.head = '{head}' AND c.slot = '{s}')" for s in labels.SLOTS[head])
+        held = "occupancy: occupancy, " if head == "house_property" else ""
+        heads.append(f"{head}: {{head: '{head}', chapter: '{chapter}', reported: f_{head} IS NOT NULL OR list_{head} IS NOT NULL, total: f_{head}, detail: {{{held}{slots}}}, components: coalesce(list_{head}, [])}}")
+    lists = ", ".join(f"list({{label: label, amount: amount, slot: slot, page: page, raw_line: raw}} ORDER BY i) FILTER (WHERE head = '{h}') AS list_{h}" for h in relational.CHAPTERS)
+    matrix = ", ".join(f"{n}: f_{f}" for f, n in (relational.MATRIX | {i: i for i in labels.INTEREST}).items())
+    credits = ", ".join(f"{n}: f_{f}" for f, n in relational.CREDITS.items())
+    slot = "CASE open " + " ".join(f"WHEN '{h}' THEN {_related(h)}" for h in relational.CHAPTERS if any(h in v for _, v in _RELATED)) + " END"
+    return f"""
+WITH l AS (SELECT {_RELATED_LINES} FROM (SELECT doc_id, CAST(doc_id % 9000 + 1000 AS VARCHAR) AS n, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))) + 9)) AS i FROM documents)),
+k AS (SELECT doc_id, i, page, kind, {cells[0]} AS label, concat({cells[0]}, ' ', {cells[1]}, ' ', {cells[2]}) AS raw, {_related("amount", False).replace("n * 100", "CAST(n AS BIGINT) * 100")} AS amount, {_related("gross", False).replace("n * 100", "CAST(n AS BIGINT) * 100")} AS gross,
+             {_related("opens")} AS opens, {_related("opens")} IS NOT NULL OR coalesce({_related("closes", False)}, false) AS own, {_related("section")} AS section, {_related("figure")} AS figure, {_related("held")} AS held, {_related("block", False)} AS block FROM l),
+o AS (SELECT *, last_value(CASE WHEN own THEN coalesce(opens, '-') END IGNORE NULLS) OVER w AS open, last_value(CASE WHEN own THEN i END IGNORE NULLS) OVER w AS start, coalesce(last_value(block IGNORE NULLS) OVER w, false) AS inside
+      FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT doc_id, i, page, open AS head, label, amount, raw, {slot} AS slot FROM o WHERE NOT own AND open <> '-' AND i - start <= 40 AND (amount IS NOT NULL OR {slot} IS NOT NULL)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, open, raw ORDER BY i) = 1),
+h AS (SELECT doc_id, {lists} FROM c GROUP BY doc_id),
+d AS (SELECT doc_id, list({{section: section, label: label, gross_amount: gross, deductible_amount: amount, raw_line: raw}} ORDER BY i) AS entries, sum(coalesce(amount, 0)) AS total FROM o
+      WHERE section IS NOT NULL AND (amount IS NOT NULL OR inside) GROUP BY doc_id),
+f AS (SELECT doc_id, max(page) AS pages, arg_min(held, i) FILTER (WHERE held IS NOT NULL) AS occupancy, {figures} FROM o GROUP BY doc_id)
+SELECT f.doc_id, CAST(to_json({{metadata: {{schema_version: '{relational.VERSION}', page_count: pages}}, income_heads: {{{", ".join(heads)}}},
+    tax_computation: {{gross_total_income: f_gross_total_income, total_deductions: f_total_deductions, total_income: f_total_income, {matrix}, credits: {{{credits}, total: {" + ".join(f"coalesce(f_{f}, 0)" for f in relational.CREDITS)}}}, refundable: f_refundable}},
+    chapter_vi_a: {{entries: coalesce(entries, []), total_claimed: f_total_deductions, sum_of_entries: CAST(coalesce(d.total, 0) AS BIGINT)}}}}) AS VARCHAR) AS document
+FROM f LEFT JOIN h USING (doc_id) LEFT JOIN d USING (doc_id)
+"""
+
+
+@query("income_relational_document", _relational_sql())
+def income_relational_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole nested document of a sheet for each document."""
+    count = F.size(F.split(F.coalesce("text", F.lit("")), "\\n")) + 9
+    docs = texts(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    rows = docs.selectExpr(*(x.strip() for x in _RELATED_LINES.replace(" // ", " div ").split(", ")))
+    cells = F.array(*(F.expr(f"CASE kind {' '.join(f'WHEN {k} THEN {c[i]}' for k, (c, _) in enumerate(_RELATED) if i < len(c))} ELSE '' END") for i in range(3)))
+    lines = rows.select("doc_id", F.col("i").alias("line_no"), "page", cells.alias("segs"))
+    return relational.relational_documents(lines).select("doc_id", relational.as_json(F.col("document")).alias("document"))
