@@ -87,11 +87,11 @@ def parts(lines: DataFrame) -> DataFrame:
     deductible = F.when(F.size("found") == 0, behind).otherwise(F.element_at("found", -1))
     entry = _part("deduction", name=section, label=c("label"), paise=deductible, gross=F.when(F.size("found") > 1, F.get("found", F.lit(0))))
     house = occupancy(c("text"))
-    single = F.array_compact(F.array(F.when(is_item, entry), F.when(house.isNotNull(), _part("field", name=F.lit("occupancy"), label=house))))
-    rows = _placed(lines).select("doc_id", "line_no", "page", c("text").alias("raw"), F.explode_outer(F.concat(figures, components, single)).alias("p")).select("doc_id", "line_no", "page", "raw", "p.*")
+    single = F.array_compact(F.array(_part("line"), F.when(is_item, entry), F.when(house.isNotNull(), _part("field", name=F.lit("occupancy"), label=house))))
+    rows = _placed(lines).select("doc_id", "line_no", "page", c("text").alias("raw"), F.explode(F.concat(figures, components, single)).alias("p")).select("doc_id", "line_no", "page", "raw", "p.*")
     # Equal lines under a head count once.
     again = F.row_number().over(Window.partitionBy("doc_id", "tag", "name", "raw").orderBy("line_no", "no"))
-    return rows.withColumn("again", again).filter("tag is null or tag <> 'component' or again = 1").drop("again")
+    return rows.withColumn("again", again).filter("tag <> 'component' or again = 1").drop("again")
 
 
 def relational_documents(lines: DataFrame) -> DataFrame:
