@@ -25,22 +25,22 @@ TABLE, ROW, CELLS, DEEPEST = "Table", "TR", ("TD", "TH"), 64
 
 
 def walked(nodes: DataFrame, roles: DataFrame | None = None, deepest: int = DEEPEST) -> DataFrame:
-    """(doc, path, depth, tag, page, text, tables, rows, cells) of the nodes below the roots, which have no parent.
+    """(doc, node, path, depth, tag, page, tables, rows, cells) of the nodes below the roots, which have no parent.
 
-    ``nodes`` has (doc, node, parent, ordinal, tag, page, text), ``roles`` (doc, tag, role) names tags anew. The arrays
-    hold depths: of the tables above, of the rows above that no cell closes, of all cells above.
+    ``nodes`` has (doc, node, parent, ordinal, tag, page), ``roles`` (doc, tag, role) names tags anew. The arrays hold
+    depths: of the tables above, of the rows above that no cell closes, of all cells above. Texts stay out of the walk.
     """
     c = F.col
     if roles is not None:
         nodes = nodes.join(roles, ["doc", "tag"], "left").withColumn("tag", F.coalesce("role", "tag")).drop("role")
     place = F.struct(F.coalesce("ordinal", F.lit(0)).cast("long").alias("ordinal"), c("node").cast("string").alias("node"))
-    nodes = nodes.withColumn("place", place).select("doc", "node", "parent", "place", "tag", "page", "text")
+    nodes = nodes.withColumn("place", place).select("doc", "node", "parent", "place", "tag", "page")
     spark, folder = nodes.sparkSession, f"{shared_folder(nodes.sparkSession)}/walk-{uuid.uuid4().hex}"
     nodes.write.parquet(f"{folder}/nodes")
     nodes = spark.read.schema(nodes.schema).parquet(f"{folder}/nodes")
     none = F.array().cast("array<int>")
-    level = nodes.filter("parent is null").select("doc", "node", F.array("place").alias("path"), F.lit(0).alias("depth"), "tag", "page", "text", none.alias("tables"), none.alias("rows"), none.alias("cells"))
-    kids = nodes.filter("parent is not null").select("doc", c("parent").alias("node"), c("node").alias("kid"), "place", c("tag").alias("kid_tag"), c("page").alias("kid_page"), c("text").alias("kid_text"))
+    level = nodes.filter("parent is null").select("doc", "node", F.array("place").alias("path"), F.lit(0).alias("depth"), "tag", "page", none.alias("tables"), none.alias("rows"), none.alias("cells"))
+    kids = nodes.filter("parent is not null").select("doc", c("parent").alias("node"), c("node").alias("kid"), "place", c("tag").alias("kid_tag"), c("page").alias("kid_page"))
     schema, found = level.schema, None
     for depth in range(deepest + 1):
         level.write.parquet(f"{folder}/level={depth}")
@@ -56,11 +56,11 @@ def walked(nodes: DataFrame, roles: DataFrame | None = None, deepest: int = DEEP
             "cells": F.when(cell, F.concat("cells", own)).otherwise(c("cells")),
             "path": c("path"),
             "depth": c("depth") + 1,
-        }).drop("tag", "page", "text")
+        }).drop("tag", "page")
         level = below.join(kids, ["doc", "node"]).select(
-            "doc", c("kid").alias("node"), F.concat("path", F.array("place")).alias("path"), "depth", c("kid_tag").alias("tag"), c("kid_page").alias("page"), c("kid_text").alias("text"), "tables", "rows", "cells"
+            "doc", c("kid").alias("node"), F.concat("path", F.array("place")).alias("path"), "depth", c("kid_tag").alias("tag"), c("kid_page").alias("page"), "tables", "rows", "cells"
         )
-    return found.drop("node")
+    return found
 
 
 def _above(depths: Column) -> Column:
@@ -68,13 +68,18 @@ def _above(depths: Column) -> Column:
     return F.transform(depths, lambda d: F.slice("path", F.lit(1), d + 1))
 
 
-def tables(tree: DataFrame) -> DataFrame:
-    """(doc, table_no, page, row_no, cell_no, text) of the cells of every table of a walked tree, numbered from 1."""
+def tables(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, table_no, page, row_no, cell_no, text) of the cells of every table of a walked tree, numbered from 1.
+
+    ``nodes`` has the texts (doc, node, text).
+    """
     c = F.col
     cell = c("tag").isin(*CELLS)
     # A cell's text is its own and that of all below it; a table's page its own or the first below it.
     holders = F.when(cell, F.concat("cells", F.array("depth"))).otherwise(c("cells"))
-    texts = tree.withColumn("text", F.trim("text")).filter("text <> ''").select("doc", "path", "text", F.explode(_above(holders)).alias("cell"))
+    said = nodes.select("doc", "node", F.trim("text").alias("text")).filter("text <> ''").groupBy("doc", "node").agg(F.max("text").alias("text"))
+    held = tree.select("doc", "node", "path", _above(holders).alias("cells")).filter(F.size("cells") > 0)
+    texts = held.join(said, ["doc", "node"]).select("doc", "path", "text", F.explode("cells").alias("cell"))
     texts = texts.groupBy("doc", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda t: t["text"]), " ").alias("text"))
     in_table = F.when(c("tag") == TABLE, F.concat("tables", F.array("depth"))).otherwise(c("tables"))
     pages = tree.filter("page is not null").select("doc", "path", "page", F.explode(_above(in_table)).alias("table"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmill.operators import codemaps, nested, rtf, structure
+from lendmill.operators import codemaps, nested, rtf, schema, structure
 from lendmill.registry import query
 from lendmill.sources.tables import table, texts
 
@@ -129,7 +129,7 @@ def src_tagged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.selectExpr("doc", "line", *(x.replace(" // ", " div ") for x in _LINES.split(", ")))
     nodes = spark.sql(_NODES.replace("FROM s", "FROM {s}"), s=rows)
     roles = nodes.select("doc").distinct().select("doc", F.lit("Tabelle").alias("tag"), F.lit(structure.TABLE).alias("role"))
-    return structure.tables(structure.walked(nodes, roles))
+    return structure.tables(structure.walked(nodes, roles), nodes)
 
 
 #: A map for each nation: single codes and ranges that overlap, lists longer than their range, bad numbers; some have none.
@@ -231,3 +231,81 @@ def pii_mask_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records of all documents without identifiers, names too; lookbehind as in pii_redact_lookaround."""
     return nested.masked(_records(spark, sf_dir), nested.everywhere).select(F.col("id").alias("doc_id"), F.col("json").alias("redacted"))
+
+
+# A computation for each document, with the document's lines as the segments of its raw line.
+_COMPUTED = (
+    """{"source":"a.pdf","format":"Pdf","regime":null,"assessment_year":{"start":2024,"end":2025},"assessee":{"name":"A","pan":"ABCDE1234F","aadhaar":null},"""
+    """"heads":{"salary":{"paise":100,"raw":"1"},"capital_gains":null},"deductions":{"items":[{"section":"80C","label":"l","raw_line":"r","amount":{"paise":5,"raw":"5"}},"""
+    """{"section":"80D","label":"m","raw_line":"s"}],"total":null},"tax":{"tax_due":{"paise":0,"raw":"0"}},"credits":{},"raw":{"page_count":2,"lines":[{"page":1,"""
+    """"bbox":{"x":0,"y":1.5,"width":10,"height":2},"segments":""",
+    ""","segment_boxes":[{"x":0,"y":0,"width":0,"height":0}]}],"table":{"columns":[[0,10.5],[20,30]],"rows":[{"page":1,"cells":[{"text":"t","""
+    """"bbox":{"x":1,"y":1,"width":1,"height":1},"column":0},{"text":"u","bbox":{"x":2,"y":1,"width":1,"height":1}}]}]}}}""",
+)
+#: What is put for what, and the findings (path, keyword).
+_BROKEN: list[tuple[str, str, list[tuple[str, str]]]] = [
+    ("", "", []),
+    ('"source":"a.pdf",', "", [("", "required")]),
+    ('"source":"a.pdf"', '"source":""', [("/source", "minLength")]),
+    ('"source":"a.pdf"', '"source":7', [("/source", "type")]),
+    ('"format":"Pdf"', '"format":"pdf"', [("/format", "enum")]),
+    ('"format":"Pdf"', '"format":null', [("/format", "type"), ("/format", "enum")]),
+    ('"regime":null', '"regime":false', [("/regime", "type")]),
+    ('"regime":null', '"regime":"new","extra":1', [("", "additionalProperties")]),
+    ('"start":2024', '"start":1989', [("/assessment_year/start", "minimum")]),
+    ('"end":2025', '"end":2102', [("/assessment_year/end", "maximum")]),
+    ('"start":2024', '"start":2024.5', [("/assessment_year/start", "type")]),
+    ('"start":2024', '"start":2024.0', []),
+    ('"start":2024,', "", [("/assessment_year", "required")]),
+    ('"assessment_year":{"start":2024,"end":2025}', '"assessment_year":null', []),
+    ('"pan":"ABCDE1234F"', '"pan":"ABCDE12345"', [("/assessee/pan", "pattern")]),
+    ('"aadhaar":null', '"aadhaar":"1234"', [("/assessee/aadhaar", "enum")]),
+    ('"aadhaar":null', '"aadhaar":"[Aadhaar Redacted]"', []),
+    ('"name":"A"', '"name":"A","nick":"B"', [("/assessee", "additionalProperties")]),
+    ('{"paise":100,"raw":"1"}', '{"paise":1.5,"raw":"1"}', [("/heads/salary/paise", "type")]),
+    ('{"paise":100,"raw":"1"}', '{"raw":"1"}', [("/heads/salary", "required")]),
+    ('{"paise":100,"raw":"1"}', '"100"', [("/heads/salary", "type")]),
+    ('"heads":{', '"heads":{"lottery":null,', [("/heads", "additionalProperties")]),
+    ('"section":"80D"', '"section":"8"', [("/deductions/items/1/section", "minLength")]),
+    (',"label":"m"', "", [("/deductions/items/1", "required")]),
+    ('"label":"l"', '"label":null,"note":0', [("/deductions/items/0", "additionalProperties"), ("/deductions/items/0/label", "type")]),
+    ('{"paise":5,"raw":"5"}', '{"paise":5,"raw":5}', [("/deductions/items/0/amount/raw", "type")]),
+    ('"items":[', '"items":[3,', [("/deductions/items/0", "type")]),
+    ('"tax_due":', '"tax_dew":', [("/tax", "additionalProperties")]),
+    ('"credits":{}', '"credits":[]', [("/credits", "type")]),
+    ('"page_count":2', '"page_count":-1', [("/raw/page_count", "minimum")]),
+    ('"page_count":2,', "", [("/raw", "required")]),
+    ('"y":1.5', '"y":"1.5"', [("/raw/lines/0/bbox/y", "type")]),
+    ('"width":10,', '"width":-0.5,', [("/raw/lines/0/bbox/width", "minimum")]),
+    (',"segment_boxes":[{"x":0,"y":0,"width":0,"height":0}]', ',"segment_boxes":[{"x":0,"y":0,"width":0},9]', [("/raw/lines/0/segment_boxes/0", "required"), ("/raw/lines/0/segment_boxes/1", "type")]),
+    ("[[0,10.5],[20,30]]", "[[0],[20,30,40],[1,null]]", [("/raw/table/columns/0", "minItems"), ("/raw/table/columns/1", "maxItems"), ("/raw/table/columns/2/1", "type")]),
+    ('"rows":[{"page":1', '"rows":[{"page":0', [("/raw/table/rows/0/page", "minimum")]),
+    ('"column":0', '"column":-2', [("/raw/table/rows/0/cells/0/column", "minimum")]),
+    ('"column":0', '"column":null', []),
+    ('{"text":"u"', '{"txt":"u"', [("/raw/table/rows/0/cells/1", "additionalProperties"), ("/raw/table/rows/0/cells/1", "required")]),
+    ('{"x":2,"y":1,"width":1,"height":1}', "null", [("/raw/table/rows/0/cells/1/bbox", "type")]),
+    ('"rows":[', '"rows":[{"page":1,"cells":{}},', [("/raw/table/rows/0/cells", "type")]),
+    ('"height":1}}]}]}}}', '"height":1}}]}]}}', [("", "json")]),
+]
+
+
+def _rows(values: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in values)
+
+
+@query(
+    "income_schema_findings",
+    f"""WITH b(kind, path, keyword) AS (VALUES {_rows([(k, *f) for k, (_, _, found) in enumerate(_BROKEN) for f in found])})
+SELECT doc_id, path, keyword FROM documents JOIN b ON b.kind = doc_id % {len(_BROKEN)}""",
+)
+def income_schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whatever breaks the schema of a computation in records made of all documents, tables and boxes included."""
+    lines = F.to_json(F.split(F.coalesce("text", F.lit("")), "\n"))
+    whole = F.concat(F.lit(_COMPUTED[0]), lines, F.lit(_COMPUTED[1]))
+    kind = F.col("doc_id") % len(_BROKEN)
+    made = F.col("json")
+    for k, (there, put, _) in reversed(list(enumerate(_BROKEN))):
+        if there:
+            made = F.when(kind == k, F.replace("json", F.lit(there), F.lit(put))).otherwise(made)
+    records = texts(spark, sf_dir, "documents").select("doc_id", whole.alias("json"))
+    return schema.findings(records.select(F.col("doc_id").alias("id"), made.alias("json")), schema.COMPUTATION).withColumnRenamed("id", "doc_id")

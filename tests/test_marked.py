@@ -58,12 +58,12 @@ def test_random_trees(spark):
     nodes = spark.createDataFrame(rows, SCHEMA)
     roles = spark.createDataFrame([(doc, "Tabelle", "Table") for doc in range(30)], "doc long, tag string, role string")
     got: dict[int, list] = {}
-    for r in structure.tables(structure.walked(nodes, roles)).collect():
+    for r in structure.tables(structure.walked(nodes, roles), nodes).collect():
         got.setdefault(r.doc, []).append((r.table_no, r.page, r.row_no, r.cell_no, r.text))
     for doc in {r[0] for r in rows}:
         assert sorted(got.get(doc, []), key=str) == plain_tables([r[1:] for r in rows if r[0] == doc]), doc
     assert got[99] == [(1, None, 1, 1, "level 63 level 64")]
-    assert structure.tables(structure.walked(nodes.limit(0))).count() == 0
+    assert structure.tables(structure.walked(nodes.limit(0)), nodes).count() == 0
 
 
 def plain_map(text: str) -> dict[int, str]:
