@@ -123,9 +123,14 @@ def redact_map(entries: Column) -> Column:
 
 
 def cells_to_bands(cells: DataFrame, bands: DataFrame, most: float = 6.0) -> DataFrame:
-    """The column band of each cell: the nearest left edge, at most so far; of equals the first."""
-    joined = cells.select("doc_id", "seq", "x0").join(bands.select("doc_id", F.col("x0").alias("edge")), "doc_id").withColumn("gap", F.abs(F.col("x0") - F.col("edge"))).filter(F.col("gap") <= most)
-    return joined.groupBy("doc_id", "seq").agg(F.min(F.struct("gap", "edge")).alias("m")).select("doc_id", "seq", F.col("m.edge").alias("edge"))
+    """The column band of each cell: the nearest left edge, at most so far; of equals the first.
+
+    Edges are repeated for the strip of that width that they lie in and its neighbours, so a cell meets those near it.
+    """
+    strip = lambda x: F.floor(F.col(x) / most)
+    near = bands.select("doc_id", F.col("x0").alias("edge")).withColumn("strip", F.explode(F.array(strip("edge") - 1, strip("edge"), strip("edge") + 1)))
+    joined = cells.select("doc_id", "seq", "x0").withColumn("strip", strip("x0")).join(near, ["doc_id", "strip"]).withColumn("gap", F.abs(F.col("x0") - F.col("edge")))
+    return joined.filter(F.col("gap") <= most).groupBy("doc_id", "seq").agg(F.min(F.struct("gap", "edge")).alias("m")).select("doc_id", "seq", F.col("m.edge").alias("edge"))
 
 
 def column_bands(elements: DataFrame, most: float = 6.0) -> DataFrame:

@@ -99,10 +99,32 @@ def column_slices(elements: DataFrame) -> DataFrame:
     return elements.select("doc_id", "seq", F.explode(F.array_compact(F.array(*inside))).alias("slice"))
 
 
+#: Height of the cells that intervals are dealt into before they are joined.
+GRID = 32.0
+
+
+def _cells(rows: DataFrame, begin: str, end: str) -> DataFrame:
+    """A row for each grid cell that an interval touches."""
+    cell = lambda x: F.floor(F.col(x) / GRID)
+    return rows.withColumn("_from", cell(begin)).withColumn("_cell", F.explode(F.sequence(F.col("_from"), F.greatest("_from", cell(end)))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """Pairs of rows with the same keys whose intervals overlap (ends excluded); all columns but the keys differ in name.
+
+    Both sides are repeated for the grid cells that they touch and met there by an equi-join; of the cells that a pair
+    shares the one of the later beginning counts. So a document's pairs are tried within a cell, not within the document.
+    """
+    a, b = _cells(left, *first), _cells(right, *second).withColumnRenamed("_from", "_other")
+    met = a.join(b, [*keys, "_cell"]).filter(F.col("_cell") == F.greatest("_from", "_other"))
+    return met.filter((F.col(first[0]) < F.col(second[1])) & (F.col(first[1]) > F.col(second[0]))).drop("_cell", "_from", "_other")
+
+
 def overlapping_right(labels: DataFrame, elements: DataFrame) -> DataFrame:
     """Elements of the same document and page that overlap a label in height and begin right of it."""
     left = labels.select("doc_id", "page", F.col("seq").alias("label_seq"), F.col("y0").alias("ly0"), F.col("y1").alias("ly1"), F.col("x1").alias("lx1"))
-    return left.join(elements, ["doc_id", "page"]).filter("ly0 < y1 and ly1 > y0 and x0 >= lx1").select("doc_id", "page", "label_seq", "seq")
+    found = overlapping(left, elements.select("doc_id", "page", "seq", "x0", "y0", "y1"), ["doc_id", "page"], ("ly0", "ly1"), ("y0", "y1"))
+    return found.filter("x0 >= lx1").select("doc_id", "page", "label_seq", "seq")
 
 
 def anchored_groups(elements: DataFrame, share: float = 0.4, begin: str = "y0", end: str = "y1") -> DataFrame:

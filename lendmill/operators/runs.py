@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lendmill.functions.coerce import dpd_token
 from lendmill.operators.bureau import MONTHS
+from lendmill.operators.layout import overlapping
 
 #: Baselines within a share of the smaller size, sizes within a ratio, gaps within a multiple of the size.
 BASELINE, RATIO, GAP = 0.5, 1.6, 1.0
@@ -136,11 +137,13 @@ def year_grid(elements: DataFrame, header: DataFrame) -> DataFrame:
     months; of several cells under a month the rightmost counts.
     """
     center = (F.col("x0") + F.col("x1")) / 2
-    months = header.select("doc_id", "month_no", center.alias("mx"), F.col("x0").alias("m0"))
-    begins = months.groupBy("doc_id").agg(F.min("m0").alias("begins"))
-    years = elements.filter(F.trim("text").rlike(r"^20[0-9]{2}$")).join(begins, "doc_id").filter("x0 < begins")
-    years = years.select("doc_id", F.trim("text").cast("int").alias("year"), F.col("y0").alias("yy0"), F.col("y1").alias("yy1"), F.col("x1").alias("yx1"))
-    level = elements.join(years, "doc_id").filter("y0 < yy1 and y1 > yy0 and x0 > yx1").select("doc_id", "year", "seq", "x0", center.alias("vx"), "text")
-    near = level.join(months, "doc_id").groupBy("doc_id", "year", "seq", "x0", "text").agg(F.min(F.struct(F.abs(F.col("vx") - F.col("mx")).alias("gap"), F.col("month_no"))).alias("m"))
+    # A document's months are one short array, so that its cells are not paired with each of them.
+    months = header.groupBy("doc_id").agg(F.min("x0").alias("begins"), F.collect_set(F.struct(center.alias("mx"), "month_no")).alias("months"))
+    years = elements.filter(F.trim("text").rlike(r"^20[0-9]{2}$")).join(months, "doc_id").filter("x0 < begins")
+    years = years.select("doc_id", F.trim("text").cast("int").alias("year"), F.col("y0").alias("yy0"), F.col("y1").alias("yy1"), F.col("x1").alias("yx1"), "months")
+    cells = elements.select("doc_id", "seq", "x0", center.alias("vx"), "y0", "y1", "text")
+    level = overlapping(cells, years, ["doc_id"], ("y0", "y1"), ("yy0", "yy1")).filter("x0 > yx1")
+    nearest = F.array_min(F.transform("months", lambda m: F.struct(F.abs(F.col("vx") - m["mx"]).alias("gap"), m["month_no"].alias("month_no"))))
+    near = level.select("doc_id", "year", "seq", "x0", "text", nearest.alias("m"))
     last = near.groupBy("doc_id", "year", F.col("m.month_no").alias("month_no")).agg(F.max_by("text", F.struct("x0", "seq")).alias("text"))
     return last.select("doc_id", "year", F.element_at(F.array(*map(F.lit, MONTHS)), F.col("month_no")).alias("month"), dpd_token(F.col("text")).alias("token"))
