@@ -20,63 +20,55 @@ def line_text(segs: Column) -> Column:
     return F.array_join(segs, " ")
 
 
-def amount_on_line(segs: Column, label: str) -> Column:
-    """The last cell after the first that is an amount, else the first amount behind the label in the line's text."""
-    cells = F.filter(F.transform(F.slice(segs, F.lit(2), F.greatest(F.size(segs), F.lit(1))), lambda c: money.money(c)), lambda x: x.isNotNull())
-    text = line_text(segs)
-    at = F.instr(F.upper(text), label)  # 0 where the label is spaced otherwise: then the whole text is searched
-    behind = money.first_money(text, F.when(at > 0, at + len(label) - 1).otherwise(0))
-    return F.when(F.size(cells) > 0, F.element_at(cells, -1)).otherwise(behind)
-
-
-def labelled_amount(options: tuple[str, ...], unless: tuple[str, ...] = ()) -> Column:
-    """An aggregate: the amount of the first line that holds one of the options and has an amount; spaces do not matter."""
-    text = squashed(line_text(F.col("segs")))
-    found = F.lit(None).cast("struct<no:int,paise:bigint>")
-    skipped = F.lit(False)
-    for word in unless:
-        skipped = skipped | F.contains(text, F.lit(word.replace(" ", "")))
-    for number, option in enumerate(options):
-        paise = F.when(F.contains(text, F.lit(option.replace(" ", ""))) & ~skipped, amount_on_line(F.col("segs"), option))
-        found = F.coalesce(found, F.when(paise.isNotNull(), F.struct(F.lit(number).alias("no"), paise.alias("paise"))))
-    return F.min_by(found["paise"], F.when(found.isNotNull(), F.struct(F.col("line_no"), found["no"])))
-
-
-def labelled_year(label: str) -> Column:
-    """An aggregate: the first year range on a line that mentions the label."""
-    text = line_text(F.col("segs"))
-    start = F.when(F.contains(squashed(text), F.lit(label.replace(" ", ""))), money.year_range(text))
-    return F.min_by(start, F.when(start.isNotNull(), F.col("line_no")))
-
-
-def value_on_line(segs: Column, label: str) -> Column:
+def value_on_line(segs: Column, label: Column) -> Column:
     """What stands after a colon in the label's own cell, else the next cell that is not empty."""
-    place = F.array_position(F.transform(segs, lambda c: F.contains(F.upper(c), F.lit(label))), True).cast("int")
+    place = F.array_position(F.transform(segs, lambda c: F.contains(F.upper(c), label)), True).cast("int")
     own = F.get(segs, place - 1)
     after = F.trim(F.when(F.contains(own, F.lit(":")), F.substring_index(own, ":", -1)).otherwise(""))
     rest = F.filter(F.slice(segs, place + 1, F.size(segs)), lambda c: F.trim(c) != "")
     return F.when(place > 0, F.when(after != "", after).otherwise(F.trim(F.get(rest, F.lit(0)))))
 
 
-def labelled_value(label: str) -> Column:
-    """An aggregate: the value of the first line that has one for the label."""
-    value = F.when(F.contains(F.upper(line_text(F.col("segs"))), F.lit(label)), value_on_line(F.col("segs"), label))
-    return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
+# Fields of a sheet and of a pay slip, how each is read (a figure, a year, a value), and its labels.
+INCOME_FIELDS = {
+    "gross_total": ("figure", ("GROSS TOTAL INCOME",)), "total_income": ("figure", ("TOTAL INCOME",)), "refund": ("figure", ("REFUND DUE", "TAX REFUNDABLE")),
+    "assessment_year": ("year", ("ASSESSMENT YEAR",)), "financial_year": ("year", ("FINANCIAL YEAR",)),
+}
+PAYSLIP_FIELDS = {"employee": ("value", ("EMPLOYEE NAME",)), "paid_days": ("value", ("PAID DAYS",)), "net_pay": ("figure", ("NET PAY", "TAKE HOME")), "in_words": ("value", ("IN WORDS",))}
+
+
+def first_hits(lines: DataFrame, fields: dict[str, tuple[str, tuple[str, ...]]], unless: dict[str, str]) -> DataFrame:
+    """One row for each document with the fields: each of the first line that holds one of its labels and has a value.
+
+    The labels are one array; a line is repeated for those that it holds, so each way of reading is written once however
+    many fields there are. Spaces do not matter for figures and years; ``unless`` names what a field's line must not hold.
+    """
+    c = F.col
+    every = [(name, kind, no, word) for name, (kind, words) in fields.items() for no, word in enumerate(words)]
+    options = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(n).alias("no"), F.lit(w.replace(" ", "")).alias("key"), F.lit(w).alias("word"), F.lit(unless.get(f)).cast("string").alias("unless")) for f, k, n, w in every))
+    rows = lines.select("doc_id", "line_no", "segs", line_text(c("segs")).alias("text")).withColumn("upper", F.upper("text")).withColumn("squashed", F.replace("upper", F.lit(" "), F.lit("")))
+    held = F.filter(options, lambda o: F.when(o["kind"] == "value", F.contains(F.col("upper"), o["word"])).otherwise(F.contains(F.col("squashed"), o["key"])) & ~F.coalesce(F.contains(F.col("squashed"), o["unless"]), F.lit(False)))
+    rows = rows.withColumn("o", F.explode_outer(held))
+    cells = F.filter(F.transform(F.slice("segs", F.lit(2), F.greatest(F.size("segs"), F.lit(1))), lambda x: money.money(x)), lambda x: x.isNotNull())
+    at = F.instr(c("upper"), c("o.word"))  # 0 where the label is spaced otherwise: then the whole text is searched
+    behind = money.first_money(c("text"), F.when(at > 0, at + F.length("o.word") - 1).otherwise(0))
+    rows = rows.withColumns({
+        "figure": F.when(c("o.kind") == "figure", F.coalesce(F.element_at(F.when(F.size(cells) > 0, cells), -1), behind)),
+        "year": F.when(c("o.kind") == "year", money.year_range(c("text"))),
+        "value": F.when(c("o.kind") == "value", value_on_line(c("segs"), c("o.word"))),
+    })
+    first = lambda f, k: F.min_by(k, F.when((c("o.field") == f) & c(k).isNotNull(), F.struct("line_no", "o.no"))).alias(f)
+    return rows.groupBy("doc_id").agg(*(first(f, k) for f, (k, _) in fields.items()))
 
 
 def income_fields(lines: DataFrame) -> DataFrame:
     """Figures and years of an income sheet."""
-    return lines.groupBy("doc_id").agg(
-        labelled_amount(("GROSS TOTAL INCOME",)).alias("gross_total"), labelled_amount(("TOTAL INCOME",), unless=("GROSS TOTAL INCOME",)).alias("total_income"), F.abs(labelled_amount(("REFUND DUE", "TAX REFUNDABLE"))).alias("refund"),
-        labelled_year("ASSESSMENT YEAR").alias("assessment_year"), labelled_year("FINANCIAL YEAR").alias("financial_year"),
-    )
+    return first_hits(lines, INCOME_FIELDS, {"total_income": "GROSSTOTALINCOME"}).withColumn("refund", F.abs("refund"))
 
 
 def payslip_fields(lines: DataFrame) -> DataFrame:
     """Names and figures of a pay slip."""
-    return lines.groupBy("doc_id").agg(
-        labelled_value("EMPLOYEE NAME").alias("employee"), labelled_value("PAID DAYS").alias("paid_days"), labelled_amount(("NET PAY", "TAKE HOME")).alias("net_pay"), labelled_value("IN WORDS").alias("in_words")
-    )
+    return first_hits(lines, PAYSLIP_FIELDS, {})
 
 
 # Words of a pay slip's first lines by vendor, first match first.
