@@ -40,7 +40,8 @@ def pieces(records: DataFrame) -> DataFrame:
     """(id, n, raw, is_string, is_name, name) of (id, json): the pieces of a record in order; the odd ones are strings."""
     c = F.col
     along = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = records.select("id", F.posexplode(F.regexp_extract_all("json", F.lit(r'(?s)"|\\.|[^"\\]+'), F.lit(0))).alias("pos", "token"))
+    # Records are dealt before they are exploded: their pieces keep that partitioning for the windows and aggregates.
+    rows = records.repartition("id").select("id", F.posexplode(F.regexp_extract_all("json", F.lit(r'(?s)"|\\.|[^"\\]+'), F.lit(0))).alias("pos", "token"))
     rows = rows.withColumn("n", F.sum((c("token") == '"').cast("long")).over(along)).withColumn("token", F.when(c("token") == '"', "").otherwise(c("token")))
     found = rows.groupBy("id", "n").agg(F.expr("listagg(token, '') WITHIN GROUP (ORDER BY pos)").alias("raw"))
     order = Window.partitionBy("id").orderBy("n")

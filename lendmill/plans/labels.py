@@ -122,7 +122,9 @@ SELECT o.doc_id, {", ".join(f"coalesce({f}, other_{f}) AS {f}" if f in ("pan", "
 def payslip_employee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The employee block of grid slips, one for each document: values beside, below and in both."""
     count = F.size(F.split(F.coalesce("text", F.lit("")), "\n")) + 6
-    docs = texts(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    # Dealt before the lines are made: windows and aggregates by document need no other shuffle.
+    docs = texts(spark, sf_dir, "documents").select("doc_id", count.alias("many")).repartition("doc_id")
+    docs = docs.select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"))
     rows = docs.selectExpr(*(x.strip() for x in _GRID_LINES.replace("i // 5", "i div 5").replace("i // 4", "i div 4").split(", ")))
     cells = F.array(*(F.expr(_grid(k, 0)) for k in range(3)))
     boxes = F.array(*(F.struct(F.expr(_grid(k, 1)).cast("double").alias("x"), F.expr(_grid(k, 2)).cast("double").alias("width")) for k in range(3)))
@@ -337,7 +339,9 @@ FROM f LEFT JOIN h USING (doc_id) LEFT JOIN d USING (doc_id)
 def income_relational_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole nested document of a sheet for each document."""
     count = F.size(F.split(F.coalesce("text", F.lit("")), "\\n")) + 9
-    docs = texts(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    # Dealt before the lines are made: windows and aggregates by document need no other shuffle.
+    docs = texts(spark, sf_dir, "documents").select("doc_id", count.alias("many")).repartition("doc_id")
+    docs = docs.select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"))
     rows = docs.selectExpr(*(x.strip() for x in _RELATED_LINES.replace(" // ", " div ").split(", ")))
     cells = F.array(*(F.expr(f"CASE kind {' '.join(f'WHEN {k} THEN {c[i]}' for k, (c, _) in enumerate(_RELATED) if i < len(c))} ELSE '' END") for i in range(3)))
     lines = rows.select("doc_id", F.col("i").alias("line_no"), "page", cells.alias("segs"))
