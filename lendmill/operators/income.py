@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendmill.functions import pii
 from lendmill.operators.extract import block_boundary
 from lendmill.operators.labels import component_slot
 
@@ -52,6 +53,25 @@ def reconcile(sheets: DataFrame) -> DataFrame:
     return sheets.select("sheet_id", F.inline(F.array_compact(found)))
 
 
+def identifier_findings(sheets: DataFrame) -> DataFrame:
+    """(sheet_id, rule, severity, message) of sheets (sheet_id, pan, aadhaar, serialized): the tax number's form, and whether
+    a number of twelve digits is left anywhere in the document as it is written out."""
+    c = F.col
+    verdict, code = pii.pan_verdict(c("pan")), F.substring(F.upper(F.trim("pan")), 4, 1)
+    severity = F.when(c("pan").isNull() | (verdict == "Valid"), "skipped").when(verdict == "BadShape", "error").otherwise("warning")
+    formed = F.concat(F.lit("PAN well-formed, entity code '"), code, F.lit("'"))
+    unknown = F.concat(F.lit("PAN 4th character '"), code, F.lit("' is not a known entity code"))
+    said = F.when(c("pan").isNull(), "no PAN found").when(verdict == "Valid", formed).when(verdict == "BadShape", "PAN does not match AAAAA9999A").otherwise(unknown)
+    left = pii.leaks(c("serialized"))
+    clean = F.when(c("aadhaar") == "[Aadhaar Redacted]", "Aadhaar present and redacted").otherwise("no Aadhaar present")
+    leaked = F.concat(left.cast("string"), F.lit(" Aadhaar-shaped value(s) survived redaction in the output"))
+    found = F.array(
+        F.struct(F.lit("PAN_STRUCTURE").alias("rule"), severity.alias("severity"), said.alias("message")),
+        F.struct(F.lit("AADHAAR_REDACTED").alias("rule"), F.when(left > 0, "error").otherwise("skipped").alias("severity"), F.when(left > 0, leaked).otherwise(clean).alias("message")),
+    )
+    return sheets.select("sheet_id", F.inline(found))
+
+
 def payslip_totals(lines: DataFrame) -> DataFrame:
     """Sums of a slip's lines by section (earning, deduction) and whether gross less deductions is the net pay (null: not stated)."""
     amount = lambda kind: F.sum(F.when(F.col("section") == kind, F.col("paise")))

@@ -78,6 +78,13 @@ def worst_dpd(cells: DataFrame) -> DataFrame:
     return cells.groupBy("app_id").agg(F.coalesce(F.max(days), F.lit(0)).alias("max_dpd"), F.count(F.when(known & days.isNull(), 1)).alias("bad_cells"))
 
 
+def worst_dpd_of_owners(cells: DataFrame, accounts: DataFrame) -> DataFrame:
+    """As ``worst_dpd``, of cells (account, token) by the owners (account, app_id): cells are added up by account before the join,
+    so what is joined and shuffled is a row an account."""
+    own = worst_dpd(cells.withColumnRenamed("account", "app_id")).withColumnRenamed("app_id", "account")
+    return own.join(accounts, "account").groupBy("app_id").agg(F.max("max_dpd").alias("max_dpd"), F.sum("bad_cells").alias("bad_cells"))
+
+
 def entity_scope(entity_type: Column) -> Column:
     return F.when(F.upper(F.trim(entity_type)) == "COMPANY", "COMPANY").otherwise("INDIVIDUAL")
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lendmill.operators import policy as p
 from lendmill.registry import query
-from lendmill.sources.tables import APPLICANTS_SQL, CELLS_SQL, applicants, bureau_cells, table
+from lendmill.sources.tables import APPLICANTS_SQL, CELLS_SQL, applicants, bureau_accounts, bureau_cells, bureau_cells_by_account, table
 
 AS_OF = "2025-01-01"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.normalized(applicants(spark, sf_dir), p.worst_dpd(bureau_cells(spark, sf_dir)), AS_OF)
+    worst = p.worst_dpd_of_owners(bureau_cells_by_account(spark, sf_dir), bureau_accounts(spark, sf_dir))
+    return p.normalized(applicants(spark, sf_dir), worst, AS_OF)
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendmill.functions import coerce, money, pii
-from lendmill.operators import bureau
+from lendmill.operators import bureau, income
 from lendmill.operators.duplicates import file_identity, first_wins
 from lendmill.registry import query
 from lendmill.sources.tables import select_sql, shared_folder, table, texts
@@ -190,6 +190,28 @@ def id_pan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _people(spark, sf_dir).select("k", pii.pan_verdict(F.col("pan")).alias("verdict"))
 
 
+_IDENTITY = {
+    "sheet_id": "doc_id",
+    "pan": "CASE doc_id % 5 WHEN 0 THEN concat(' abcpk', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), 'f ') WHEN 1 THEN concat('ABCDE', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), 'Z') WHEN 2 THEN 'SHORT' WHEN 4 THEN 'XYZTA1234K' END",
+    "aadhaar": "CASE WHEN doc_id % 2 = 0 THEN '[Aadhaar Redacted]' END",
+    "serialized": "CASE doc_id % 4 WHEN 0 THEN 'id 2345 6789 0123, 234567890123' WHEN 1 THEN '1234 5678 9012 and 42345678901234' WHEN 2 THEN 'x2345-6789-0123' ELSE '2345678901.23' END",
+}
+
+
+@query(
+    "id_pan_findings",
+    """SELECT doc_id AS sheet_id, 'PAN_STRUCTURE' AS rule, CASE doc_id % 5 WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'skipped' END AS severity,
+CASE doc_id % 5 WHEN 0 THEN 'PAN well-formed, entity code ''P''' WHEN 1 THEN 'PAN 4th character ''D'' is not a known entity code'
+     WHEN 2 THEN 'PAN does not match AAAAA9999A' WHEN 3 THEN 'no PAN found' ELSE 'PAN well-formed, entity code ''T''' END AS message FROM documents
+UNION ALL SELECT doc_id, 'AADHAAR_REDACTED', CASE WHEN doc_id % 4 IN (0, 2) THEN 'error' ELSE 'skipped' END,
+CASE WHEN doc_id % 4 = 0 THEN '2 Aadhaar-shaped value(s) survived redaction in the output' WHEN doc_id % 4 = 2 THEN '1 Aadhaar-shaped value(s) survived redaction in the output'
+     ELSE 'no Aadhaar present' END FROM documents""",
+)
+def id_pan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the tax number and of left-over numbers for a sheet made of each document."""
+    return income.identifier_findings(table(spark, sf_dir, "documents").selectExpr(*(f"{e} AS {n}" for n, e in _IDENTITY.items())))
+
+
 @query(
     "id_regex_flags",
     f"""WITH {PEOPLE_SQL} SELECT k, coalesce(regexp_full_match(pan, '[A-Z]{{5}}[0-9]{{4}}[A-Z]'), false) AS pan, regexp_full_match(phone, '[6-9][0-9]{{9}}') AS phone, regexp_full_match(dob, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS dob,

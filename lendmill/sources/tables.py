@@ -98,5 +98,15 @@ def bureau_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr("o_custkey AS app_id", f"{CELL} AS token")
 
 
+def bureau_cells_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account, token) of every payment cell."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS account", f"{CELL.replace('o_orderkey', 'l_orderkey')} AS token")
+
+
+def bureau_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account, app_id) of every account."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS account", "o_custkey AS app_id")
+
+
 APPLICANTS_SQL = select_sql(APPLICANT, "customer")
 CELLS_SQL = f"SELECT o_custkey AS app_id, {CELL} AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey"

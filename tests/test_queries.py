@@ -57,3 +57,10 @@ def test_entry_has_rows(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_of_queries_are_their_own():
+    from lendmill.registry import query
+
+    with pytest.raises(ValueError, match="two queries"):
+        query("policy_bank_map")(len)
