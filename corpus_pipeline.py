@@ -3,6 +3,10 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 read again as the next one's docs. ``run`` applies them to ``documents`` of a folder. SQL cannot express trained
 classifiers, so ``ORACLE_SQL`` is None; the tests hold ``run`` against a brute-force version.
+
+Cases: null and empty texts, and texts without a letter, end at the language stage; very long texts are judged and packed
+whole; repeated rows are copies, of which one stays; documents of equal standing go by doc_id; an empty table gives no rows
+at every stage; extra columns are kept by all stages but the last, whatever they are named.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ row for each byte value under each filter position, so a window costs a few tabl
 Trained in numpy on a bounded sample (at most ``per_label`` rows of each language, ``WINDOWS`` windows of each).
 
 Cases: a null text and a text without a letter (``str.isalpha``) give ``und`` with score 0; with no labelled row all
-texts do; equal texts have equal results; rows without a label are predicted and not trained on; extra columns are
-dropped by ``identify`` and kept by ``known_language_rows``.
+texts do; equal texts have equal results, and repeated rows are predicted each; a text of any length is read as a whole, in
+a block of its own where it is longer than one; equal probabilities go to the first language in text order; of more than
+``tasks.MOST_LABELS`` languages (1000) the most frequent ones are learned; an empty table gives no rows; rows without a label
+are predicted and not trained on; extra columns are dropped by ``identify`` and kept by ``known_language_rows``.
 """
 
 from __future__ import annotations
