@@ -42,7 +42,7 @@ def test_dates_roll_over(spark):
 
 
 def verhoeff(digits):
-    group, turns, c = pii.dihedral(), pii.powers(), 0
+    group, turns, c = pii.GROUP, pii.PLACES, 0
     for i, ch in enumerate(reversed(digits)):
         c = group[c * 10 + turns[i % 8 * 10 + int(ch)]]
     return c == 0
