@@ -1,7 +1,7 @@
 """Tagged structure trees: tables with their rows and cells in reading order.
 
 The walk goes down level by level from the roots; each level is a join of the last one with its children, written to the
-shared folder. What lies above a node is carried along as short arrays (its path of ordinals, the depths of the tables
+shared folder. The children are dealt and sorted by parent once and kept on disk, so a level shuffles its own rows only. What lies above a node is carried along as short arrays (its path of ordinals, the depths of the tables
 and open rows above it), so rows and cells find their table and row by an equi-join on a beginning of their own path, and
 sorting by path is reading order. A node that no root reaches, such as one of a cycle, is never met; the walk ends at
 ``DEEPEST`` levels.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ def walked(nodes: DataFrame, roles: DataFrame | None = None, deepest: int = DEEP
     none = F.array().cast("array<int>")
     level = nodes.filter("parent is null").select("doc", "node", F.array("place").alias("path"), F.lit(0).alias("depth"), "tag", "page", none.alias("tables"), none.alias("rows"), none.alias("cells"))
     kids = nodes.filter("parent is not null").select("doc", c("parent").alias("node"), c("node").alias("kid"), "place", c("tag").alias("kid_tag"), c("page").alias("kid_page"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kids = kids.repartition(parts, "doc", "node").sortWithinPartitions("doc", "node").persist(StorageLevel.DISK_ONLY)
     schema, found = level.schema, None
     for depth in range(deepest + 1):
         level.write.parquet(f"{folder}/level={depth}")
@@ -60,6 +63,7 @@ def walked(nodes: DataFrame, roles: DataFrame | None = None, deepest: int = DEEP
         level = below.join(kids, ["doc", "node"]).select(
             "doc", c("kid").alias("node"), F.concat("path", F.array("place")).alias("path"), "depth", c("kid_tag").alias("tag"), c("kid_page").alias("page"), "tables", "rows", "cells"
         )
+    kids.unpersist()
     return found
 
 
