@@ -66,12 +66,16 @@ def nearest_label(values: DataFrame, labels: DataFrame, most: float | None) -> D
     return joined.groupBy("doc_id", "row", "seq").agg(F.min(F.struct("gap", "label_seq", "label")).alias("m")).select("doc_id", "row", "seq", "m.label", "m.gap")
 
 
-def regions(elements: DataFrame, starts: DataFrame) -> DataFrame:
-    """Each element with the start at or above it that is lowest (as-of by height), or null above the first."""
+def regions(elements: DataFrame, starts: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Each element with the start at or above it that is lowest (as-of by height), or null above the first.
+
+    ``also`` names columns of the elements that come along.
+    """
     marks = starts.select("doc_id", F.col("y0").alias("y"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.col("start_no").alias("start"))
-    rows = elements.select("doc_id", F.col("y0").alias("y"), F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast(starts.schema["start_no"].dataType).alias("start"))
+    rows = elements.select("doc_id", F.col("y0").alias("y"), F.lit(1).alias("kind"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast(starts.schema["start_no"].dataType).alias("start"), *([F.struct(*also).alias("_also")] if also else []))
     order = Window.partitionBy("doc_id").orderBy("y", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.unionByName(rows).withColumn("region", F.max("start").over(order)).filter("kind = 1").select("doc_id", "seq", "region")
+    found = marks.unionByName(rows, allowMissingColumns=True).withColumn("region", F.max("start").over(order)).filter("kind = 1")
+    return found.select("doc_id", "seq", "region", *(["_also.*"] if also else []))
 
 
 def stacked_pairs(lines: DataFrame) -> DataFrame:

@@ -132,9 +132,11 @@ def aligned_values(scopes: DataFrame, keys: Column) -> DataFrame:
     else within 15 points below it. Keys without a label or a value have no row.
     """
     names = [c for c in scopes.columns if c != "elements"]
-    asked = scopes.select(*names, "elements", F.explode(keys).alias("key"))
+    # One text of a scope tells by plain comparisons which keys have a word in it at all.
+    scopes = _fixed(scopes, held=_clean(F.array_join(F.transform("elements", lambda e: e["text"]), "\n")))
+    asked = scopes.select(*names, "elements", "held", F.explode(keys).alias("key"))
     tokens = F.filter(F.split(F.regexp_replace("key", "[-:]", " "), r"\s+"), lambda t: t != "")
-    asked = _fixed(asked, tokens=F.array_distinct(tokens))
+    asked = _fixed(asked, tokens=F.array_distinct(tokens)).filter(F.exists("tokens", lambda t: F.contains(F.col("held"), t))).drop("held")
     asked = _fixed(asked, hits=F.filter("elements", lambda e: F.exists("tokens", lambda t: F.contains(_clean(e["text"]), t)))).filter(F.size("hits") > 0)
     is_name = F.col("key").rlike("CONSUMER|NAME")
     begins = lambda e: ~((F.col("key") == "DATE") & _has(_clean(e["text"]), *NOT_A_DATE)) & ~(is_name & _has(_clean(e["text"]), *NOT_A_NAME))
@@ -171,7 +173,7 @@ def aligned_values(scopes: DataFrame, keys: Column) -> DataFrame:
 def _aligned_map(reports: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Reports with a map ``found`` from key to aligned value."""
     found = aligned_values(reports, F.array(*map(F.lit, keys))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("found"))
-    return reports.join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.expr("cast(map() as map<string, string>)")))
+    return reports.join(found.hint("merge"), "doc_id", "left").withColumn("found", F.coalesce("found", F.expr("cast(map() as map<string, string>)")))
 
 
 def metadata_and_identity(reports: DataFrame) -> DataFrame:
@@ -294,8 +296,10 @@ def account_cards(elements: DataFrame, starts: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("y0", "start_no")
     numbered = starts.select("doc_id", "start_no", "y0", F.upper("text").alias("title")).withColumn("place", F.row_number().over(order))
     stated = F.regexp_extract("title", r"^\b([0-9]+)\.\s*ACCOUNT\b", 1).try_cast("bigint")
-    held = regions(elements, numbered.select("doc_id", "y0", F.col("place").alias("start_no"))).filter("region is not null")
-    cards = elements.join(held, ["doc_id", "seq"]).withColumnRenamed("region", "place")
+    # The as-of window carries the elements along, so nothing is joined back. No side of the other joins is broadcast: what
+    # is exploded from few narrow rows is far larger than its estimate.
+    held = regions(elements, numbered.select("doc_id", "y0", F.col("place").alias("start_no")), also=("page", "x0", "y0", "x1", "y1", "text"))
+    cards = held.filter("region is not null").withColumnRenamed("region", "place")
     whole = cards.filter("text is not null").groupBy("doc_id", "place").agg(_in_order(), F.array_sort(F.collect_set("page")).alias("source_pages"))
     whole = whole.withColumn("card", F.array_join(F.transform("elements", lambda e: e["text"]), "\n"))
 
@@ -312,7 +316,7 @@ def account_cards(elements: DataFrame, starts: DataFrame) -> DataFrame:
     amount = lambda *sources: F.coalesce(*map(amount_digits, sources))
     facility = F.trim(_match(F.col("card"), FACILITY))
     off = lambda word: (inline(f"WRITTEN OFF AMOUNT ({word})"), inline(f"WRITTEN-OFF AMOUNT ({word})"))
-    cards = numbered.join(whole.drop("elements"), ["doc_id", "place"], "left").join(named, ["doc_id", "place"], "left")
+    cards = numbered.join(whole.drop("elements").hint("merge"), ["doc_id", "place"], "left").join(named.hint("merge"), ["doc_id", "place"], "left")
     return cards.select(
         "doc_id", F.coalesce(stated, F.col("place").cast("bigint")).alias("card_no"), F.coalesce(pii.redact_simple(at("first", "TYPE")), F.lit(NO_TYPE)).alias("account_type"), status_of_card(F.col("card")).alias("status"),
         F.coalesce(stamp(r"DATE\s*OPENED|OPENED"), at("first", "DATE OPENED"), at("first", "DATE")).alias("date_opened"), F.coalesce(stamp(r"DATE\s*CLOSED|CLOSED"), at("first", "DATE CLOSED")).alias("date_closed"),

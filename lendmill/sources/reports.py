@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendmill.sources.tables import table
+from lendmill.sources.tables import dealt, table
 
 IDENTITY = (
     ("'Bureau'", 20, 900),
@@ -60,6 +60,6 @@ def report_elements(spark: SparkSession, sf_dir: str, elements: tuple[tuple[str,
 
 
 def card_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card for each order, those of a customer below each other."""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS n")
+    """A card for each order, those of a customer below each other; orders are dealt by customer before they become elements."""
+    rows = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", each=1 << 15).selectExpr("o_custkey AS doc_id", "o_orderkey AS n")
     return rows.selectExpr("doc_id", "CAST(n % 3 + 1 AS INT) AS page", "n", _placed(CARD, "n")).filter("text is not null")

@@ -18,6 +18,24 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows of a narrow table in a dealt piece, about, and pieces for each that is read (which bounds the bytes of long rows).
+PIECE_ROWS, PIECES_A_READ = 1 << 18, 4
+
+
+def pieces(rows: DataFrame, each: int = PIECE_ROWS) -> int:
+    """Into how many pieces the rows of a plain read are dealt: so many that a piece stays as large however many rows there are."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each), PIECES_A_READ * rows.rdd.getNumPartitions())
+
+
+def dealt(rows: DataFrame, *keys: str, each: int = PIECE_ROWS) -> DataFrame:
+    """Rows of a plain read dealt by keys, before they grow: windows and aggregates by the keys need no other shuffle.
+
+    The number of pieces is stated, as Spark joins pieces by the bytes that it has shuffled, which say little of rows that
+    are exploded or widened afterwards.
+    """
+    return rows.repartition(pieces(rows, each), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, else one beside its warehouse.
 
