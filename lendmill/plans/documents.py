@@ -100,7 +100,7 @@ b AS (SELECT *, sum(CASE WHEN before IS NULL OR y0 > before + 20 THEN 1 ELSE 0 E
 SELECT doc_id, page, band::BIGINT AS band, min(y0) AS top, max(y1) AS bottom, count(*) AS elements FROM b GROUP BY ALL""",
 )
 def layout_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.bands(s.elements(spark, sf_dir), 20.0).groupBy("doc_id", "page", "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.count("*").alias("elements"))
+    return layout.bands(s.dealt_elements(spark, sf_dir), 20.0).groupBy("doc_id", "page", "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.count("*").alias("elements"))
 
 
 @query("layout_page_offset", f"{s.WITH} SELECT doc_id, page, height, coalesce(sum(height + 100) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM pages")
@@ -150,7 +150,7 @@ def layout_card_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_card_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    starts = s.elements(spark, sf_dir).filter("is_label").select("doc_id", "y0").distinct()
+    starts = s.dealt_elements(spark, sf_dir).filter("is_label").select("doc_id", "y0").distinct()
     return starts.select("doc_id", F.col("y0").alias("top"), F.lead("y0").over(Window.partitionBy("doc_id").orderBy("y0")).alias("bottom"))
 
 
@@ -159,7 +159,7 @@ def layout_card_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{s.WITH}, n AS (SELECT *, lead(text) OVER w AS value, lead(x0) OVER w AS bx0, lead(x1) OVER w AS bx1 FROM elements WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, seq)) SELECT doc_id, page, seq, text, value FROM n WHERE bx0 < x1 AND bx1 > x0""",
 )
 def layout_stacked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.stacked_pairs(s.elements(spark, sf_dir))
+    return layout.stacked_pairs(s.dealt_elements(spark, sf_dir))
 
 
 @query(
@@ -179,7 +179,7 @@ def layout_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layout_source_pages", f"{s.WITH} SELECT doc_id, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages FROM elements GROUP BY doc_id")
 def layout_source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.elements(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("pages"))
+    return s.dealt_elements(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("pages"))
 
 
 @query("layout_sorted_runs", f"{s.WITH} SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY page, (y0 + y1) / 2, x0, seq) AS place FROM elements")
@@ -187,7 +187,7 @@ def layout_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id").orderBy("page", (F.col("y0") + F.col("y1")) / 2, "x0", "seq")
-    return s.elements(spark, sf_dir).select("doc_id", "seq", F.row_number().over(order).alias("place"))
+    return s.dealt_elements(spark, sf_dir).select("doc_id", "seq", F.row_number().over(order).alias("place"))
 
 
 _OVERLAP = "r.page = g.page AND least(r.{1}, g.{1}) - greatest(r.{0}, g.{0}) > 0.4 * greatest(r.{1} - r.{0}, g.{1} - g.{0})"

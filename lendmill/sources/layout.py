@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmill.sources.tables import select_sql, table
+from lendmill.sources.tables import dealt, select_sql, table
 
 #: A number for each line item that its own values give, so that both engines number alike.
 SEQ = "(l_partkey * 1000003 + l_suppkey * 10007 + CAST(floor(l_extendedprice * 100) AS BIGINT)) % 1000000007"
@@ -54,10 +54,18 @@ SHEET = {
 }
 
 
+_READ = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in ELEMENT.items()))
 
 
+def dealt_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements, dealt by document before they are made."""
+    return dealt(table(spark, sf_dir, "lineitem").select(*_READ), "l_orderkey").selectExpr(*(f"{e} AS {n}" for n, e in ELEMENT.items()))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in LINE.items()))
 
