@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendmill.sources.tables import select_sql, table
+from lendmill.sources.tables import pieces, select_sql, table
 
 _TYPES = ("Credit Card", "Used Car Loan", "Housing Loan", "Kisan Credit Card", "Tractor Loan", "Business Loan - Secured", "Consumer Loan", "Personal Loan", "AUTO LOAN (PERSONAL)", "Gold Loan", "  ", "Two-wheeler Loan")
 _PRICE = "CAST(floor(o_totalprice) AS BIGINT)"
@@ -59,8 +59,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payment cell for each line; both sides are dealt by account, which windows and aggregates by account share."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    many = pieces(lines)
+    lines, orders = lines.repartition(many, "l_orderkey"), orders.repartition(many, "o_orderkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(*(f"{e} AS {n}" for n, e in CELL.items()))
 
 
