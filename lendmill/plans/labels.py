@@ -9,8 +9,10 @@ from lendmill.operators import labels, relational
 from lendmill.registry import query
 from lendmill.sources import layout as s
 from lendmill.sources.layout import block_json
-from lendmill.sources.tables import select_sql, table, texts
+from lendmill.sources.tables import dealt, pieces, select_sql, table, texts
 
+#: Documents in a dealt piece, about.
+DOCUMENTS = 1 << 11
 _N = "CAST(l_partkey % 9000 + 1000 AS STRING)"
 
 
@@ -18,11 +20,15 @@ def _kind(kinds: list) -> str:
     return f"(l_partkey + l_suppkey * 5) % {len(kinds)}"
 
 
+def _dealt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"), "l_orderkey")
+
+
 def _lines(spark: SparkSession, sf_dir: str, kinds: list[tuple[str, ...]]) -> DataFrame:
-    """Lines of three cells: the kind of each by key arithmetic."""
+    """Lines of three cells, dealt by document before they are made: the kind of each by key arithmetic."""
     cells = [[*cells, *["''"] * (3 - len(cells))] for cells in kinds]
     shown = [f"CASE {_kind(kinds)} " + " ".join(f"WHEN {k} THEN {c[i]}" for k, c in enumerate(cells)) + f" END AS s{i}" for i in range(3)]
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", f"{s.SEQ} AS line_no", *shown)
+    rows = _dealt_items(spark, sf_dir).selectExpr("l_orderkey AS doc_id", f"{s.SEQ} AS line_no", *shown)
     return rows.select("doc_id", "line_no", F.array("s0", "s1", "s2").alias("segs"))
 
 
@@ -91,6 +97,11 @@ def _grid(place: int, part: int) -> str:
     return f"CASE kind {' '.join(f'WHEN {k} THEN {cells[place][part]}' for k, cells in enumerate(_GRID))} END"
 
 
+def _document_pieces(spark: SparkSession, sf_dir: str) -> int:
+    """Documents are dealt in pieces of so many at most, as ids and counts of lines are small and their lines are not."""
+    return pieces(table(spark, sf_dir, "documents"), DOCUMENTS)
+
+
 _NAMES = list(dict.fromkeys(labels.EMPLOYEE.values()))
 _GRID_SQL = f"""
 WITH l AS (SELECT {_GRID_LINES} FROM (SELECT doc_id, CAST(doc_id % 9000 + 1000 AS VARCHAR) AS n, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))) + 6)) AS i FROM documents)),
@@ -123,7 +134,7 @@ def payslip_employee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The employee block of grid slips, one for each document: values beside, below and in both."""
     count = F.size(F.split(F.coalesce("text", F.lit("")), "\n")) + 6
     # Dealt before the lines are made: windows and aggregates by document need no other shuffle.
-    docs = texts(spark, sf_dir, "documents").select("doc_id", count.alias("many")).repartition("doc_id")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", count.alias("many")).repartition(_document_pieces(spark, sf_dir), "doc_id")
     docs = docs.select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"))
     rows = docs.selectExpr(*(x.strip() for x in _GRID_LINES.replace("i // 5", "i div 5").replace("i // 4", "i div 4").split(", ")))
     cells = F.array(*(F.expr(_grid(k, 0)) for k in range(3)))
@@ -226,7 +237,7 @@ def _detail_sql() -> str:
 def income_slot_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The named fields of each sheet's heads, and how a house is held."""
     held = "CASE l_partkey % 5 WHEN 0 THEN 'Self-Occupied flat' WHEN 1 THEN 'flat let out' ELSE 'flat' END AS held"
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", f"{s.SEQ} AS line_no", f"{_of_component(0)} AS head", f"{_of_component(1)} AS label", f"{_PAISE} AS paise", held)
+    rows = _dealt_items(spark, sf_dir).selectExpr("l_orderkey AS doc_id", f"{s.SEQ} AS line_no", f"{_of_component(0)} AS head", f"{_of_component(1)} AS label", f"{_PAISE} AS paise", held)
     return labels.head_details(rows, rows.select("doc_id", "line_no", F.col("held").alias("label")))
 
 
@@ -340,7 +351,7 @@ def income_relational_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole nested document of a sheet for each document."""
     count = F.size(F.split(F.coalesce("text", F.lit("")), "\\n")) + 9
     # Dealt before the lines are made: windows and aggregates by document need no other shuffle.
-    docs = texts(spark, sf_dir, "documents").select("doc_id", count.alias("many")).repartition("doc_id")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", count.alias("many")).repartition(_document_pieces(spark, sf_dir), "doc_id")
     docs = docs.select("doc_id", (F.col("doc_id") % 9000 + 1000).cast("string").alias("n"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"))
     rows = docs.selectExpr(*(x.strip() for x in _RELATED_LINES.replace(" // ", " div ").split(", ")))
     cells = F.array(*(F.expr(f"CASE kind {' '.join(f'WHEN {k} THEN {c[i]}' for k, (c, _) in enumerate(_RELATED) if i < len(c))} ELSE '' END") for i in range(3)))
