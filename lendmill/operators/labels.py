@@ -74,8 +74,17 @@ def longest_first(labels: dict[str, str]) -> list[str]:
 
 def label_of(cell: Column, labels: dict[str, str]) -> Column:
     """The longest label that a cell is or begins with, colons and case aside."""
-    text = F.trim(F.regexp_replace(F.trim(F.upper(cell)), ":+$", ""))
-    return F.coalesce(*(F.when(text.startswith(label), label) for label in longest_first(labels)))
+    return label_at(plain_cell(cell), labels)
+
+
+def plain_cell(cell: Column) -> Column:
+    """A cell in capitals without spaces and colons at its ends."""
+    return F.trim(F.rtrim(F.trim(F.upper(cell)), F.lit(":")))
+
+
+def label_at(plain: Column, labels: dict[str, str]) -> Column:
+    """The longest label that a plain cell begins with; a column of a row, so that it is made once and not once a label."""
+    return F.coalesce(*(F.when(plain.startswith(label), label) for label in longest_first(labels)))
 
 
 def _field(label: Column, labels: dict[str, str]) -> Column:
@@ -112,16 +121,18 @@ def employee(lines: DataFrame) -> DataFrame:
     c = F.col
     placed = "boxes" in lines.columns
     rows = lines.withColumn("text", line_text(c("segs")))
+    # What a line's text holds is looked for once a line, not once a cell.
+    rows = rows.withColumn("capitals", F.upper("text"))
+    rows = rows.withColumns({"line_pan": _found(c("capitals"), PAN), "line_uan": F.when(F.contains("capitals", F.lit("UAN")), _found(c("text"), UAN))})
     if placed:
         following = F.lead(F.struct("page", "segs", "boxes")).over(Window.partitionBy("doc_id").orderBy("line_no"))
-        plain = lambda cell: F.trim(F.regexp_replace(F.trim(F.upper(cell)), ":+$", ""))
-        rows = rows.withColumns({"following": following, "plain": F.transform("segs", plain)})
+        rows = rows.withColumns({"following": following, "plain": F.transform("segs", plain_cell)})
     kept = ["page", "boxes", "following", "plain"] if placed else []
-    cells = rows.select("doc_id", "line_no", "text", "segs", *kept, F.posexplode("segs").alias("place", "cell"))
-    label = label_of(c("cell"), EMPLOYEE)
+    cells = rows.select("doc_id", "line_no", "line_pan", "line_uan", "segs", *kept, F.posexplode("segs").alias("place", "cell"))
+    cells = cells.withColumn("own_plain", plain_cell(c("cell"))).withColumn("label", label_at(c("own_plain"), EMPLOYEE))
     tail = F.trim(F.regexp_extract("cell", "(?s)^[^:]*:(.*)$", 1))
     later = F.filter(F.transform(F.slice("segs", c("place") + 2, F.size("segs")), lambda x: F.trim(F.regexp_replace(F.trim(x), "^:+", ""))), lambda x: x != "")
-    beside = F.when(tail != "", tail).otherwise(F.get(later, F.lit(0)))
+    beside = F.when(c("label").isNotNull(), F.when(tail != "", tail).otherwise(F.get(later, F.lit(0))))
     below = F.lit(None).cast("string")
     if placed:
         own = F.get("boxes", c("place"))
@@ -129,16 +140,16 @@ def employee(lines: DataFrame) -> DataFrame:
         meets = lambda u: (own["x"] < u["box"]["x"] + u["box"]["width"]) & (u["box"]["x"] < own["x"] + own["width"]) & (F.trim(u["seg"]) != "")
         first_alone = (F.array_position("plain", c("label")) == c("place") + 1) & (c("following.page") == c("page"))
         below = F.when(first_alone, F.trim(F.get(F.filter(under, meets), F.lit(0))["seg"]))
-    named = cells.withColumn("label", label).withColumn("field", _field(c("label"), EMPLOYEE))
-    value = F.when(c("label").isNotNull(), F.coalesce(beside, below)).alias("value")
+    named = cells.withColumn("beside", beside)
+    value = F.when(c("label").isNotNull(), F.coalesce(c("beside"), below)).alias("value")
     # A value below counts only where no cell of the line gives the label one beside it.
-    at = F.struct("line_no", (-F.length("label")).alias("shorter"), beside.isNull().alias("below"), "place").alias("at")
-    named = named.select("doc_id", "line_no", "text", "field", value, at)
+    at = F.struct("line_no", (-F.length("label")).alias("shorter"), c("beside").isNull().alias("below"), "place").alias("at")
+    first_cell = lambda x: F.when(c("place") == 0, c(x)).alias(x)
+    named = named.select("doc_id", "line_no", first_cell("line_pan"), first_cell("line_uan"), _field(c("label"), EMPLOYEE).alias("field"), value, at)
     first = lambda name: F.min_by("value", F.when((c("field") == name) & c("value").isNotNull(), c("at")))
-    pan, uan = F.upper(_found(F.upper(c("text")), PAN)), _found(c("text"), UAN)
-    other = lambda x: F.min_by(x, F.when(x.isNotNull(), c("line_no")))
+    other = lambda x: F.min_by(x, F.when(c(x).isNotNull(), c("line_no")))
     names = list(dict.fromkeys(EMPLOYEE.values()))
-    found = named.groupBy("doc_id").agg(*(first(n).alias(n) for n in names), other(pan).alias("other_pan"), other(uan).alias("other_uan"))
+    found = named.groupBy("doc_id").agg(*(first(n).alias(n) for n in names), other("line_pan").alias("other_pan"), other("line_uan").alias("other_uan"))
     return found.withColumns({"pan": F.coalesce("pan", "other_pan"), "uan": F.coalesce("uan", "other_uan")}).drop("other_pan", "other_uan")
 
 
@@ -189,20 +200,23 @@ def deductions(lines: DataFrame) -> DataFrame:
     closes. Gross and deductible come from the amounts of the first line with the same text: none, one, or the first
     and the last.
     """
-    text = line_text(F.col("segs"))
     heading = F.lit(False)
     for word in DEDUCTIONS:
-        heading = heading | F.contains(squashed(text), F.lit(word.replace(" ", "")))
+        heading = heading | F.contains("squashed", F.lit(word.replace(" ", "")))
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select("doc_id", "line_no", "segs", text.alias("text"), heading.alias("heading"), F.when(heading, True).when(F.contains(F.upper(text), F.lit("TOTAL INCOME")), False).alias("marker"))
-    rows = rows.withColumn("inside", F.coalesce(F.last("marker", ignorenulls=True).over(order), F.lit(False))).withColumn("section", section_code(F.upper("text")))
+    rows = lines.filter("doc_id is not null").select("doc_id", "line_no", "segs", line_text(F.col("segs")).alias("text"))
+    rows = rows.withColumns({"upper": F.upper("text"), "squashed": squashed(F.col("text"))}).withColumn("heading", heading)
+    rows = rows.withColumns({"marker": F.when(F.col("heading"), True).when(F.contains("upper", F.lit("TOTAL INCOME")), False), "section": section_code(F.col("upper"))})
+    rows = rows.withColumn("inside", F.coalesce(F.last("marker", ignorenulls=True).over(order), F.lit(False)))
+    # Equal texts are headings and have sections alike, so the first line with an item's text is an item's line too.
+    rows = rows.filter("not heading and section is not null and not (section like '87%' or section like '89%')")
     amounts = F.filter(F.transform(F.slice("segs", F.lit(2), F.greatest(F.size("segs"), F.lit(1))), lambda c: money.money(c)), lambda x: x.isNotNull())
-    at = F.instr(F.upper("text"), F.col("section"))
+    at = F.instr(F.col("upper"), F.col("section"))
     behind = money.first_money(F.col("text"), F.when(at > 0, at + F.length("section") - 1).otherwise(0))
-    amount = F.when(F.size(amounts) > 0, F.element_at(amounts, -1)).otherwise(behind)
-    items = rows.filter("not heading and section is not null and not (section like '87%' or section like '89%')").withColumn("amount", amount).filter("amount is not null or inside")
-    first = rows.groupBy("doc_id", "text").agg(F.min_by(amounts, "line_no").alias("found"))
-    joined = items.join(first, ["doc_id", "text"])
+    amount = F.when(F.size("amounts") > 0, F.element_at("amounts", -1)).otherwise(behind)
+    same = Window.partitionBy("doc_id", "text").orderBy(F.col("line_no").asc_nulls_last())
+    rows = rows.withColumn("amounts", amounts).withColumn("found", F.first("amounts").over(same))
+    joined = rows.withColumn("amount", amount).filter("amount is not null or inside")
     deductible = F.when(F.size("found") == 0, F.col("amount")).otherwise(F.element_at("found", -1))
     return joined.select("doc_id", "line_no", "section", F.get("segs", F.lit(0)).alias("label"), "amount", F.when(F.size("found") > 1, F.get("found", F.lit(0))).alias("gross"), deductible.alias("deductible"))
 
