@@ -41,11 +41,18 @@ ODD = r"\\uc0*(?:[2-9]|[1-9][0-9])|\\u-?[0-9]* ?\\u(?![A-Za-z])"
 LITERAL, OPENS, CLOSES, BREAK, BYTE, CODE, FALLBACKS, HIDES, ROW, CELL, ESCAPED, OTHER = range(12)
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """(doc, pos, token, kind, value, units) of (doc, text); units are what a fall-back counts, value a control's number."""
+def _dealt(rows: DataFrame, pieces: int | None) -> DataFrame:
+    return rows.repartition("doc") if pieces is None else rows.repartition(pieces, "doc")
+
+
+def tokens(texts: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(doc, pos, token, kind, value, units) of (doc, text); units are what a fall-back counts, value a control's number.
+
+    With ``pieces`` texts are dealt into so many; without it Spark joins small ones by bytes, which tokens far outgrow.
+    """
     token, word = F.col("token"), F.col("word")
     # Texts are dealt by document before they are exploded: the tokens keep that partitioning for all windows.
-    rows = texts.repartition("doc").select("doc", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    rows = _dealt(texts, pieces).select("doc", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     rows = rows.withColumn("word", F.when(token.startswith("\\"), F.regexp_extract(token, r"^\\([A-Za-z]+)", 1)).otherwise(""))
     kind = (
         F.when(token == "{", OPENS).when(token == "}", CLOSES).when(token.rlike("^[\r\n]"), BREAK).when(~token.startswith("\\"), LITERAL)
@@ -60,10 +67,10 @@ def tokens(texts: DataFrame) -> DataFrame:
     return rows.select("doc", "pos", "token", "kind", value.alias("value"), units.alias("units"))
 
 
-def _counted(texts: DataFrame) -> DataFrame:
+def _counted(texts: DataFrame, pieces: int | None = None) -> DataFrame:
     """Tokens with the units before and behind them and the fall-backs that hold."""
     along = Window.partitionBy("doc").orderBy("pos")
-    rows = tokens(texts).withColumn("end", F.sum("units").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = tokens(texts, pieces).withColumn("end", F.sum("units").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     held = F.last(F.when(F.col("kind") == FALLBACKS, F.col("value")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumns({"start": F.col("end") - F.col("units"), "uc": F.coalesce(held, F.lit(1))})
 
@@ -114,16 +121,16 @@ def _runs(rows: DataFrame) -> DataFrame:
     return cells.withColumn("row_no", F.dense_rank().over(Window.partitionBy("doc").orderBy("line")).cast("long"))
 
 
-def text_runs(texts: DataFrame) -> DataFrame:
+def text_runs(texts: DataFrame, pieces: int | None = None) -> DataFrame:
     """(doc, row_no, column, text, x, y, width, height) of (doc, text): the trimmed cells that are not empty."""
     c = F.col
     odd = F.coalesce(c("text").rlike(ODD), F.lit(False))
-    usual = _counted(texts.filter(~odd)).withColumn("done", c("kind") == CODE)
-    rare = _counted(texts.filter(odd))
+    usual = _counted(texts.filter(~odd), pieces).withColumn("done", c("kind") == CODE)
+    rare = _counted(texts.filter(odd), pieces)
     codes = rare.filter(c("kind") == CODE).select("doc", c("pos").alias("place"), "start", (c("end") + c("uc")).alias("limit"))
     marks = picked(codes, ["doc"], "start", "limit").select("doc", c("place").alias("pos"), F.lit(True).alias("mark"))
     # Marks come to their tokens by a union, after which one shuffle by document serves all windows.
-    marked = rare.unionByName(marks, allowMissingColumns=True).repartition("doc")
+    marked = _dealt(rare.unionByName(marks, allowMissingColumns=True), pieces)
     done = F.coalesce(F.max("mark").over(Window.partitionBy("doc", "pos")), F.lit(False))
     rare = marked.withColumn("done", done).filter("token is not null").select(*usual.columns)
     cells = _runs(placed(usual)).unionByName(_runs(placed(rare)))

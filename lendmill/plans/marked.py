@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lendmill.operators import codemaps, nested, rtf, schema, structure
 from lendmill.registry import query
-from lendmill.sources.tables import table, texts
+from lendmill.sources.tables import pieces, table, texts
 
+#: Documents in a dealt piece, about: their tokens and pieces are many times as large as their texts.
+DOCUMENTS = 1 << 11
 #: Rich text of a document: sentences are cells and lines are rows, between groups of every kind; some are broken.
 #: ~Q~ is a quotation mark, which the two engines escape in their own ways.
 _BODY = r"""replace(replace(replace(replace(replace(replace(coalesce(text, ''), '\', '\\'), '{', '\{'), '}', '\}'), '. ', '.\cell '), chr(10), '\par' || chr(10)), ', ', ',{\b\tab}')"""
@@ -75,7 +77,7 @@ FROM c WHERE text <> ''
 def src_rtf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of rich text made from every document."""
     source = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.expr(_SOURCE.replace("\\", "\\\\").replace("~Q~", "\\'")).alias("text"))
-    return rtf.text_runs(source)
+    return rtf.text_runs(source, pieces(table(spark, sf_dir, "documents"), DOCUMENTS))
 
 
 #: Nodes of a document's tree made from its lines: three cells a row, three rows a table, with heads, tables in cells, tags
@@ -224,13 +226,13 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pii_mask_nested", f"SELECT doc_id, sha256({_record('to_json', **_MASKED_RECORD)}) AS masked_sha256 FROM documents")
 def pii_mask_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records of all documents masked by name at every depth."""
-    return nested.masked(_records(spark, sf_dir), nested.by_name).select(F.col("id").alias("doc_id"), F.sha2("json", 256).alias("masked_sha256"))
+    return nested.masked(_records(spark, sf_dir), nested.by_name, pieces(table(spark, sf_dir, "documents"), DOCUMENTS)).select(F.col("id").alias("doc_id"), F.sha2("json", 256).alias("masked_sha256"))
 
 
 @query("pii_redact_nested")
 def pii_redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records of all documents without identifiers, names too; lookbehind as in pii_redact_lookaround."""
-    return nested.masked(_records(spark, sf_dir), nested.everywhere).select(F.col("id").alias("doc_id"), F.col("json").alias("redacted"))
+    return nested.masked(_records(spark, sf_dir), nested.everywhere, pieces(table(spark, sf_dir, "documents"), DOCUMENTS)).select(F.col("id").alias("doc_id"), F.col("json").alias("redacted"))
 
 
 # A computation for each document, with the document's lines as the segments of its raw line.
