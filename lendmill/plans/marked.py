@@ -11,6 +11,8 @@ from lendmill.sources.tables import pieces, table, texts
 
 #: Documents in a dealt piece, about: their tokens and pieces are many times as large as their texts.
 DOCUMENTS = 1 << 11
+#: The same of trees, which are walked level by level, a task a piece each: about 27 nodes a document of ten lines.
+TREES = 1 << 13
 #: Rich text of a document: sentences are cells and lines are rows, between groups of every kind; some are broken.
 #: ~Q~ is a quotation mark, which the two engines escape in their own ways.
 _BODY = r"""replace(replace(replace(replace(replace(replace(coalesce(text, ''), '\', '\\'), '{', '\{'), '}', '\}'), '. ', '.\cell '), chr(10), '\par' || chr(10)), ', ', ',{\b\tab}')"""
@@ -98,6 +100,30 @@ UNION ALL SELECT doc, 'Y', 'X', 0, 'TR', 1, 'y' FROM s WHERE i = 0 AND doc % 6 =
 UNION ALL SELECT doc, concat('E', CAST(t AS STRING)), concat('T', CAST(t AS STRING)), 90000 + i, 'TR', CAST(NULL AS INT), 'no cells' FROM s WHERE i % 9 = 0 AND doc % 4 = 0
 """
 _LINES = "CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) // 9 AS t, CAST(i AS BIGINT) // 3 AS r"
+#: Those of one line, as the SQL above has them, for one pass over the lines: when, and a node's columns.
+_OF_LINE = [
+    ("i = 0", "'Z'", "NULL", "0", "'StructTreeRoot'", "NULL", "NULL"),
+    ("i = 0", "'S'", "'Z'", "0", "'Sect'", "NULL", "''"),
+    ("i % 9 = 0", "concat('T', t)", "CASE WHEN t % 4 = 3 THEN concat('C', i - 1) ELSE 'S' END", "i", "CASE WHEN doc % 5 = 0 THEN 'Tabelle' ELSE 'Table' END", "CASE WHEN t % 3 = 0 THEN 100 + t END", "''"),
+    ("i % 9 = 0", "concat('H', t)", "concat('T', t)", "0", "'THead'", "NULL", "'head text'"),
+    ("i % 3 = 0", "concat('R', r)", "CASE WHEN i % 9 = 0 THEN concat('H', t) ELSE concat('T', t) END", "i", "'TR'", "NULL", "NULL"),
+    ("true", "concat('C', i)", "concat('R', r)", "2 - i % 3", "CASE WHEN i % 9 < 2 THEN 'TH' ELSE 'TD' END", "NULL", "CASE WHEN i % 7 = 0 THEN '  own ' END"),
+    ("i % 11 <> 5", "concat('M', i)", "concat('C', i)", "1", "'MC'", "1 + i % 4", "line"),
+    ("i = 0 AND doc % 6 = 0", "'X'", "'Y'", "0", "'Table'", "1", "'x'"),
+    ("i = 0 AND doc % 6 = 0", "'Y'", "'X'", "0", "'TR'", "1", "'y'"),
+    ("i % 9 = 0 AND doc % 4 = 0", "concat('E', t)", "concat('T', t)", "90000 + i", "'TR'", "NULL", "'no cells'"),
+]
+_TYPES = {"node": "STRING", "parent": "STRING", "ordinal": "BIGINT", "tag": "STRING", "page": "BIGINT", "text": "STRING"}
+
+
+def _nodes(lines: DataFrame, columns: str) -> DataFrame:
+    """Nodes with the named columns of lines (doc, i), which have ``line`` where texts are asked for."""
+    rows = lines.selectExpr("doc", *(["line"] if "line" in lines.columns else []), *(x.replace(" // ", " div ") for x in _LINES.split(", ")))
+    at = [list(_TYPES).index(n) + 1 for n in columns.split()]
+    made = (f"CASE WHEN {kind[0]} THEN named_struct(" + ", ".join(f"'{n}', CAST({kind[k]} AS {_TYPES[n]})" for n, k in zip(columns.split(), at, strict=True)) + ") END" for kind in _OF_LINE)
+    return rows.selectExpr("doc", f"inline(array({', '.join(made)}))").filter("node IS NOT NULL")
+
+
 TREE_SQL = f"""
 WITH RECURSIVE s AS (SELECT doc_id AS doc, line, {_LINES} FROM (
     SELECT doc_id, unnest(g) AS line, generate_subscripts(g, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS g FROM documents))),
@@ -126,12 +152,14 @@ FROM r JOIN e ON e.doc = r.doc AND e.tbl = r.tbl LEFT JOIN g ON g.doc = r.doc AN
 @query("src_tagged_tables", TREE_SQL)
 def src_tagged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the tables of structure trees made from every document's lines."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(lines).alias("i", "line"))
-    rows = rows.selectExpr("doc", "line", *(x.replace(" // ", " div ") for x in _LINES.split(", ")))
-    nodes = spark.sql(_NODES.replace("FROM s", "FROM {s}"), s=rows)
-    roles = nodes.select("doc").distinct().select("doc", F.lit("Tabelle").alias("tag"), F.lit(structure.TABLE).alias("role"))
-    return structure.tables(structure.walked(nodes, roles), nodes)
+    documents, lines = table(spark, sf_dir, "documents"), F.split(F.coalesce("text", F.lit("")), "\n")
+    dealt = pieces(documents, TREES, 1)
+    # Trees are made from numbers of lines, so only the texts' own pass has lines as rows.
+    counted = documents.select(F.col("doc_id").alias("doc"), F.size(lines).alias("n")).repartition(dealt, "doc")
+    nodes = _nodes(counted.select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")), "node parent ordinal tag page")
+    said = _nodes(texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(lines).alias("i", "line")), "node text")
+    roles = documents.select(F.col("doc_id").alias("doc")).distinct().select("doc", F.lit("Tabelle").alias("tag"), F.lit(structure.TABLE).alias("role"))
+    return structure.tables(structure.walked(nodes, roles, pieces=dealt), said, dealt)
 
 
 #: A map for each nation: single codes and ranges that overlap, lists longer than their range, bad numbers; some have none.

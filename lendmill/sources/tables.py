@@ -22,9 +22,9 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PIECE_ROWS, PIECES_A_READ = 1 << 18, 4
 
 
-def pieces(rows: DataFrame, each: int = PIECE_ROWS) -> int:
+def pieces(rows: DataFrame, each: int = PIECE_ROWS, a_read: int = PIECES_A_READ) -> int:
     """Into how many pieces the rows of a plain read are dealt: so many that a piece stays as large however many rows there are."""
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each), PIECES_A_READ * rows.rdd.getNumPartitions())
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each), a_read * rows.rdd.getNumPartitions())
 
 
 def dealt(rows: DataFrame, *keys: str, each: int = PIECE_ROWS) -> DataFrame:
