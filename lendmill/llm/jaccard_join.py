@@ -60,6 +60,8 @@ HALF_DOCS, HALF_SHINGLES = 1024, 2 << 20
 #: Pivots of a region that is cut across tasks (on average), rounds of cutting, and members that its open cells may have
 #: together for each of its own before it is split into blocks instead.
 PIVOTS, ROUNDS, GROWN = 8, 5, 1.5
+#: Rows of a table of large regions or of their pivots that is broadcast, and parts of each key where it is longer.
+FEW, SALTS = 1 << 16, 64
 #: Two documents within it are linked, and the window of the triangle inequality.
 THRESHOLD = (100 - PERCENT) / 100 + 1e-9
 
@@ -385,11 +387,17 @@ def _region_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": keys[joined], "v": keys[roots[joined]]})
 
 
-def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Join with a row for each key in ``small``; the rows of a key are spread over all partitions."""
-    salts = shuffle_partitions(rows.sparkSession)
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.expr(f"pmod(xxhash64(x), {salts})").cast("int")).join(spread, [*keys, "_salt"]).drop("_salt")
+def _spread(rows: DataFrame, small: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Join with a row for each key in ``small``; the rows of a key stay spread over many tasks.
+
+    ``small`` has rows for large regions or their pivots only, a few for each thousand documents, and is broadcast where
+    they are at most FEW. Otherwise its rows are repeated for each salt; those never are broadcast, as Spark's estimate of
+    exploded rows leaves the salts out.
+    """
+    if few:
+        return rows.join(F.broadcast(small), keys, how)
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return rows.withColumn("_salt", F.expr(f"pmod(xxhash64(x), {SALTS})").cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
 def _measured(docs: pa.Table, pivots: pa.Table) -> pa.Table:
@@ -420,7 +428,7 @@ def _measured(docs: pa.Table, pivots: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for (name, c), kind in zip(out.items(), kinds, strict=True)})
 
 
-def _still_open(cells: DataFrame) -> DataFrame:
+def _still_open(cells: DataFrame, few: bool) -> DataFrame:
     """Members of cells that may have a link which the pivots have not shown.
 
     A cell owes the links of its home documents with all its members, but for pairs that are both linked with the pivot.
@@ -432,18 +440,18 @@ def _still_open(cells: DataFrame) -> DataFrame:
     owed = {"hu": ("hu", "hs", "vu", "vs"), "hs": ("hu", "vu"), "vu": ("hu", "hs"), "vs": ("hu",)}
     near = {g: " or ".join(f"({o}_low <= d + {THRESHOLD} and {o}_high >= d - {THRESHOLD})" for o in some) for g, some in owed.items()}
     stays = " or ".join(f"(({groups[g]}) and ({e}))" for g, e in near.items())
-    return _salted(cells.filter("not settled"), stats, ["p", "pivot"]).filter(f"m > 1 and coalesce({stays}, false)")
+    return _spread(cells.filter("not settled"), stats, ["p", "pivot"], few).filter(f"m > 1 and coalesce({stays}, false)")
 
 
 def _blocks() -> F.Column:
     return F.greatest(F.ceil(F.count("*") / HALF_DOCS), F.ceil(F.sum("n") / HALF_SHINGLES)).cast("int")
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, few: bool) -> DataFrame:
     """Regions in blocks, a task for every pair of blocks but for pairs whose documents are all linked with one pivot."""
     sizes = rows.groupBy("p", "linked").agg(_blocks().alias("blocks"))
     both = sizes.groupBy("p").agg(F.coalesce(F.max(F.when(~F.col("linked"), F.col("blocks"))), F.lit(0)).alias("open"), F.coalesce(F.max(F.when(F.col("linked"), F.col("blocks"))), F.lit(0)).alias("tied"))
-    dealt = _salted(rows, both.filter("open > 0"), ["p"]).withColumn("own", F.expr("pmod(xxhash64(x, 1), if(linked, tied, open)) + if(linked, open, 0)").cast("int"))
+    dealt = _spread(rows, both.filter("open > 0"), ["p"], few).withColumn("own", F.expr("pmod(xxhash64(x, 1), if(linked, tied, open)) + if(linked, open, 0)").cast("int"))
     other = F.expr("if(linked, sequence(0, open - 1), sequence(0, open + tied - 1))")
     return dealt.withColumn("other", F.explode(other)).select("x", "p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -454,21 +462,23 @@ def cut_regions(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[Data
     large = checkpointed(pairs.groupBy("p").agg(_blocks().alias("blocks"), F.count("*").alias("m")).filter("blocks > 2"))
     if large.isEmpty():
         return one(pairs), []
-    rows = checkpointed(_salted(pairs.withColumn("linked", F.lit(False)), large, ["p"]))
-    # The regions that fit a task: a salted anti join.
-    fits = pairs.groupBy("p").agg(_blocks().alias("blocks")).filter("blocks <= 2").select("p")
-    tasks, links = [checkpointed(one(_salted(pairs, fits, ["p"])))], []
+    few = large.count() <= FEW
+    rows = checkpointed(_spread(pairs.withColumn("linked", F.lit(False)), large, ["p"], few))
+    # The regions that fit a task are all others; they are many, so it is the large ones that are told to the tasks.
+    tasks, links = [checkpointed(one(_spread(pairs, large.select("p"), ["p"], few, "left_anti")))], []
     for number in range(ROUNDS):
         drawn = rows.filter(F.expr(f"pmod(xxhash64(x, {number + 2}), m) < {PIVOTS}")).select("x", "p", "blocks")
         drawn = drawn.unionByName(rows.groupBy("p").agg(F.min("x").alias("x"), F.first("blocks").alias("blocks")).select("x", "p", "blocks")).distinct()
+        drawn = checkpointed(drawn)
+        few = drawn.count() <= FEW  # each region has a pivot, and each cell is a pivot's
         pivots = drawn.join(sets, "x").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("x", "p", "own", "shingles").toDF("x", "q", "at", "shingles")
         members = rows.withColumn("own", F.expr("pmod(xxhash64(x, 1), blocks)").cast("int")).join(sets, "x").select("x", "p", "own", "shingles").toDF("x", "p", "own", "shingles")
         cells = members.groupBy("p", "own").cogroup(pivots.groupBy("q", "at")).applyInArrow(
             _measured, "x long, p long, n int, pivot long, d double, linked boolean, home boolean, settled boolean"
         )
-        cells = checkpointed(_salted(cells, rows.groupBy("p").agg(F.first("m").alias("above")), ["p"]))
+        cells = checkpointed(_spread(cells, rows.groupBy("p").agg(F.first("m").alias("above")), ["p"], few))
         links.append(cells.filter("linked and x <> pivot").select(F.col("x").alias("u"), F.col("pivot").alias("v")))
-        opened = _still_open(cells).select("x", F.col("p").alias("q"), F.xxhash64("p", "pivot", F.lit(number)).alias("p"), "n", "linked", "above")
+        opened = _still_open(cells, few).select("x", F.col("p").alias("q"), F.xxhash64("p", "pivot", F.lit(number)).alias("p"), "n", "linked", "above")
         opened = checkpointed(opened)
         last = number + 1 == ROUNDS
         whole = opened.groupBy("q").agg(F.count("*").alias("m"), F.first("above").alias("above"))
@@ -476,14 +486,14 @@ def cut_regions(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[Data
         # Regions that are not parted: blocks, and who is linked with the pivot of the most links.
         counts = cells.filter("linked").groupBy("p", "pivot").count().groupBy("p").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("best"))
         kept = parted.filter("not parted").select(F.col("q").alias("p")).join(counts, "p")
-        star = _salted(cells.filter("linked").select("x", "p", "pivot"), kept, ["p"]).filter("pivot = best").select("x", "p", F.lit(True).alias("star"))
-        stuck = _salted(rows.select("x", "p", "n"), kept.select("p"), ["p"]).join(star, ["x", "p"], "left")
-        tasks.append(checkpointed(_in_blocks(checkpointed(stuck.select("x", "p", "n", F.coalesce("star", F.lit(False)).alias("linked"))))))
+        star = _spread(cells.filter("linked").select("x", "p", "pivot"), kept, ["p"], few).filter("pivot = best").select("x", "p", F.lit(True).alias("star"))
+        stuck = _spread(rows.select("x", "p", "n"), kept.select("p"), ["p"], few).join(star, ["x", "p"], "left")
+        tasks.append(checkpointed(_in_blocks(checkpointed(stuck.select("x", "p", "n", F.coalesce("star", F.lit(False)).alias("linked"))), few)))
         # Cells of the others: tasks where they fit one, else they are cut again.
-        going = _salted(opened.drop("above"), parted.filter("parted").select("q"), ["q"]).select("x", "p", "n", "linked")
+        going = _spread(opened.drop("above"), parted.filter("parted").select("q"), ["q"], few).select("x", "p", "n", "linked")
         going = checkpointed(going)
         sizes = going.groupBy("p").agg(_blocks().alias("blocks"), F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("open"))
-        sized = checkpointed(_salted(going, sizes.filter("open > 0"), ["p"]))
+        sized = checkpointed(_spread(going, sizes.filter("open > 0"), ["p"], few))
         tasks.append(one(sized.filter("blocks <= 2")))
         rows = sized.filter("blocks > 2").select("x", "p", "n", "linked", "blocks", "m")
         if last or rows.isEmpty():
@@ -524,7 +534,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = checkpointed(_marked(docs, bitmap_of(pairs.select("x"))))
     sets = marked.filter("shingles is not null").select(F.col("key").alias("x"), "shingles").dropDuplicates(["x"])
     tasks, found = cut_regions(pairs, sets)
-    links = tasks.join(sets, "x").groupBy("p", "i", "j").applyInArrow(_region_links, "u long, v long")
+    # Rows of blocks repeat a document and take few bytes in a file, but many in memory: no broadcast by the file's size.
+    links = tasks.hint("merge").join(sets, "x").groupBy("p", "i", "j").applyInArrow(_region_links, "u long, v long")
     for more in found:
         links = links.unionByName(more)
     connected = components(links.distinct())

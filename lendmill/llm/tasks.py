@@ -89,9 +89,9 @@ def bitmap_of(keys: DataFrame) -> Bitmap:
     key = F.col(keys.columns[0])
     word = F.shiftrightunsigned(key, 7).bitwiseAND(F.lit(Bitmap.WORDS - 1)).alias("at")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{keys.columns[0]}`, 1) & 63 as int))")
-    found = keys.groupBy(word).agg(F.bit_or(bit).alias("bits")).toPandas()
+    found = keys.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(Bitmap.WORDS, np.uint64)
-    words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Bitmap(words)
 
 
