@@ -6,16 +6,22 @@ An array is bounded by one report; whatever reads it is an expression, so a repo
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendmill.functions import pii
 from lendmill.functions.coerce import amount_digits
+from lendmill.operators import aligned
+from lendmill.operators.aligned import NOT_A_DATE, NOT_A_NAME  # noqa: F401
 from lendmill.operators.bureau import status_of_card
 from lendmill.operators.extract import fold_wrapped
-from lendmill.operators.layout import SLICES, regions
+from lendmill.operators.layout import SLICES
 
 ELEMENT = "struct<seq: bigint, x0: double, y0: double, x1: double, y1: double, text: string>"
 # Shapes, labels and limits of a report.
@@ -25,8 +31,6 @@ SCORE = r"\b(3[0-9]{2}|[4-8][0-9]{2}|900)\b"
 PL_SCORE = r"(?i)(?:PERSONAL\s*LOAN|PL)\s*SCORE\s*:?\s*(-?[0-9]{1,4})"
 NO_DATE, NO_CONTROL, NO_NAME, NO_TYPE, NO_MEMBER = "01/01/2026", "00000000000", "UNKNOWN CONSUMER", "UNKNOWN TYPE", "NOT DISCLOSED"
 NAME_LABELS = ("CONSUMER NAME", "CONSUMER:", "CONSUMER :", "NAME:")
-NOT_A_NAME = ("LOAN", "ACCOUNT", "REPORT", "DETAILS", "ENQUIRY", "SUMMARY", "HISTORY", "FACTOR", "INFORMATION", "TYPE", "BALANCE", "AMOUNT", "DATE", "STATUS")
-NOT_A_DATE = ("DATE OPENED", "DATE CLOSED", "REPORT DATE")
 SCORE_HEADERS = ("CREDITVISION", "SCORE", "CIBIL SCORE")
 TERMINATORS = ("GLOSSARY", "END OF REPORT", "DISCLAIMER", "CIR DATA")
 REPORT_KEYS = ("DATE", "CONTROL NUMBER", *NAME_LABELS, "PAN", "DOB", "DATE OF BIRTH", "GENDER")
@@ -40,9 +44,9 @@ CARD_KEYS = {
 FACILITY = r"(?i)CREDIT\s*FACILITY\s*STATUS\s*:\s*\n?\s*([A-Z][A-Z0-9 \-/()]{1,40})"
 
 
-def _in_order() -> Column:
+def _in_order(where: str = "true") -> Column:
     held = F.struct(F.col("seq").cast("bigint").alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), "text")
-    return F.array_sort(F.collect_list(held)).cast(f"array<{ELEMENT}>").alias("elements")
+    return F.sort_array(F.collect_list(F.when(F.expr(where), held))).cast(f"array<{ELEMENT}>").alias("elements")
 
 
 def with_elements(elements: DataFrame, *keys: str) -> DataFrame:
@@ -67,10 +71,6 @@ def _match(text: Column, pattern: str) -> Column:
     return F.when(found != "", found)
 
 
-def _clean(text: Column) -> Column:
-    return F.translate(F.upper(text), "\n\r-:", "    ")
-
-
 def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
     """Rows with more columns, each evaluated once a row: the optimizer copies a plain column into every lambda that uses it."""
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
@@ -81,93 +81,56 @@ def _holding(elements: Column, *words: str) -> Column:
     return F.get(F.filter(elements, lambda x: _has(F.upper(x["text"]), *words)), F.lit(0))
 
 
-def _below(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a["top"], b["y0"]).alias("top"), F.greatest(a["bottom"], b["y1"]).alias("bottom"))
-
-
-def _label_group(start: Column, hits: Column, tokens: Column, key: Column) -> Column:
-    """(score, seq, members) of the label that begins at an element: those under it in its column that add words of the key."""
-    member = lambda e, later: F.struct(e["y0"].alias("y0"), F.lit(later).alias("later"), e["seq"].alias("seq"), e["x0"].alias("x0"), e["x1"].alias("x1"), e["y1"].alias("y1"), e["text"].alias("text"))
-    begun = F.struct(start["y0"].alias("top"), start["y1"].alias("bottom"), F.array(member(start, 0)).alias("members"))
-
-    def gather(group: Column, e: Column) -> Column:
-        near = (e["seq"] != start["seq"]) & (e["y0"] >= start["y0"] - 2) & (F.abs(e["x0"] - start["x0"]) < 15) & (e["y1"] >= group["top"] - 25) & (e["y0"] <= group["bottom"] + 25)
-        span = _below(group, e)
-        grown = F.struct(span["top"].alias("top"), span["bottom"].alias("bottom"), F.concat(group["members"], F.array(member(e, 1))).alias("members"))
-        return F.when(near, grown).otherwise(group)
-
-    gathered = F.array_sort(F.aggregate(hits, begun, gather)["members"])
-    nothing = F.expr("struct(cast(array() as array<struct<y0: double, later: int, seq: bigint, x0: double, x1: double, y1: double, text: string>>) as members, cast(array() as array<string>) as words)")
-
-    def add(kept: Column, e: Column) -> Column:
-        fresh = F.filter(F.array_except(tokens, kept["words"]), lambda t: F.contains(_clean(e["text"]), t))
-        more = F.struct(F.concat(kept["members"], F.array(e)).alias("members"), F.concat(kept["words"], fresh).alias("words"))
-        return F.when((F.size(fresh) > 0) | (F.size(kept["members"]) == 0), more).otherwise(kept)
-
-    def scored(kept: Column) -> Column:
-        m = kept["members"]
-        top, bottom = F.array_min(F.transform(m, lambda e: e["y0"])), F.array_max(F.transform(m, lambda e: e["y1"]))
-        length = F.aggregate(m, F.lit(0), lambda n, e: n + F.octet_length(e["text"]))
-        score = F.size(kept["words"]) * 100.0 - (bottom - top) * 0.1 - F.greatest(length - F.length(key), F.lit(0)) * 0.5
-        return F.struct((-score).alias("loss"), start["seq"].alias("seq"), m.alias("members"))
-
-    return F.aggregate(gathered, nothing, add, scored)
-
-
-def _value_text(values: Column) -> Column:
-    """Texts of a value in reading order; the first one's colons are separators."""
-    first = F.trim(F.ltrim(F.get(values, F.lit(0))["text"]))
-    head = F.trim(F.regexp_replace(first, "^:+", ""))
-    rest = F.transform(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda v: F.trim(v["text"]))
-    found = F.trim(F.array_join(F.filter(F.concat(F.array(head), rest), lambda t: t != ""), " "))
-    return F.when((F.size(values) > 0) & (found != ""), found)
-
-
 def aligned_values(scopes: DataFrame, keys: Column) -> DataFrame:
     """(columns of the scope but elements, key, value, confidence): the value that stands beside or below each key's label.
 
     ``keys`` is the array of keys to look for in a scope's elements. The best label is the group of elements in one column
     that holds most words of the key within the least height and with the least other text, and scores at least 50. Its
     value stands behind the label's own colon, else to the right and level with it (the nearest column within 30 points),
-    else within 15 points below it. Keys without a label or a value have no row.
+    else within 15 points below it. Keys without a label or a value have no row. Elements without a full position take no part.
     """
     names = [c for c in scopes.columns if c != "elements"]
-    # One text of a scope tells by plain comparisons which keys have a word in it at all.
-    scopes = _fixed(scopes, held=_clean(F.array_join(F.transform("elements", lambda e: e["text"]), "\n")))
-    asked = scopes.select(*names, "elements", "held", F.explode(keys).alias("key"))
-    tokens = F.filter(F.split(F.regexp_replace("key", "[-:]", " "), r"\s+"), lambda t: t != "")
-    asked = _fixed(asked, tokens=F.array_distinct(tokens)).filter(F.exists("tokens", lambda t: F.contains(F.col("held"), t))).drop("held")
-    asked = _fixed(asked, hits=F.filter("elements", lambda e: F.exists("tokens", lambda t: F.contains(_clean(e["text"]), t)))).filter(F.size("hits") > 0)
-    is_name = F.col("key").rlike("CONSUMER|NAME")
-    begins = lambda e: ~((F.col("key") == "DATE") & _has(_clean(e["text"]), *NOT_A_DATE)) & ~(is_name & _has(_clean(e["text"]), *NOT_A_NAME))
-    groups = F.transform(F.filter("hits", begins), lambda s: _label_group(s, F.col("hits"), F.col("tokens"), F.col("key")))
-    best = _fixed(asked, best=F.array_min(groups)).filter("best.loss <= -50").drop("hits")
-    best = _fixed(best, label=F.get("best.members", F.lit(0)))
-    inline = F.trim(F.when(F.contains("label.text", F.lit(":")), F.regexp_replace("label.text", "(?s)^[^:]*:", "")))
-    own = F.when((inline != "") & (F.octet_length(inline) < 80) & ~F.contains(F.upper(inline), F.lit("ACCOUNT")), inline)
-    m = F.col("best.members")
-    ends = {"right": F.array_max(F.transform(m, lambda e: e["x1"])), "top": F.array_min(F.transform(m, lambda e: e["y0"])), "bottom": F.array_max(F.transform(m, lambda e: e["y1"]))}
-    best = _fixed(best, own=own, used=F.transform(m, lambda e: e["seq"]), **ends)
-
-    def beside(e: Column) -> Column:
-        level = (F.least(e["y1"], F.col("bottom")) - F.greatest(e["y0"], F.col("top")) > 0) | ((e["y0"] >= F.col("top")) & (e["y1"] <= F.col("bottom")))
-        return (e["x0"] >= F.col("right") - 5) & ~F.array_contains("used", e["seq"]) & ~F.trim(e["text"]).isin(":", "|") & level
-
-    best = _fixed(best, values=F.filter("elements", beside))
-    best = _fixed(best, edge=F.array_min(F.transform("values", lambda e: e["x0"])))
-    near = F.filter("values", lambda e: e["x0"] - F.col("edge") < 30)
-    ordered = F.array_sort(F.transform(near, lambda e: F.struct(e["y0"], e["x0"], e["seq"], e["text"].alias("text"))))
-
-    def under(e: Column) -> Column:
-        label = F.col("label")
-        return e["y0"].between(label["y1"], label["y1"] + 15) & (e["x0"] < label["x1"]) & (e["x1"] > label["x0"]) & (e["y1"] - e["y0"] < (label["y1"] - label["y0"]) * 2.2)
-
-    best = _fixed(best, ordered=ordered)
-    best = best.withColumn("beside", _value_text(F.col("ordered"))).withColumn("below", F.trim(F.regexp_replace(F.trim(F.get(F.filter("elements", under), F.lit(0))["text"]), "^:+", "")))
-    share = F.least(F.greatest(-F.col("best.loss") / (F.size("tokens") * 100.0), F.lit(0.5)), F.lit(0.99))
-    value = F.coalesce("own", "beside", F.when(F.col("below") != "", F.col("below")))
-    confidence = F.when(F.col("own").isNotNull(), 0.98).when(F.col("beside").isNotNull(), share).otherwise(0.85)
-    return best.select(*names, "key", value.alias("value"), confidence.alias("confidence")).filter("value is not null")
+    schema = T.StructType([*(scopes.schema[n] for n in names), *(T.StructField(n, kind) for n, kind in (("key", T.StringType()), ("value", T.StringType()), ("confidence", T.DoubleType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in aligned.parts(whole)):
+            e = aligned.Elements(batch.column("elements"))
+            wanted = batch.column("_keys")
+            owner, each = pc.list_parent_indices(wanted).to_numpy(), pc.list_flatten(wanted).dictionary_encode()
+            place = pc.fill_null(each.indices, -1).to_numpy()
+            asked = {key: owner[place == i] for i, key in enumerate(each.dictionary.to_pylist())}
+            for scope, key, values, confidence in aligned.align(e, np.arange(e.ends[-1]), e.ends, asked):
+                own = batch.select(names).take(pa.array(scope))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([key] * len(values), pa.string()), pa.array(values, pa.string()), pa.array(confidence)], schema.names)
+
+    return scopes.withColumn("_keys", keys).mapInArrow(run, schema)
+
+
+def _card_values(cards: DataFrame) -> DataFrame:
+    """Cards with a column ``slice/key`` for each of CARD_KEYS, looked for in its own slice of columns, in place of their elements."""
+    names = [c for c in cards.columns if c != "elements"]
+    labels = [f"{name}/{key}" for name, keys in CARD_KEYS.items() for key in keys]
+    schema = T.StructType([*(cards.schema[n] for n in names), *(T.StructField(n, T.StringType()) for n in labels), T.StructField("confidence", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in aligned.parts(whole)):
+            e, rows = aligned.Elements(batch.column("elements")), batch.num_rows
+            owner = np.repeat(np.arange(rows), np.diff(e.ends))
+            found, total, count = {}, np.zeros(rows), np.zeros(rows, np.int64)
+            for name, (low, high) in SLICES.items():
+                inside = np.flatnonzero((e.x0 >= (-np.inf if low is None else low)) & (e.x0 < (np.inf if high is None else high)))
+                ends = np.searchsorted(owner[inside], np.arange(rows + 1))
+                for card, key, values, confidence in aligned.align(e, inside, ends, {key: np.arange(rows) for key in CARD_KEYS[name]}):
+                    column = np.full(rows, None, object)
+                    column[card] = values
+                    found[f"{name}/{key}"] = pa.array(column, pa.string())
+                    total[card] += confidence
+                    count[card] += 1
+            held = [found.get(label, pa.nulls(rows, pa.string())) for label in labels]
+            confidence = pa.array(total / np.maximum(count, 1), mask=count == 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *held, confidence], schema.names)
+
+    return cards.mapInArrow(run, schema)
 
 
 def _aligned_map(reports: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -296,35 +259,35 @@ def account_cards(elements: DataFrame, starts: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("y0", "start_no")
     numbered = starts.select("doc_id", "start_no", "y0", F.upper("text").alias("title")).withColumn("place", F.row_number().over(order))
     stated = F.regexp_extract("title", r"^\b([0-9]+)\.\s*ACCOUNT\b", 1).try_cast("bigint")
-    # The as-of window carries the elements along, so nothing is joined back. No side of the other joins is broadcast: what
-    # is exploded from few narrow rows is far larger than its estimate.
-    held = regions(elements, numbered.select("doc_id", "y0", F.col("place").alias("start_no")), also=("page", "x0", "y0", "x1", "y1", "text"))
-    cards = held.filter("region is not null").withColumnRenamed("region", "place")
-    whole = cards.filter("text is not null").groupBy("doc_id", "place").agg(_in_order(), F.array_sort(F.collect_set("page")).alias("source_pages"))
-    whole = whole.withColumn("card", F.array_join(F.transform("elements", lambda e: e["text"]), "\n"))
-
-    def inside(low: float | None, high: float | None) -> Column:
-        return F.filter("elements", lambda e: (e["x0"] >= (float("-inf") if low is None else low)) & (e["x0"] < (float("inf") if high is None else high)))
-
-    sliced = whole.select("doc_id", "place", F.inline(F.array(*(F.struct(F.lit(name).alias("slice"), inside(*ends).alias("elements")) for name, ends in SLICES.items()))))
-    keys = F.element_at(F.create_map(*(x for n, k in CARD_KEYS.items() for x in (F.lit(n), F.array(*map(F.lit, k))))), F.col("slice"))
-    found = aligned_values(sliced, keys)
-    named = found.groupBy("doc_id", "place").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "slice", "key").alias("key"), "value"))).alias("found"), F.avg("confidence").alias("confidence"))
-    at = lambda s, key: F.element_at("found", F.lit(f"{s}/{key}"))
+    # Starts and elements meet in one as-of window, dealt by document, and a card is grouped where it is: nothing is joined.
+    held = F.struct("page", "seq", "x0", "y0", "x1", "y1", "text")
+    marks = numbered.select("doc_id", F.col("y0").alias("y"), F.lit(0).alias("kind"), F.col("place").alias("start"), "title", F.lit(None).cast(elements.select(held.alias("held")).schema["held"].dataType).alias("held"))
+    shown = elements.filter("text is not null").select("doc_id", F.col("y0").alias("y"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("title"), held.alias("held"))
+    above = Window.partitionBy("doc_id").orderBy("y", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marks.unionByName(shown).withColumn("region", F.max("start").over(above)).withColumn("place", F.when(F.col("kind") == 0, F.col("start")).otherwise(F.col("region"))).filter("place is not null")
+    rows = rows.select("doc_id", "place", "title", "kind", "held.*")
+    whole = rows.groupBy("doc_id", "place").agg(F.max("title").alias("title"), _in_order("kind = 1"), F.array_sort(F.collect_set("page")).alias("source_pages"))
+    whole = _fixed(whole, card=F.array_join("elements.text", "\n"))
+    at = lambda s, key: F.col(f"`{s}/{key}`")
     inline = lambda label: _match(F.col("card"), rf"(?im)^\s*\Q{label}\E\s*:\s*(.+)$")
     stamp = lambda label: _match(F.col("card"), rf"(?i)(?:{label})\s*:\s*{DATE}")
     amount = lambda *sources: F.coalesce(*map(amount_digits, sources))
     facility = F.trim(_match(F.col("card"), FACILITY))
     off = lambda word: (inline(f"WRITTEN OFF AMOUNT ({word})"), inline(f"WRITTEN-OFF AMOUNT ({word})"))
-    cards = numbered.join(whole.drop("elements").hint("merge"), ["doc_id", "place"], "left").join(named.hint("merge"), ["doc_id", "place"], "left")
-    return cards.select(
-        "doc_id", F.coalesce(stated, F.col("place").cast("bigint")).alias("card_no"), F.coalesce(pii.redact_simple(at("first", "TYPE")), F.lit(NO_TYPE)).alias("account_type"), status_of_card(F.col("card")).alias("status"),
-        F.coalesce(stamp(r"DATE\s*OPENED|OPENED"), at("first", "DATE OPENED"), at("first", "DATE")).alias("date_opened"), F.coalesce(stamp(r"DATE\s*CLOSED|CLOSED"), at("first", "DATE CLOSED")).alias("date_closed"),
-        amount(at("second", "SANCTIONED"), at("second", "SANCTIONED AMOUNT"), at("second", "HIGH CREDIT AMOUNT"), at("second", "CREDIT LIMIT"), inline("SANCTIONED"), inline("HIGH CREDIT"), inline("CREDIT LIMIT")).alias("sanctioned"),
-        amount(at("second", "CURRENT"), at("second", "CURRENT BALANCE"), inline("CURRENT BALANCE")).alias("balance"), F.coalesce(at("first", "OWNERSHIP"), inline("OWNERSHIP")).alias("ownership"),
+    # What the text of a card says alone is read before its values are looked for, so neither is one method too long to compile.
+    read = whole.select(
+        "doc_id", "place", "title", "elements", F.when(F.size("elements") > 0, F.col("source_pages")).alias("source_pages"), status_of_card(F.col("card")).alias("status"), stamp(r"DATE\s*OPENED|OPENED").alias("date_opened"), stamp(r"DATE\s*CLOSED|CLOSED").alias("date_closed"),
+        amount(inline("SANCTIONED"), inline("HIGH CREDIT"), inline("CREDIT LIMIT")).alias("sanctioned"), amount(inline("CURRENT BALANCE")).alias("balance"), inline("OWNERSHIP").alias("ownership"), facility.alias("facility"), amount(*off("TOTAL")).alias("written_off"),
+        amount(*off("PRINCIPAL")).alias("written_off_principal"), amount(inline("SETTLEMENT AMOUNT")).alias("settlement"), amount(inline("OVERDUE")).alias("overdue"), stamp(r"LAST\s*PAYMENT").alias("last_payment"),
+        stamp(r"PMT\s*HIST\s*START|START\s*DATE").alias("history_start"), stamp(r"PMT\s*HIST\s*END|END\s*DATE").alias("history_end"),
+    )
+    return _card_values(read).select(
+        "doc_id", F.coalesce(stated, F.col("place").cast("bigint")).alias("card_no"), F.coalesce(pii.redact_simple(at("first", "TYPE")), F.lit(NO_TYPE)).alias("account_type"), "status",
+        F.coalesce("date_opened", at("first", "DATE OPENED"), at("first", "DATE")).alias("date_opened"), F.coalesce("date_closed", at("first", "DATE CLOSED")).alias("date_closed"),
+        F.coalesce(amount(at("second", "SANCTIONED"), at("second", "SANCTIONED AMOUNT"), at("second", "HIGH CREDIT AMOUNT"), at("second", "CREDIT LIMIT")), "sanctioned").alias("sanctioned"),
+        F.coalesce(amount(at("second", "CURRENT"), at("second", "CURRENT BALANCE")), "balance").alias("balance"), F.coalesce(at("first", "OWNERSHIP"), "ownership").alias("ownership"),
         pii.redact_simple(at("third", "COLLATERAL TYPE")).alias("collateral_type"), amount(at("second", "COLLATERAL VALUE")).alias("collateral_value"),
-        F.coalesce(at("fourth", "CREDIT FACILITY STATUS"), at("fourth", "CREDIT FACILITY"), facility).alias("facility"), amount(at("fourth", "WRITTEN OFF (TOTAL)"), *off("TOTAL")).alias("written_off"),
-        amount(at("fourth", "WRITTEN OFF (PRINCIPLE)"), at("fourth", "WRITTEN OFF (PRINCIPAL)"), *off("PRINCIPAL")).alias("written_off_principal"), amount(at("fourth", "SETTLEMENT"), at("fourth", "SETTLEMENT AMOUNT"), inline("SETTLEMENT AMOUNT")).alias("settlement"),
-        amount(at("second", "OVERDUE"), inline("OVERDUE")).alias("overdue"), stamp(r"LAST\s*PAYMENT").alias("last_payment"), stamp(r"PMT\s*HIST\s*START|START\s*DATE").alias("history_start"), stamp(r"PMT\s*HIST\s*END|END\s*DATE").alias("history_end"),
-        "source_pages", F.coalesce("confidence", F.lit(0.98)).alias("confidence"),
+        F.coalesce(at("fourth", "CREDIT FACILITY STATUS"), at("fourth", "CREDIT FACILITY"), "facility").alias("facility"), F.coalesce(amount(at("fourth", "WRITTEN OFF (TOTAL)")), "written_off").alias("written_off"),
+        F.coalesce(amount(at("fourth", "WRITTEN OFF (PRINCIPLE)"), at("fourth", "WRITTEN OFF (PRINCIPAL)")), "written_off_principal").alias("written_off_principal"), F.coalesce(amount(at("fourth", "SETTLEMENT"), at("fourth", "SETTLEMENT AMOUNT")), "settlement").alias("settlement"),
+        F.coalesce(amount(at("second", "OVERDUE")), "overdue").alias("overdue"), "last_payment", "history_start", "history_end", "source_pages", F.coalesce("confidence", F.lit(0.98)).alias("confidence"),
     )

@@ -80,7 +80,7 @@ CASE WHEN n % 4 = 1 THEN '07/08/2022' END AS last_payment, CASE WHEN n % 6 = 0 T
 def bureau_card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 fields of each account card; an amount without a digit does not hide a later one."""
     elements = s.card_elements(spark, sf_dir)
-    starts = elements.filter("seq % 100 = 0").select("doc_id", F.col("n").alias("start_no"), "y0", "text")
+    starts = s.card_elements(spark, sf_dir, s.CARD[:1]).select("doc_id", F.col("n").alias("start_no"), "y0", "text")
     return reports.account_cards(elements.drop("n"), starts).drop("confidence").withColumn("source_pages", F.array_join(F.col("source_pages").cast("array<string>"), ","))
 
 

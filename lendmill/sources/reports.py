@@ -49,17 +49,22 @@ CARD = (
 )
 
 
-def _placed(elements: tuple[tuple[str, int, int], ...], base: str) -> str:
-    shown = (f"struct({base} * 100 + {i} AS seq, CAST({x} AS DOUBLE) AS x0, CAST({base} * 1000 + {y} AS DOUBLE) AS y0, CAST({x + 80} AS DOUBLE) AS x1, CAST({base} * 1000 + {y + 10} AS DOUBLE) AS y1, {t} AS text)" for i, (t, x, y) in enumerate(elements))
-    return f"inline(array({', '.join(shown)}))"
+def _placed(rows: DataFrame, elements: tuple[tuple[str, int, int], ...], base: str, *columns: str) -> DataFrame:
+    """Columns of the rows and their elements.
+
+    Elements are columns of their own before they become rows: an array of all of them made at once is one method of
+    generated code that is too long for the JVM to compile, and eight times as slow.
+    """
+    shown = (f"struct({base} * 100 + {i} AS seq, CAST({x} AS DOUBLE) AS x0, CAST({base} * 1000 + {y} AS DOUBLE) AS y0, CAST({x + 80} AS DOUBLE) AS x1, CAST({base} * 1000 + {y + 10} AS DOUBLE) AS y1, {t} AS text) AS e{i}" for i, (t, x, y) in enumerate(elements))
+    return rows.selectExpr(*columns, *shown).selectExpr(*(c.split(" AS ")[-1] for c in columns), f"inline(array({', '.join(f'e{i}' for i in range(len(elements)))}))")
 
 
 def report_elements(spark: SparkSession, sf_dir: str, elements: tuple[tuple[str, int, int], ...]) -> DataFrame:
     """A report for each customer."""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "c_custkey AS n").selectExpr("doc_id", _placed(elements, "CAST(0 AS BIGINT)"))
+    return _placed(table(spark, sf_dir, "customer").selectExpr("c_custkey AS n"), elements, "CAST(0 AS BIGINT)", "n AS doc_id")
 
 
-def card_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_elements(spark: SparkSession, sf_dir: str, elements: tuple[tuple[str, int, int], ...] = CARD) -> DataFrame:
     """A card for each order, those of a customer below each other; orders are dealt by customer before they become elements."""
     rows = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", each=1 << 15).selectExpr("o_custkey AS doc_id", "o_orderkey AS n")
-    return rows.selectExpr("doc_id", "CAST(n % 3 + 1 AS INT) AS page", "n", _placed(CARD, "n")).filter("text is not null")
+    return _placed(rows, elements, "n", "doc_id", "CAST(n % 3 + 1 AS INT) AS page", "n").filter("text is not null")
