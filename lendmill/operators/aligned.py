@@ -31,7 +31,7 @@ class Elements:
         flat = arrays.flatten()
         column = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
         self.x0, self.y0, self.x1, self.y1 = (column[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x0", "y0", "x1", "y1"))
-        self.nowhere = np.isnan(self.x0) | np.isnan(self.y0) | np.isnan(self.x1) | np.isnan(self.y1)
+        self.nowhere = np.isnan(self.x0) | np.isnan(self.y0) | np.isnan(self.y1)
         self.unnumbered = column["seq"].is_null().to_numpy(zero_copy_only=False)
         self.seq = pc.fill_null(column["seq"], np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         self.silent = column["text"].is_null().to_numpy(zero_copy_only=False)
@@ -155,7 +155,7 @@ def align(e: Elements, inside: np.ndarray, ends: np.ndarray, asked: dict[str, np
             continue
         label = member[at[:-1]]
         own = [e.behind_colon(t) for t in e.text[label].tolist()]
-        right, top, bottom = np.maximum.reduceat(e.x1[member], at[:-1]), np.minimum.reduceat(e.y0[member], at[:-1]), np.maximum.reduceat(e.y1[member], at[:-1])
+        right, top, bottom = np.fmax.reduceat(e.x1[member], at[:-1]), np.minimum.reduceat(e.y0[member], at[:-1]), np.maximum.reduceat(e.y1[member], at[:-1])
         # Only labels without a value of their own look around.
         looks = np.flatnonzero(np.fromiter((o is None for o in own), bool, len(own)))
         of, place = _each((ends[scope[looks] + 1] - ends[scope[looks]]))

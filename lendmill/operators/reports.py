@@ -87,7 +87,7 @@ def aligned_values(scopes: DataFrame, keys: Column) -> DataFrame:
     ``keys`` is the array of keys to look for in a scope's elements. The best label is the group of elements in one column
     that holds most words of the key within the least height and with the least other text, and scores at least 50. Its
     value stands behind the label's own colon, else to the right and level with it (the nearest column within 30 points),
-    else within 15 points below it. Keys without a label or a value have no row. Elements without a full position take no part.
+    else within 15 points below it. Keys without a label or a value have no row. Elements without x0, y0 or y1 take no part.
     """
     names = [c for c in scopes.columns if c != "elements"]
     schema = T.StructType([*(scopes.schema[n] for n in names), *(T.StructField(n, kind) for n, kind in (("key", T.StringType()), ("value", T.StringType()), ("confidence", T.DoubleType())))])
